@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from barloom.functions import columns as c
@@ -133,7 +134,7 @@ def resolve_names(names: DataFrame, aliases: DataFrame, cutoff: float = 0.88, na
     return names.join(resolved, name, "left")
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def _similarity(candidate: pd.Series, wanted: pd.Series) -> pd.Series:
     matcher = difflib.SequenceMatcher()
     out, last = [], None

@@ -10,30 +10,34 @@ from barloom import schemas
 from barloom.functions import columns as c
 from barloom.operators import clean
 
-_STEM = r"([^/]+?)(\.[A-Za-z0-9]+)*$"
+#: Where a file's label stands in its path: the name without extension, or the folder (``key=`` cut off).
+_LABELS = {"file": r"([^/]+?)(?:\.[A-Za-z0-9]+)*$", "folder": r"(?:[^/=]*=)?([^/=]+)/[^/]+$"}
 
 
-def file_stem() -> Column:
-    """Name of the file a row comes from, without folder and extension."""
-    return F.url_decode(F.regexp_extract(F.col("_metadata.file_name"), _STEM, 1))
+def path_label(level: str = "file") -> Column:
+    """Label of the file a row comes from: its stem or its folder."""
+    return F.regexp_extract(F.col("_metadata.file_path"), _LABELS[level], 1)
 
 
 def read_bars(
     spark: SparkSession,
     path: str,
-    schema: T.StructType = schemas.BAR_FILE,
+    schema: str | T.StructType = schemas.BAR_FILE,
     fields: list[str] | None = None,
     require: list[str] | None = None,
     intraday: bool = False,
+    label: str = "file",
 ) -> DataFrame:
     """Scan a folder of per-instrument CSV files into one long bar table.
 
-    The instrument is the file's stem.  Only ``fields`` are parsed (column pruning reaches the CSV
+    The instrument is the file's stem (``label='folder'``: the name of its folder).  Only ``fields`` are parsed (column pruning reaches the CSV
     reader); rows without a readable time or without any value are dropped, NaN is NULL; with
     ``require`` an instrument needs at least one value in each of those fields.
     """
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     time = schema.fieldNames()[0]
-    raw = spark.read.schema(schema).option("header", "true").option("mode", "PERMISSIVE").csv(path)
+    raw = spark.read.schema(schema).option("header", "true").option("mode", "PERMISSIVE")
+    raw = raw.option("recursiveFileLookup", "true").csv(path)
     if intraday:
         # vendors append an offset to local wall-clock time; the wall clock is kept
         wall = F.regexp_replace(F.replace(F.col(time), F.lit("T"), F.lit(" ")), r"(Z|[+-]\d{2}:?\d{2})$", "")
@@ -42,7 +46,7 @@ def read_bars(
         ts = F.try_to_date(F.substring(F.col(time), 1, 10), "yyyy-MM-dd")
     names = {f: f.lower().replace(" ", "_") for f in schema.fieldNames() if f != time}
     keep = [f for f, out in names.items() if fields is None or out in fields]
-    out = raw.select(file_stem().alias("symbol"), ts.alias("ts"), *[c.no_nan(F.col(f"`{f}`")).alias(names[f]) for f in keep])
+    out = raw.select(path_label(label).alias("symbol"), ts.alias("ts"), *[c.no_nan(F.col(f"`{f}`")).alias(names[f]) for f in keep])
     out = out.where("ts IS NOT NULL").na.drop("all", subset=[names[f] for f in keep])
     return clean.require_fields(out, require) if require else out
 
@@ -64,27 +68,29 @@ def read_series(bars: DataFrame, dim: DataFrame | None = None, price_col: str =
     return rows.join(dim.select("series_id", "symbol"), "symbol").select("series_id", "ts", "value")
 
 
-def read_symbol_sets(spark: SparkSession, path: str) -> DataFrame:
+def read_symbol_sets(spark: SparkSession, path: str, label: str = "file") -> DataFrame:
     """Folder of symbol lists -> ``(universe_id, symbol)``; the set is named after its file."""
-    raw = spark.read.schema(schemas.SYMBOL_FILE).option("header", "true").csv(path)
-    rows = raw.select(file_stem().alias("universe_id"), F.trim("Symbol").alias("symbol"))
+    raw = spark.read.schema(schemas.SYMBOL_FILE).option("header", "true").option("recursiveFileLookup", "true").csv(path)
+    rows = raw.select(path_label(label).alias("universe_id"), F.trim("Symbol").alias("symbol"))
     return rows.where("symbol <> '' AND upper(symbol) <> 'SYMBOL'").distinct()
 
 
-def read_snapshots(spark: SparkSession, path: str, canon: DataFrame | None = None) -> DataFrame:
+def read_snapshots(
+    spark: SparkSession, path: str, canon: DataFrame | None = None, label: str = "file"
+) -> DataFrame:
     """Folder of constituent lists named ``yyyy-MM-dd`` -> ``(as_of, symbol, company, industry, series, isin)``."""
     from barloom.operators.membership import apply_canon
 
     raw = (
         spark.read.schema(schemas.SNAPSHOT_FILE)
         .option("header", "true")
-        .option("enforceSchema", "true")
+        .option("recursiveFileLookup", "true")
         .option("ignoreLeadingWhiteSpace", "true")
         .option("ignoreTrailingWhiteSpace", "true")
         .csv(path)
     )
     out = raw.select(
-        F.try_to_date(file_stem(), "yyyy-MM-dd").alias("as_of"),
+        F.try_to_date(path_label(label), "yyyy-MM-dd").alias("as_of"),
         F.trim("Symbol").alias("symbol"),
         F.col("`Company Name`").alias("company"),
         F.col("Industry").alias("industry"),

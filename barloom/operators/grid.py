@@ -141,10 +141,16 @@ def asof_join(
 
 
 def next_slot(df: DataFrame, slots: DataFrame, ts: str, alias: str = "next_ts") -> DataFrame:
-    """First calendar slot strictly after ``ts`` (which need not be a slot itself)."""
-    every = slots.agg(F.array_sort(F.collect_list("ts"))).scalar()
-    after = F.filter(every, lambda s: s > F.col(ts))
-    return df.withColumn(alias, F.try_element_at(after, F.lit(1)))
+    """First calendar slot strictly after the date ``ts`` (which need not be a slot itself).
+
+    The distinct dates and the slots are laid on one line, so the window sees calendar days only.
+    """
+    days = df.select(F.col(ts).alias("_d")).distinct().withColumn("_slot", F.lit(None).cast(slots.schema["ts"].dataType))
+    line = days.unionByName(slots.select(F.col("ts").alias("_d"), F.col("ts").alias("_slot")))
+    line = line.groupBy("_d").agg(F.max("_slot").alias("_slot"))
+    ahead = Window.partitionBy(F.lit(0)).orderBy("_d").rowsBetween(1, Window.unboundedFollowing)
+    found = line.select(F.col("_d").alias(ts), F.first("_slot", ignorenulls=True).over(ahead).alias(alias))
+    return df.join(found, ts)
 
 
 def last_complete_period(df: DataFrame, today, by: str | None = None, label: str = "period_end") -> DataFrame:
@@ -167,5 +173,6 @@ def staleness_days(df: DataFrame, today, by: str | None = None, ts: str = "ts")
 
 def snap_to_period(requests: DataFrame, periods: DataFrame, ts: str = "ts", label: str = "period_end") -> DataFrame:
     """Latest period label at or before each requested date (a rebalance date that was picked freely)."""
-    labels = periods.agg(F.array_sort(F.collect_set(label))).scalar()
-    return requests.withColumn(label, F.array_max(F.filter(labels, lambda p: p <= F.col(ts))))
+    labels = periods.select(F.col(label).alias("_label")).distinct().withColumns({"_one": F.lit(0), label: F.col("_label")})
+    found = asof_join(requests.withColumn("_one", F.lit(0)), labels, "_one", [label], ts, right_ts="_label")
+    return found.drop("_one", "matched_ts")

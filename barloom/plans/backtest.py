@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators import holdings as h
 from barloom.operators import leverage as lev
 from barloom.operators import perf, returns
 from barloom.operators.ranking import RankParams, rank_universe
+from barloom.session import materialise
 
 
 @dataclass(frozen=True)
@@ -53,7 +54,9 @@ def run(
     """Run all ``strategies`` over one ``panel(symbol, period_end, period_no, price)``.
 
     Ranking is one plan for all of them; strategies that share hold, size, band, weighting and regime
-    settings also share the plan of everything after it, with ``strategy_id`` as a data column.
+    settings also share the plan of everything after it, with ``strategy_id`` as a data column.  The
+    used ranks, the schedule and the holdings are small and are written once, because every later
+    operator reads them several times.
     ``series(series_id, period_no, value)`` feeds the regime filter.
     """
     strategies = list(strategies)
@@ -61,7 +64,11 @@ def run(
         raise ValueError("strategies of one run share the panel's period grid")
     freq = strategies[0].freq
     ranking = rank_universe(panel, [s.rank for s in strategies], membership, universes, daily)
-    counts = h.ranked_counts(ranking)
+    # one pass over the panel: the ranks a strategy can ever use, with the size of their cross-section
+    reach = max(int(s.n * (1 + s.exit_band_pct / 100.0)) for s in strategies)
+    whole = Window.partitionBy("strategy_id", "period_no")
+    top = materialise(ranking.withColumn("n_ranked", F.count("*").over(whole)).where(F.col("rank") <= reach))
+    counts = top.where("rank = 1").select("strategy_id", "period_no", F.col("n_ranked").cast("int"))
     periods = h.strategy_periods(panel, [s.rank for s in strategies])
 
     groups: dict[tuple, list[Strategy]] = {}
@@ -80,9 +87,9 @@ def run(
             signals = h.regime_signals(series, regime[0], regime[1], enter, leave)
             gold = series.where(F.col("series_id") == regime[1])
         span = periods.where(mine)
-        schedule = h.rebalance_schedule(span, counts.where(mine), hold, n, signals)
-        ranked = ranking.where(mine)
-        held = (
+        schedule = materialise(h.rebalance_schedule(span, counts.where(mine), hold, n, signals))
+        ranked = top.where(mine)
+        held = materialise(
             h.with_exit_band(ranked, schedule, n, band, freq) if band > 0 else h.top_n(ranked, schedule, n, freq)
         )
         rets = returns.portfolio_returns(panel, held, schedule, span, weighting, gold, gap, freq)

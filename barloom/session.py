@@ -49,10 +49,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Evaluate ``df`` once into the shared checkpoint folder and cut its lineage.
+    """Evaluate ``df`` once into a columnar table in the shared folder and go on from there.
 
     Used where one panel feeds several branches of a plan (the data and its calendar, say), so the
-    scan below it runs once; the written copy survives the loss of executors.
+    scan below it runs once.  Unlike a cached frame the written table survives the loss of executors,
+    and unlike a checkpointed one it is pruned by column and has a known size, so later joins with it
+    are planned on facts.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

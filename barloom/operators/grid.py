@@ -27,13 +27,13 @@ def densify(df: DataFrame, by: str = "symbol", ts: str = "ts", slots: DataFrame
     """One row per instrument and calendar slot; missing prints are NULL rows.
 
     Only for callers that want the padded grid itself: the other operators work on sparse rows.
-    The calendar reaches the instruments as one array and is exploded per instrument, so there is
+    ``idx`` is the slot's position.  The calendar reaches the instruments as one array and is exploded per instrument, so there is
     no cartesian join; the data is then joined on (instrument, slot).
     """
     slots = calendar(df, ts) if slots is None else slots
     every_slot = slots.agg(F.array_sort(F.collect_list(F.struct("idx", ts)))).scalar()
     grid = df.select(by).distinct().select(by, F.inline(every_slot))
-    return grid.join(df, [by, ts], "left")
+    return grid.join(df.drop("idx"), [by, ts], "left")
 
 
 def interpolate_linear(df: DataFrame, value: str = "value", by: str = "symbol", order: str = "ts") -> DataFrame:

@@ -5,25 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.operators import grid
 from barloom.operators.ranking import assign_period
 
 
 def universe_bars(
-    bars: DataFrame, universe: DataFrame, rule: str = "month_start", freq: str = "month", dense: bool = False
+    bars: DataFrame, universe: DataFrame, rule: str = "month_start", freq: str = "month"
 ) -> DataFrame:
     """Bars of every name a strategy's universe ever held, with ``entry_rank`` while it does.
 
-    ``bars`` carry ``idx``; ``universe`` comes from
-    :func:`barloom.operators.ranking.universe_calendar`.  Bars before the first universe period are
-    kept (they warm up nothing, but exits and indicators are already columns), names never ranked are
-    dropped by a semi join before anything is multiplied by strategies.  ``dense`` adds the slots an
-    instrument did not print on, which the average-cross rule may queue an order on.
+    ``universe`` comes from :func:`barloom.operators.ranking.universe_calendar`; indicators are columns
+    of ``bars`` already, computed over the whole history.  Names never ranked are dropped by a semi
+    join before anything is multiplied by strategies; bars before a strategy's first universe are cut.
+    The average-cross rule may queue an order on a slot its instrument did not print on: give it bars
+    from :func:`barloom.operators.grid.densify`.
     """
-    names = universe.select("symbol").distinct()
-    mine = bars.join(names, "symbol", "left_semi")
-    if dense:
-        mine = grid.densify(mine.drop("idx"), slots=bars.select("idx", "ts").distinct())
+    mine = bars.join(universe.select("symbol").distinct(), "symbol", "left_semi")
     placed = assign_period(mine, universe, rule, freq=freq)
     ranks = universe.select("strategy_id", "symbol", F.col("period_no").alias("universe_no"), "entry_rank")
     traded = ranks.select("strategy_id", "symbol").distinct()

@@ -184,9 +184,10 @@ def _candidates(wanted: DataFrame, known: DataFrame, cutoff: float, name: str) -
         n = F.size("_bag")
         # overlap with any partner is at least t/(2-t) of the bag; what may be missed plus one is the prefix
         must = F.ceil(F.lit(cutoff / (2 - cutoff)) * n - F.lit(1e-9))
-        order = F.array_sort(F.transform("_bag", lambda t: F.struct(F.coalesce(F.try_element_at(rank, t), F.lit(0)).alias("f"), t.alias("t"))))
+        order = F.array_sort(F.transform("_bag", lambda t: F.struct(F.coalesce(F.try_element_at(F.col("_rank"), t), F.lit(0)).alias("f"), t.alias("t"))))
         prefix = F.transform(F.slice(order, F.lit(1), (n - must + 1).cast("int")), lambda s: s["t"])
-        return df.select(F.col(name).alias(alias), n.alias(f"{alias}_n"), F.explode(prefix).alias("_t"))
+        ranked = df.withColumn("_rank", rank)
+        return ranked.select(F.col(name).alias(alias), n.alias(f"{alias}_n"), F.explode(prefix).alias("_t"))
 
     a, b = prefixes(w, name), prefixes(k, "_known")
     lo = F.least(F.col(f"{name}_n"), F.col("_known_n"))

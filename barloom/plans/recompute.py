@@ -60,6 +60,11 @@ def strategies_of(registry: DataFrame, cap: int = MAX_STRATEGIES) -> list[Strate
     return out
 
 
+def rejected(registry: DataFrame) -> DataFrame:
+    """Registry rows whose parameters no run could use."""
+    return with_parameters(registry).where(~F.col("valid")).select("strategy_id", "name")
+
+
 def recompute_all(
     registry: DataFrame,
     panels: dict[str, DataFrame],
@@ -87,5 +92,4 @@ def recompute_all(
         pos = h.current_positions(test.holdings, test.schedule, freq)
         events = ev if events is None else events.unionByName(ev)
         positions = pos if positions is None else positions.unionByName(pos)
-    rejected = with_parameters(registry).where(~F.col("valid")).select("strategy_id", "name")
-    return Recomputed(events, positions, rejected)
+    return Recomputed(events, positions, rejected(registry))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_sources", "q_calendar", "q_momentum", "q_portfolio", "q_signals", "q_flows")
+MODULES = ("q_sources", "q_calendar", "q_momentum", "q_portfolio", "q_signals", "q_flows", "q_membership", "q_maintenance")
 
 
 def load():

@@ -122,7 +122,7 @@ def resolve_names(names: DataFrame, aliases: DataFrame, cutoff: float = 0.88, na
     joined back, so repeated names cost one lookup.
     """
     todo = names.select(name).distinct().withColumn("norm_name", c.normalize_name(name))
-    known = todo.join(aliases, "norm_name", "left")
+    known = materialise(todo.join(aliases, "norm_name", "left"))
     rest = known.where("symbol IS NULL").select("norm_name").distinct()
     close = fuzzy_resolve(rest, aliases.select("norm_name"), cutoff)
     fuzzy = close.join(aliases.withColumnRenamed("norm_name", "match").withColumnRenamed("symbol", "_fuzzy"), "match")
@@ -147,16 +147,23 @@ def _similarity(candidate: pd.Series, wanted: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+# the optimizer would otherwise copy the scoring below the deduplication and run it twice
+_similarity = _similarity.asNondeterministic()
+
+
 def fuzzy_resolve(wanted: DataFrame, known: DataFrame, cutoff: float = 0.88, name: str = "norm_name") -> DataFrame:
     """Closest known name with a matching-blocks ratio of at least ``cutoff``: ``(name, match, score)``.
 
-    Exact, without comparing all pairs.  A ratio of ``r`` needs the two names to share characters:
-    as bags of (character, occurrence) their Dice overlap is at least ``r``.  By the prefix-filter
-    principle for set similarity, such bags share one of their rarest tokens, so an equi-join on those
-    few tokens (with the length bound as residual) yields every possible match.  Only the
-    surviving pairs are scored.  Equal scores go to the alphabetically last name.
+    Exact, without comparing all pairs.  Matching blocks are a common subsequence, so a ratio of ``r``
+    bounds the edit distance by ``(1 - r) * (total length)``.  Cut a known name into one segment more than
+    that many edits: one segment survives untouched and stands in the wanted name, shifted by no
+    more than the edits allow (the segment filter of edit-distance joins).  Segments are therefore
+    equi-join keys that lose nothing; what they bring together is thinned by the built-in bounded
+    ``levenshtein`` and only the rest is scored.  Equal scores go to the alphabetically last name.
     """
     pairs = _candidates(wanted.select(name).distinct(), known.select(name).distinct(), cutoff, name)
+    # a pair is a few bytes but costs some 100 microseconds: spread by count, not by size
+    pairs = pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism)
     scored = pairs.withColumn("score", _similarity("_known", name)).where(F.col("score") >= cutoff)
     return scored.groupBy(name).agg(
         F.max_by("_known", F.struct("score", "_known")).alias("match"), F.max("score").alias("score")
@@ -164,35 +171,41 @@ def fuzzy_resolve(wanted: DataFrame, known: DataFrame, cutoff: float = 0.88, nam
 
 
 def _candidates(wanted: DataFrame, known: DataFrame, cutoff: float, name: str) -> DataFrame:
-    def tokens(df):
-        chars = F.split(F.col(name), "")
-        # (character, how many equal ones precede it) makes the bag a set
-        seen = F.transform(
-            chars,
-            lambda ch, i: F.concat(
-                ch, F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == ch)).cast("string")
-            ),
-        )
-        return df.where(F.length(name) > 0).select(name, seen.alias("_bag"))
-
-    w, k = tokens(wanted), tokens(known)
-    # alphabet-sized table: how often each token occurs among the known names
-    frequency = k.select(F.explode("_bag").alias("_t")).groupBy("_t").agg(F.count("*").alias("_df"))
-    rank = frequency.agg(F.map_from_entries(F.collect_list(F.struct("_t", "_df")))).scalar()
-
-    def prefixes(df, alias):
-        n = F.size("_bag")
-        # overlap with any partner is at least t/(2-t) of the bag; what may be missed plus one is the prefix
-        must = F.ceil(F.lit(cutoff / (2 - cutoff)) * n - F.lit(1e-9))
-        order = F.array_sort(F.transform("_bag", lambda t: F.struct(F.coalesce(F.try_element_at(F.col("_rank"), t), F.lit(0)).alias("f"), t.alias("t"))))
-        prefix = F.transform(F.slice(order, F.lit(1), (n - must + 1).cast("int")), lambda s: s["t"])
-        ranked = df.withColumn("_rank", rank)
-        return ranked.select(F.col(name).alias(alias), n.alias(f"{alias}_n"), F.explode(prefix).alias("_t"))
-
-    a, b = prefixes(w, name), prefixes(k, "_known")
-    lo = F.least(F.col(f"{name}_n"), F.col("_known_n"))
-    fits = 2.0 * lo >= F.lit(cutoff - 1e-9) * (F.col(f"{name}_n") + F.col("_known_n"))
-    return a.join(b, "_t").where(fits).select(name, "_known").distinct()
+    """Pairs ``(name, _known)`` that can reach ``cutoff``; a superset of those that do."""
+    reach = (2 - cutoff) / cutoff  # longest partner relative to a name's length
+    tiny = 1e-9
+
+    def segments(df):
+        """Add the edits a name of length ``_L`` must survive and one row per segment ``_i``."""
+        longest = F.floor(F.col("_L") * reach + tiny)
+        edits = F.floor((1 - cutoff) * (F.col("_L") + longest) + tiny)
+        cut = df.withColumn("_tau", edits.cast("int"))
+        cut = cut.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_tau"))))
+        edge = lambda i: F.floor(i * F.col("_L") / (F.col("_tau") + 1)).cast("int")
+        return cut.withColumns({"_from": edge(F.col("_i")), "_len": edge(F.col("_i") + 1) - edge(F.col("_i"))})
+
+    k = segments(known.where(F.length(name) > 0).select(F.col(name).alias("_known"), F.length(name).alias("_L")))
+    k = k.select("_known", "_L", "_i", F.substring("_known", F.col("_from") + 1, F.col("_len")).alias("_seg"))
+
+    w = wanted.where(F.length(name) > 0).withColumn("_l", F.length(name))
+    partner = F.sequence(
+        F.greatest(F.ceil(F.col("_l") / reach - tiny).cast("int"), F.lit(1)), F.floor(F.col("_l") * reach + tiny).cast("int")
+    )
+    w = segments(w.withColumn("_L", F.explode(partner)))
+    # edits left and right of the segment add up, which halves the shift window
+    gap = F.col("_l") - F.col("_L")
+    low = F.greatest(F.col("_from") + F.ceil((gap - F.col("_tau")) / 2).cast("int"), F.lit(0))
+    high = F.least(F.col("_from") + F.floor((gap + F.col("_tau")) / 2).cast("int"), F.col("_l") - F.col("_len"))
+    w = w.withColumns({"_low": low, "_high": high}).where("_low <= _high")
+    w = w.withColumn("_at", F.explode(F.sequence("_low", "_high")))
+    w = w.select(name, "_L", "_i", F.substring(name, F.col("_at") + 1, F.col("_len")).alias("_seg")).distinct()
+
+    # few bytes, many partners each: spread by count before the join multiplies them
+    w = w.repartition(w.sparkSession.sparkContext.defaultParallelism)
+    met = w.join(k, ["_L", "_i", "_seg"]).select(name, "_known")
+    allowed = F.floor((1 - cutoff) * (F.length(name) + F.length("_known")) + tiny).cast("int")
+    # the bounded form gives -1 beyond the limit and stops early
+    return met.where(F.call_function("levenshtein", F.col(name), F.col("_known"), allowed) >= 0).distinct()
 
 
 def canonicalize(edges: DataFrame, active: DataFrame, max_rounds: int = 64) -> DataFrame:

@@ -177,32 +177,32 @@ def _candidates(wanted: DataFrame, known: DataFrame, cutoff: float, name: str) -
 
     def segments(df):
         """Add the edits a name of length ``_L`` must survive and one row per segment ``_i``."""
-        longest = F.floor(F.col("_L") * reach + tiny)
-        edits = F.floor((1 - cutoff) * (F.col("_L") + longest) + tiny)
+        longest = F.floor(F.col("_of") * reach + tiny)
+        edits = F.floor((1 - cutoff) * (F.col("_of") + longest) + tiny)
         cut = df.withColumn("_tau", edits.cast("int"))
         cut = cut.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_tau"))))
-        edge = lambda i: F.floor(i * F.col("_L") / (F.col("_tau") + 1)).cast("int")
+        edge = lambda i: F.floor(i * F.col("_of") / (F.col("_tau") + 1)).cast("int")
         return cut.withColumns({"_from": edge(F.col("_i")), "_len": edge(F.col("_i") + 1) - edge(F.col("_i"))})
 
-    k = segments(known.where(F.length(name) > 0).select(F.col(name).alias("_known"), F.length(name).alias("_L")))
-    k = k.select("_known", "_L", "_i", F.substring("_known", F.col("_from") + 1, F.col("_len")).alias("_seg"))
+    k = segments(known.where(F.length(name) > 0).select(F.col(name).alias("_known"), F.length(name).alias("_of")))
+    k = k.select("_known", "_of", "_i", F.substring("_known", F.col("_from") + 1, F.col("_len")).alias("_seg"))
 
-    w = wanted.where(F.length(name) > 0).withColumn("_l", F.length(name))
+    w = wanted.where(F.length(name) > 0).withColumn("_own", F.length(name))
     partner = F.sequence(
-        F.greatest(F.ceil(F.col("_l") / reach - tiny).cast("int"), F.lit(1)), F.floor(F.col("_l") * reach + tiny).cast("int")
+        F.greatest(F.ceil(F.col("_own") / reach - tiny).cast("int"), F.lit(1)), F.floor(F.col("_own") * reach + tiny).cast("int")
     )
-    w = segments(w.withColumn("_L", F.explode(partner)))
+    w = segments(w.withColumn("_of", F.explode(partner)))
     # edits left and right of the segment add up, which halves the shift window
-    gap = F.col("_l") - F.col("_L")
+    gap = F.col("_own") - F.col("_of")
     low = F.greatest(F.col("_from") + F.ceil((gap - F.col("_tau")) / 2).cast("int"), F.lit(0))
-    high = F.least(F.col("_from") + F.floor((gap + F.col("_tau")) / 2).cast("int"), F.col("_l") - F.col("_len"))
+    high = F.least(F.col("_from") + F.floor((gap + F.col("_tau")) / 2).cast("int"), F.col("_own") - F.col("_len"))
     w = w.withColumns({"_low": low, "_high": high}).where("_low <= _high")
     w = w.withColumn("_at", F.explode(F.sequence("_low", "_high")))
-    w = w.select(name, "_L", "_i", F.substring(name, F.col("_at") + 1, F.col("_len")).alias("_seg")).distinct()
+    w = w.select(name, "_of", "_i", F.substring(name, F.col("_at") + 1, F.col("_len")).alias("_seg")).distinct()
 
     # few bytes, many partners each: spread by count before the join multiplies them
     w = w.repartition(w.sparkSession.sparkContext.defaultParallelism)
-    met = w.join(k, ["_L", "_i", "_seg"]).select(name, "_known")
+    met = w.join(k, ["_of", "_i", "_seg"]).select(name, "_known")
     allowed = F.floor((1 - cutoff) * (F.length(name) + F.length("_known")) + tiny).cast("int")
     # the bounded form gives -1 beyond the limit and stops early
     return met.where(F.call_function("levenshtein", F.col(name), F.col("_known"), allowed) >= 0).distinct()

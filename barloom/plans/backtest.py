@@ -55,7 +55,7 @@ def run(
 
     Ranking is one plan for all of them; strategies that share hold, size, band, weighting and regime
     settings also share the plan of everything after it, with ``strategy_id`` as a data column.  The
-    used ranks, the schedule and the holdings are small and are written once, because every later
+    used ranks, the schedule and folded holdings are small and are written once, because every later
     operator reads them several times.
     ``series(series_id, period_no, value)`` feeds the regime filter.
     """
@@ -89,9 +89,10 @@ def run(
         span = periods.where(mine)
         schedule = materialise(h.rebalance_schedule(span, counts.where(mine), hold, n, signals))
         ranked = top.where(mine)
-        held = materialise(
-            h.with_exit_band(ranked, schedule, n, band, freq) if band > 0 else h.top_n(ranked, schedule, n, freq)
-        )
+        if band > 0:
+            held = materialise(h.with_exit_band(ranked, schedule, n, band, freq))
+        else:
+            held = h.top_n(ranked, schedule, n, freq)
         rets = returns.portfolio_returns(panel, held, schedule, span, weighting, gold, gap, freq)
         parts.append((schedule, held, rets))
 

@@ -20,10 +20,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def cents_average(value: str) -> Column:
     """Average in whole cents, integer division."""
-    cents = F.sum(F.round(F.col(value) * 100).cast("bigint"))
+    cents = F.sum(F.floor(F.col(value) * 100 + 0.5))
     return F.call_function("div", cents, F.count("*")).cast("double") / 100.0
 
 
+#: More cents than a price has.
+_CENTS = 10**9
+
+
 def _priced(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("symbol"))
     return table(spark, sf, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
@@ -31,12 +35,16 @@ def _priced(spark, sf):
 
 def daily_bars(spark: SparkSession, sf: str) -> DataFrame:
     """``(symbol, ts, open, high, low, close, adj_close, volume)`` per brand and ship date."""
-    first = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    # lowest (order, line), then price, packed into one number: a plain minimum stays in the hash aggregate,
+    # a minimum over a struct would sort every row
+    cents = F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("decimal(12,0)")
+    place = F.col("l_orderkey").cast("decimal(19,0)") * 8 + F.col("l_linenumber")
+    first = place * _CENTS + cents
     bars = (
         _priced(spark, sf)
         .groupBy("symbol", F.col("l_shipdate").cast("date").alias("ts"))
         .agg(
-            F.min_by("l_extendedprice", first).alias("open"),
+            (F.min(first) % _CENTS / 100).cast("double").alias("open"),
             F.max("l_extendedprice").alias("high"),
             F.min("l_extendedprice").alias("low"),
             cents_average("l_extendedprice").alias("close"),
@@ -163,7 +171,7 @@ _MONTH = "(year({0}) * 12 + month({0}) - 1)"
 CTES: dict[str, str] = {
     "bars": f"""SELECT *, CASE WHEN ts < DATE '1998-01-01' THEN close / 2 ELSE close END AS adj_close FROM (
         SELECT p.p_brand AS symbol, CAST(l.l_shipdate AS DATE) AS ts,
-               arg_min(l_extendedprice, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS open,
+               arg_min(l_extendedprice, (l_orderkey, l_linenumber, l_extendedprice)) AS open,
                max(l_extendedprice) AS high, min(l_extendedprice) AS low,
                {_AVG.format('l_extendedprice')} AS close, sum(l_quantity) AS volume
         FROM {_PRICED} GROUP BY 1, 2)""",

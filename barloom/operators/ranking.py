@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import columns as c
 from barloom.functions import frames as fr
+from barloom.operators.grid import asof_join
 from barloom.operators.indicators import PERIODS_PER_YEAR, trailing_high
 
 
@@ -119,21 +120,24 @@ def _eligible(s: RankParams, need_vol: bool, need_high: bool) -> Column:
 
 
 def flag_members(df: DataFrame, membership: DataFrame, day: str = "ts", by: str = "symbol", alias: str = "is_member") -> DataFrame:
-    """Was the instrument a member on ``day``?  Hash join on the instrument, both ends inclusive."""
-    spells = membership.groupBy(by).agg(F.collect_list(F.struct("start", "end")).alias("_spells"))
-    inside = F.exists(
-        "_spells", lambda s: (F.col(day) >= s["start"]) & (s["end"].isNull() | (F.col(day) <= s["end"]))
+    """Was the instrument a member on ``day``?  Both ends inclusive, a NULL end is open.
+
+    Some interval covers the day exactly if the latest end among the intervals begun by then does, so
+    the range join is an as-of lookup of a running maximum: rows and intervals are never paired up,
+    and overlapping intervals are fine.
+    """
+    forever = F.lit("9999-12-31").cast("date")
+    begun = membership.groupBy(by, F.col("start").alias("_start")).agg(
+        F.max(F.coalesce("end", forever)).alias("_end")
     )
-    return df.join(spells, by, "left").withColumn(alias, c.holds(inside)).drop("_spells")
+    reach = begun.withColumn("_until", fr.running(F.max("_end"), by, "_start"))
+    found = asof_join(df, reach, by, ["_until"], ts=day, right_ts="_start")
+    return found.withColumn(alias, c.holds(F.col(day) <= F.col("_until"))).drop("matched_ts", "_until")
 
 
 def members_on(df: DataFrame, membership: DataFrame, day: str = "ts", by: str = "symbol") -> DataFrame:
-    """Rows whose instrument was a member on ``day``: range semi join with the instrument as hash key."""
-    m = membership.select(F.col(by).alias("_by"), F.col("start").alias("_start"), F.col("end").alias("_end"))
-    hit = (F.col(by) == F.col("_by")) & (F.col(day) >= F.col("_start")) & (
-        F.col("_end").isNull() | (F.col(day) <= F.col("_end"))
-    )
-    return df.join(m, hit, "left_semi")
+    """Rows whose instrument was a member on ``day``, see :func:`flag_members`."""
+    return flag_members(df, membership, day, by, "_member").where("_member").drop("_member")
 
 
 def universe_calendar(

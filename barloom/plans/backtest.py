@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators import holdings as h
@@ -55,7 +55,7 @@ def run(
 
     Ranking is one plan for all of them; strategies that share hold, size, band, weighting and regime
     settings also share the plan of everything after it, with ``strategy_id`` as a data column.  The
-    used ranks, the schedule and folded holdings are small and are written once, because every later
+    used ranks, the counts, the schedule and folded holdings are small and written once, because every later
     operator reads them several times.
     ``series(series_id, period_no, value)`` feeds the regime filter.
     """
@@ -64,11 +64,11 @@ def run(
         raise ValueError("strategies of one run share the panel's period grid")
     freq = strategies[0].freq
     ranking = rank_universe(panel, [s.rank for s in strategies], membership, universes, daily)
-    # one pass over the panel: the ranks a strategy can ever use, with the size of their cross-section
+    # a literal bound on the rank prunes every task to its best rows before the shuffle, and the counts
+    # combine before theirs: reading the panel twice is cheaper than shuffling every ranked row
     reach = max(int(s.n * (1 + s.exit_band_pct / 100.0)) for s in strategies)
-    whole = Window.partitionBy("strategy_id", "period_no")
-    top = materialise(ranking.withColumn("n_ranked", F.count("*").over(whole)).where(F.col("rank") <= reach))
-    counts = top.where("rank = 1").select("strategy_id", "period_no", F.col("n_ranked").cast("int"))
+    top = materialise(ranking.where(F.col("rank") <= reach))
+    counts = materialise(h.ranked_counts(ranking))
     periods = h.strategy_periods(panel, [s.rank for s in strategies])
 
     groups: dict[tuple, list[Strategy]] = {}

@@ -193,7 +193,8 @@ CTES: dict[str, str] = {
     "series": f"""SELECT o_orderpriority AS series_id, last_day(o_orderdate) AS ts,
         CAST({_MONTH.format('o_orderdate')} AS INTEGER) AS period_no, {_AVG.format('o_totalprice')} AS value
         FROM orders GROUP BY 1, 2, 3""",
-    "sret": """SELECT a.*, a.value / lag(a.value) OVER (PARTITION BY a.series_id ORDER BY a.ts) - 1 AS ret FROM series a""",
+    "sret": """SELECT a.*, a.value / b.value - 1 AS ret FROM series a
+        LEFT JOIN series b ON b.series_id = a.series_id AND b.period_no = a.period_no - 1""",
     "dseries": f"""SELECT o_orderpriority AS series_id, CAST(o_orderdate AS DATE) AS ts, {_AVG.format('o_totalprice')} AS value
         FROM orders GROUP BY 1, 2""",
     "bench": f"""SELECT last_day(o_orderdate) AS period_end, CAST({_MONTH.format('o_orderdate')} AS INTEGER) AS period_no,

@@ -212,8 +212,9 @@ define(
 )
 define(
     "lev_path",
-    """SELECT *, ret * (1 + lev) - lev * (0.1e0 / 12) AS lr, coalesce(product(1 + ret * (1 + lev) - lev * (0.1e0 / 12)) OVER
-       (PARTITION BY series_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) * lev * (0.1e0 / 12) AS interest FROM lev""",
+    """SELECT *, CASE WHEN eq > 0 THEN raw ELSE 0 END AS lr, eq * lev * (0.1e0 / 12) AS interest FROM (
+       SELECT *, coalesce(product(1 + raw) OVER (PARTITION BY series_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS eq FROM (
+       SELECT *, ret * (1 + lev) - lev * (0.1e0 / 12) AS raw FROM lev))""",
     "lev",
 )
 

@@ -25,7 +25,6 @@ def test_many_strategies_share_the_panel_shuffle(spark):
 
 
 def test_scan_reads_only_what_it_needs(spark):
-    spark.conf.set("spark.sql.sources.useV1SourceList", "parquet")
     text = plan(spark.read.parquet(f"{SF}/lineitem.parquet").where("l_quantity > 40").select("l_shipdate"))
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,40.0)]" in text
     assert "ReadSchema: struct<l_quantity:double,l_shipdate:timestamp_ntz>" in text

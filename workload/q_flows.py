@@ -36,9 +36,9 @@ define(
 
 def _legs(spark, sf):
     """One portfolio: the lowest priority as reference, the others as candidates in order."""
-    names = p.series_daily(spark, sf).select("series_id").distinct().where("substr(series_id, 1, 1) <> '4'")
+    names = p.series_daily(spark, sf).groupBy("series_id").agg(F.min(F.lit("p1")).alias("portfolio_id"))
     pos = F.substr("series_id", F.lit(1), F.lit(1)).cast("int") % 5
-    return names.select(F.lit("p1").alias("portfolio_id"), "series_id", pos.alias("pos"))
+    return names.where("substr(series_id, 1, 1) <> '4'").select("portfolio_id", "series_id", pos.alias("pos"))
 
 
 @query("rs_rotation_log", with_ctes(f"SELECT ts AS rebalance_date, chosen, {rnd('best_rs')} AS best_rs FROM rslog", "rslog"))

@@ -41,7 +41,7 @@ def read_bars(
     if intraday:
         # vendors append an offset to local wall-clock time; the wall clock is kept
         wall = F.regexp_replace(F.replace(F.col(time), F.lit("T"), F.lit(" ")), r"(Z|[+-]\d{2}:?\d{2})$", "")
-        ts = F.try_to_timestamp(wall).cast("timestamp_ntz")
+        ts = wall.try_cast("timestamp_ntz")
     else:
         ts = F.try_to_date(F.substring(F.col(time), 1, 10), "yyyy-MM-dd")
     names = {f: f.lower().replace(" ", "_") for f in schema.fieldNames() if f != time}

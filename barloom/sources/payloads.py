@@ -27,7 +27,7 @@ def parse_candles(df: DataFrame, payload: str = "payload", by: str = "symbol") -
     value = lambda i: F.col("_c")[i].try_cast("double")
     bars = rows.select(
         by,
-        F.try_to_timestamp(wall).cast("timestamp_ntz").alias("ts"),
+        wall.try_cast("timestamp_ntz").alias("ts"),
         value(1).alias("open"),
         value(2).alias("high"),
         value(3).alias("low"),

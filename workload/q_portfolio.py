@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.operators import holdings, leverage, perf, resample, returns, tax, trades
+from barloom.operators.ranking import RankParams
 from barloom.plans import backtest
 from barloom.session import materialise
 from workload import panels as p
@@ -558,3 +559,60 @@ def levered_backtest(spark, sf):
     rets = materialise(backtest.with_overlays(t, panel, p.daily_bars(spark, sf), 10.0, 1, next_open=True))
     lev = backtest.levered(rets).drop("lev_frac", "interest")
     return p.rounded(backtest.report(lev, _bench_returns(spark, sf))["stats"])
+
+
+# -- other grids and regimes ---------------------------------------------------------------------
+
+define(
+    "wrk",
+    """SELECT symbol, period_no, row_number() OVER (PARTITION BY period_no ORDER BY round(m, 9) DESC, symbol) AS rank, count(*) OVER (PARTITION BY period_no) AS cnt
+       FROM (SELECT a.symbol, a.period_no, e.price / s.price - 1 AS m FROM wpanel a JOIN wpanel e ON e.symbol = a.symbol AND e.period_no = a.period_no - 4
+         JOIN wpanel s ON s.symbol = a.symbol AND s.period_no = a.period_no - 30 WHERE a.price >= 10)""",
+    "wpanel",
+)
+define("wreb", f"SELECT DISTINCT period_no FROM wrk WHERE cnt >= {N} AND period_no >= (SELECT min(period_no) + 31 FROM wpanel)", "wrk", "wpanel")
+define(
+    "wspell",
+    """SELECT period_no AS reb, CAST(unnest(range(period_no + 1, coalesce(lead(period_no) OVER (ORDER BY period_no), (SELECT max(period_no) FROM wpanel)) + 1)) AS INTEGER) AS period_no FROM wreb""",
+    "wreb",
+    "wpanel",
+)
+
+
+@query(
+    "weekly_backtest",
+    with_ctes(
+        f"""SELECT DATE '1970-01-02' + CAST(s.period_no * 7 AS INTEGER) AS period_end, {rnd('coalesce(avg(b.price / a.price - 1), 0)')} AS ret
+        FROM (SELECT CAST(unnest(range((SELECT min(period_no) + 31 FROM wpanel), (SELECT max(period_no) + 1 FROM wpanel))) AS INTEGER) AS period_no) s
+        LEFT JOIN wspell p USING (period_no) LEFT JOIN wrk h ON h.period_no = p.reb AND h.rank <= {N}
+        LEFT JOIN wpanel b ON b.symbol = h.symbol AND b.period_no = s.period_no LEFT JOIN wpanel a ON a.symbol = h.symbol AND a.period_no = s.period_no - 1 GROUP BY 1""",
+        "wspell",
+        "wrk",
+        "wpanel",
+    ),
+)
+def weekly_backtest(spark, sf):
+    """The whole backtest on the weekly grid."""
+    panel = p.weekly_panel(spark, sf)
+    s = backtest.Strategy(RankParams(lookback=26, skip=4), n=N, freq="week")
+    return p.rounded(backtest.run(panel, [s]).returns.select("period_end", "ret"))
+
+
+define("rheld", f"SELECT s.rebalance_no, r.symbol FROM rsched s JOIN ranking r USING (period_no) WHERE s.regime = 'equity' AND r.rank <= {N}", "rsched", "ranking")
+
+
+@query(
+    "regime_events",
+    with_ctes(
+        f"""SELECT {_LABEL.format('s.period_no')} AS event_date, m.symbol, m.action FROM (
+        SELECT h.rebalance_no, h.symbol, 'entry' AS action FROM rheld h WHERE NOT EXISTS (SELECT 1 FROM rheld g WHERE g.symbol = h.symbol AND g.rebalance_no = h.rebalance_no - 1)
+        UNION ALL SELECT h.rebalance_no + 1, h.symbol, 'exit' FROM rheld h WHERE NOT EXISTS (SELECT 1 FROM rheld g WHERE g.symbol = h.symbol AND g.rebalance_no = h.rebalance_no + 1)) m
+        JOIN rsched s USING (rebalance_no)""",
+        "rheld",
+        "rsched",
+    ),
+)
+def regime_events(spark, sf):
+    """The gold position is no equity trade; names leave when gold comes in."""
+    _, t = _regime_test(spark, sf)
+    return holdings.holdings_events(t.holdings, t.schedule).select("event_date", "symbol", "action")

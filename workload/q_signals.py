@@ -219,6 +219,30 @@ def breakout_trades(spark, sf):
     return p.rounded(_breakouts(spark, sf).drop("strategy_id"), 4)
 
 
+_GX = "CASE WHEN s.pos IS NULL THEN NULL WHEN x.l <= s.pos.price * 0.7e0 THEN least(x.o, s.pos.price * 0.7e0) WHEN x.h >= s.pos.target THEN greatest(x.o, s.pos.target) END"
+define(
+    "gap",
+    _fold(
+        "(SELECT *, (SELECT max(idx) FROM cal) AS mx FROM u_chan)",
+        "symbol",
+        "{'idx': idx, 'mx': mx, 'ts': ts, 'o': open, 'h': high, 'l': low, 'c': close, 'fill': CASE WHEN prev_close > 0 AND open >= prev_close * 1.5e0 THEN open END, 'rk': entry_rank}",
+        f"{{'pos': CASE WHEN {_GX} > 0 THEN NULL ELSE s.pos END, 'out': CASE WHEN {_GX} > 0 THEN {_shut(_GX, "CASE WHEN x.l <= s.pos.price * 0.7e0 THEN 'fixed_pct' ELSE 'target' END")} ELSE s.out END}}",
+        f"{{'pos': CASE WHEN z.pos IS NULL AND x.rk IS NOT NULL AND x.fill > 0 THEN {_open('x.fill', 'x.rk', 'x.fill * 0.7e0', 'x.fill + 2e0 * (x.fill - x.fill * 0.7e0)')} ELSE z.pos END, 'out': z.out, {_LASTC}}}",
+        "",
+    ),
+    "u_chan",
+    "cal",
+)
+
+
+@query("gap_up_trades", with_ctes(f"SELECT {_TRADE_COLS} FROM gap", "gap"))
+def gap_up_trades(spark, sf):
+    """Gap entries with a fixed stop and a target."""
+    bars = indicators.channel(indicators.previous_close(_indexed(spark, sf)), 3, 1)
+    rows = universe_bars(signals.gap_up(bars, 50.0), _universe(spark, sf))
+    return p.rounded(signals.breakout_trades(rows, "fixed_pct", 30.0, 2.0).drop("strategy_id"), 4)
+
+
 define(
     "dense",
     """SELECT g.symbol, g.ts, g.idx, b.open, b.close FROM (SELECT s.symbol, c.ts, c.idx FROM (SELECT DISTINCT symbol FROM bars) s CROSS JOIN cal c) g

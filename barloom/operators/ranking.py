@@ -12,6 +12,7 @@ from barloom.functions import columns as c
 from barloom.functions import frames as fr
 from barloom.operators.grid import asof_join
 from barloom.operators.indicators import PERIODS_PER_YEAR, trailing_high
+from barloom.session import materialise
 
 
 @dataclass(frozen=True)
@@ -40,6 +41,7 @@ def rank_universe(
     membership: DataFrame | None = None,
     universes: DataFrame | None = None,
     daily: DataFrame | None = None,
+    split: int | None = None,
 ) -> DataFrame:
     """Eligible instruments per (strategy, period), best first.
 
@@ -51,7 +53,8 @@ def rank_universe(
 
     All look-backs are range frames of one window over (symbol, period_no): the panel is shuffled once
     for any number of strategies.  A strategy's rows are then expanded in place and filtered before
-    the second and last shuffle, on (strategy, period).
+    the second and last shuffle, on (strategy, period).  A cross-section is as large as the number of
+    instruments; ``split`` ranks a very large one in that many score ranges (:func:`rank_in_ranges`).
     """
     strategies = list(strategies)
     need_vol = any(s.max_volatility_pct is not None or s.use_risk_adjusted for s in strategies)
@@ -90,10 +93,32 @@ def rank_universe(
     scored = base.select(
         "symbol", "period_end", "period_no", "price", F.explode(F.array_compact(per_strategy)).alias("_s")
     ).select("_s.strategy_id", "period_end", "period_no", "symbol", "price", "_s.mom", "_s.volatility", "_s.score")
+    if split:
+        return rank_in_ranges(scored, split)
     w = Window.partitionBy("strategy_id", "period_no").orderBy(F.desc(F.round("score", SCORE_DIGITS)), "symbol")
     return scored.withColumn("rank", F.row_number().over(w))
 
 
+def rank_in_ranges(scored: DataFrame, split: int) -> DataFrame:
+    """The same exact rank, with a cross-section spread over ``split`` tasks.
+
+    Approximate percentiles (combined map-side) cut each cross-section into score ranges; a row ranks
+    inside its range and the sizes of the ranges above are added.  Equal scores share a range, so
+    only the ranges' sizes, never the result, depend on the approximation.
+    """
+    by = ["strategy_id", "period_no"]
+    rows = materialise(scored.withColumn("_key", F.round("score", SCORE_DIGITS)))
+    shares = [i / split for i in range(1, split)]
+    cuts = rows.groupBy(*by).agg(F.percentile_approx("_key", shares, 100 * split).alias("_cuts"))
+    rows = rows.join(cuts, by).withColumn("_range", F.size(F.filter("_cuts", lambda x: x > F.col("_key"))))
+    rows = rows.drop("_cuts")
+    sizes = rows.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    above = sizes.select(*by, "_range", F.coalesce(fr.before(F.sum("_n"), by, "_range"), F.lit(0)).alias("_above"))
+    w = Window.partitionBy(*by, "_range").orderBy(F.desc("_key"), "symbol")
+    placed = rows.withColumn("rank", F.row_number().over(w)).join(above, [*by, "_range"])
+    return placed.withColumn("rank", (F.col("rank") + F.col("_above")).cast("int")).drop("_key", "_range", "_above")
+
+
 def _eligible(s: RankParams, need_vol: bool, need_high: bool) -> Column:
     """The strategy's struct for a panel row, NULL when the row is not eligible."""
     mom = F.col(f"_mom_{s.lookback}_{s.skip}")

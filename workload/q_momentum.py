@@ -129,6 +129,13 @@ def rank_all(spark, sf):
     return p.rounded(_ranking(spark, sf).select("period_end", "symbol", "score", "rank"))
 
 
+@query("ranking_in_ranges", with_ctes(f"SELECT period_end, symbol, {rnd('mom')} AS score, rank FROM ranking", "ranking"))
+def ranking_in_ranges(spark, sf):
+    """W6 for very large cross-sections: ranked in score ranges."""
+    out = ranking.rank_universe(p.monthly_panel(spark, sf), [RankParams()], split=4)
+    return p.rounded(out.select("period_end", "symbol", "score", "rank"))
+
+
 @query(
     "ranking_filtered",
     with_ctes(f"SELECT period_end, symbol, {rnd('score')} AS score, {rnd('vol')} AS volatility, rank FROM franking", "franking"),

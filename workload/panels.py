@@ -24,8 +24,8 @@ def cents_average(value: str) -> Column:
     return F.call_function("div", cents, F.count("*")).cast("double") / 100.0
 
 
-#: More cents than a price has.
-_CENTS = 10**9
+#: Places on a day's tape and cents of a price; their product fits a long.
+_TAPE, _CENTS = 2**30, 2**32
 
 
 def _priced(spark, sf):
@@ -35,16 +35,16 @@ def _priced(spark, sf):
 
 def daily_bars(spark: SparkSession, sf: str) -> DataFrame:
     """``(symbol, ts, open, high, low, close, adj_close, volume)`` per brand and ship date."""
-    # lowest (order, line), then price, packed into one number: a plain minimum stays in the hash aggregate,
+    # place in the tape, then price, packed into one long: a plain minimum stays in the hash aggregate,
     # a minimum over a struct would sort every row
-    cents = F.floor(F.col("l_extendedprice") * 100 + 0.5).cast("decimal(12,0)")
-    place = F.col("l_orderkey").cast("decimal(19,0)") * 8 + F.col("l_linenumber")
+    cents = F.floor(F.col("l_extendedprice") * 100 + 0.5)
+    place = (F.col("l_orderkey") * 8 + F.col("l_linenumber")) % _TAPE
     first = place * _CENTS + cents
     bars = (
         _priced(spark, sf)
         .groupBy("symbol", F.col("l_shipdate").cast("date").alias("ts"))
         .agg(
-            (F.min(first) % _CENTS / 100).cast("double").alias("open"),
+            ((F.min(first) % _CENTS) / 100.0).alias("open"),
             F.max("l_extendedprice").alias("high"),
             F.min("l_extendedprice").alias("low"),
             cents_average("l_extendedprice").alias("close"),
@@ -171,7 +171,7 @@ _MONTH = "(year({0}) * 12 + month({0}) - 1)"
 CTES: dict[str, str] = {
     "bars": f"""SELECT *, CASE WHEN ts < DATE '1998-01-01' THEN close / 2 ELSE close END AS adj_close FROM (
         SELECT p.p_brand AS symbol, CAST(l.l_shipdate AS DATE) AS ts,
-               arg_min(l_extendedprice, (l_orderkey, l_linenumber, l_extendedprice)) AS open,
+               arg_min(l_extendedprice, ((l_orderkey * 8 + l_linenumber) % 1073741824, l_extendedprice)) AS open,
                max(l_extendedprice) AS high, min(l_extendedprice) AS low,
                {_AVG.format('l_extendedprice')} AS close, sum(l_quantity) AS volume
         FROM {_PRICED} GROUP BY 1, 2)""",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, decontaminate, neardup, quality, secrets
+from barloom.llm import bpe, decontaminate, lm, neardup, quality, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -199,3 +199,21 @@ def op7_byte_bpe(spark, sf):
 @query("op10_minhash_dedup")
 def op10_minhash_dedup(spark, sf):
     return neardup.find(table(spark, sf, "documents"))
+
+
+@query("op1_lm_score")
+def op1_lm_score(spark, sf):
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    found = lm.score(table(spark, sf, "documents"), held)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark, sf):
+    docs = table(spark, sf, "documents")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = toxicity.fit(docs, table(spark, sf, "labels"), ~held)
+    found = toxicity.score(docs, model)
+    return found.select(
+        "doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )

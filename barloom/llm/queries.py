@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, decontaminate, lm, neardup, quality, secrets, toxicity
+from barloom.llm import bpe, decontaminate, html, lm, neardup, quality, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -217,3 +217,10 @@ def op6_toxicity(spark, sf):
     return found.select(
         "doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
     )
+
+
+@query("op5_html_extract")
+def op5_html_extract(spark, sf):
+    pages = table(spark, sf, "pages")
+    found = html.extract(pages, html.deduce(pages))
+    return found.withColumn("n_chars", F.length("text").cast("long"))

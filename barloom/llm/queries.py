@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, decontaminate, html, lm, neardup, quality, secrets, toxicity
+from barloom.llm import bpe, decontaminate, editcount, html, lm, neardup, preferences, quality, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -224,3 +224,57 @@ def op5_html_extract(spark, sf):
     pages = table(spark, sf, "pages")
     found = html.extract(pages, html.deduce(pages))
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+PREFERENCE_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), s AS (SELECT conv_id, ((conv_id % (count(*) + 1)) + count(*) + 1) % (count(*) + 1) AS cut FROM t GROUP BY conv_id),
+r AS (
+  SELECT t.conv_id, turn, role, text FROM t JOIN s USING (conv_id) WHERE turn < cut
+  UNION ALL SELECT s.conv_id, turn, role, text FROM t JOIN s ON t.conv_id = s.conv_id + 1 WHERE turn >= cut
+), o AS (
+  SELECT conv_id, true AS c, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM t
+  UNION ALL SELECT conv_id, false, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) FROM r
+), differ AS (
+  SELECT s.conv_id, coalesce(min(k) FILTER (x.n = 1), max(k) + 1) - 1 AS n
+  FROM s JOIN (SELECT conv_id, k, CASE WHEN count(*) = 2 AND min(role) = max(role) AND min(text) = max(text) THEN 0 ELSE 1 END AS n
+               FROM o GROUP BY conv_id, k) x USING (conv_id) GROUP BY s.conv_id
+), w AS (
+  SELECT o.*, d.n, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS line,
+    CASE WHEN role = 'assistant' THEN length(text) + 11 ELSE 0 END AS loss
+  FROM o JOIN differ d USING (conv_id)
+)
+SELECT conv_id AS pair_id, any_value(n)::INT AS n_prompt_turns,
+  count(*) FILTER (c AND k > n)::INT AS n_chosen_turns, count(*) FILTER (NOT c AND k > n)::INT AS n_rejected_turns,
+  sha256(coalesce(string_agg(line, '' ORDER BY k) FILTER (c AND k <= n), '')) AS prompt_sha256,
+  sha256(coalesce(string_agg(line, '' ORDER BY k) FILTER (c AND k > n), '')) AS chosen_sha256,
+  sha256(coalesce(string_agg(line, '' ORDER BY k) FILTER (NOT c AND k > n), '')) AS rejected_sha256,
+  coalesce(sum(loss) FILTER (c AND k > n), 0)::BIGINT AS chosen_loss_chars, coalesce(sum(loss) FILTER (NOT c AND k > n), 0)::BIGINT AS rejected_loss_chars
+FROM w GROUP BY conv_id
+"""
+
+
+@query("op8_preference_format", PREFERENCE_SQL)
+def op8_preference_format(spark, sf):
+    made = preferences.format_pairs(preferences.spliced_pairs(table(spark, sf, "conversations")))
+    loss = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return made.select(
+        "pair_id",
+        "n_prompt_turns",
+        "n_chosen_turns",
+        "n_rejected_turns",
+        *[F.sha2(c, 256).alias(f"{c}_sha256") for c in ("prompt", "chosen", "rejected")],
+        loss("chosen_loss").alias("chosen_loss_chars"),
+        loss("rejected_loss").alias("rejected_loss_chars"),
+    )
+
+
+@query("op9_token_counts")
+def op9_token_counts(spark, sf):
+    path, pattern = tokenizer()
+    docs = table(spark, sf, "documents").select("doc_id", "text").withColumn("edits", editcount.own_edits(F.coalesce("text", F.lit(""))))
+    trees = editcount.with_trees(docs, path, pattern).withColumn("n_tokens_before", F.get("tree.tokens", 1).cast("long"))
+    return editcount.apply_edits(trees, path, pattern).select(
+        "doc_id", "n_tokens_before", "n_tokens", "n_encoded", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256")
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,13 +12,38 @@ from barloom import schemas
 from barloom.functions import columns as c
 from barloom.operators import clean
 
-#: Where a file's label stands in its path: the name without extension, or the folder (``key=`` cut off).
-_LABELS = {"file": r"([^/]+?)(?:\.[A-Za-z0-9]+)*$", "folder": r"(?:[^/=]*=)?([^/=]+)/[^/]+$"}
+#: Where a file's label stands in its path: the name without its last suffix, or the folder (``key=`` cut off).
+_LABELS = {"file": r"([^/]+?)(?:\.[^./]*)?$", "folder": r"(?:[^/=]*=)?([^/=]+)/[^/]+$"}
+#: A comma outside quotes.
+_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 
 
-def path_label(level: str = "file") -> Column:
+def path_label(level: str = "file", path: str | Column = "_metadata.file_path") -> Column:
     """Label of the file a row comes from: its stem or its folder."""
-    return F.regexp_extract(F.col("_metadata.file_path"), _LABELS[level], 1)
+    plain = F.url_decode(F.replace(F.col(path) if isinstance(path, str) else path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_extract(plain, _LABELS[level], 1)
+
+
+def read_cells(spark: SparkSession, path: str, key: str) -> tuple[DataFrame, Callable[[str], Column]]:
+    """Rows ``(file, cells, head)`` of a folder of CSV files that name their columns, and the access to a column.
+
+    Every file has a header of its own, so columns may stand in any order or be missing (NULL).  The header is the line
+    with a cell ``key``; a file without one is left out, repeated header lines are skipped.  Names are compared without
+    case.  The headers, one row per file, are joined to the lines.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    bare = F.split(F.regexp_replace("value", "^\ufeff|\r$", ""), _COMMA)
+    cells = F.transform(bare, lambda x: F.regexp_replace(F.trim(x), '^"|"$', ""))
+    rows = lines.select(F.col("_metadata.file_path").alias("file"), cells.alias("cells"))
+    names = F.transform("cells", F.lower)
+    is_head = F.array_contains(names, key.lower())
+    heads = rows.where(is_head).groupBy("file").agg(F.min(names).alias("head"))
+
+    def cell(name: str) -> Column:
+        at = F.array_position("head", name.lower()).cast("int")
+        return F.when(at > 0, F.nullif(F.get("cells", at - 1), F.lit("")))
+
+    return rows.where(~is_head).join(heads, "file"), cell
 
 
 def read_bars(
@@ -30,24 +57,24 @@ def read_bars(
 ) -> DataFrame:
     """Scan a folder of per-instrument CSV files into one long bar table.
 
-    The instrument is the file's stem (``label='folder'``: the name of its folder).  Only ``fields`` are parsed (column pruning reaches the CSV
-    reader); rows without a readable time or without any value are dropped, NaN is NULL; with
-    ``require`` an instrument needs at least one value in each of those fields.
+    The instrument is the file's stem (``label='folder'``: the name of its folder).  Columns are found by their
+    names in each file's header; only ``fields`` are parsed.  Rows without a readable time or without any value are
+    dropped, NaN is NULL; with ``require`` an instrument needs at least one value in each of those fields.
     """
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     time = schema.fieldNames()[0]
-    raw = spark.read.schema(schema).option("header", "true").option("mode", "PERMISSIVE")
-    raw = raw.option("recursiveFileLookup", "true").csv(path)
+    raw, cell = read_cells(spark, path, time)
     if intraday:
         # vendors append an offset to local wall-clock time; the wall clock is kept
-        wall = F.regexp_replace(F.replace(F.col(time), F.lit("T"), F.lit(" ")), r"(Z|[+-]\d{2}:?\d{2})$", "")
+        wall = F.regexp_replace(F.replace(cell(time), F.lit("T"), F.lit(" ")), r"(Z|[+-]\d{2}:?\d{2})$", "")
         ts = wall.try_cast("timestamp_ntz")
     else:
-        ts = F.try_to_date(F.substring(F.col(time), 1, 10), "yyyy-MM-dd")
-    names = {f: f.lower().replace(" ", "_") for f in schema.fieldNames() if f != time}
-    keep = [f for f, out in names.items() if fields is None or out in fields]
-    out = raw.select(path_label(label).alias("symbol"), ts.alias("ts"), *[c.no_nan(F.col(f"`{f}`")).alias(names[f]) for f in keep])
-    out = out.where("ts IS NOT NULL").na.drop("all", subset=[names[f] for f in keep])
+        ts = F.try_to_date(F.substring(cell(time), 1, 10), "yyyy-MM-dd")
+    names = {f: f.name.lower().replace(" ", "_") for f in schema.fields if f.name != time}
+    keep = {f: out for f, out in names.items() if fields is None or out in fields}
+    values = [c.no_nan(cell(f.name).try_cast(f.dataType)).alias(out) for f, out in keep.items()]
+    out = raw.select(path_label(label, "file").alias("symbol"), ts.alias("ts"), *values)
+    out = out.where("ts IS NOT NULL").na.drop("all", subset=list(keep.values()))
     return clean.require_fields(out, require) if require else out
 
 
@@ -70,9 +97,9 @@ def read_series(bars: DataFrame, dim: DataFrame | None = None, price_col: str =
 
 def read_symbol_sets(spark: SparkSession, path: str, label: str = "file") -> DataFrame:
     """Folder of symbol lists -> ``(universe_id, symbol)``; the set is named after its file."""
-    raw = spark.read.schema(schemas.SYMBOL_FILE).option("header", "true").option("recursiveFileLookup", "true").csv(path)
-    rows = raw.select(path_label(label).alias("universe_id"), F.trim("Symbol").alias("symbol"))
-    return rows.where("symbol <> '' AND upper(symbol) <> 'SYMBOL'").distinct()
+    raw, cell = read_cells(spark, path, "Symbol")
+    rows = raw.select(path_label(label, "file").alias("universe_id"), cell("Symbol").alias("symbol"))
+    return rows.where("symbol IS NOT NULL").distinct()
 
 
 def read_snapshots(
@@ -81,22 +108,15 @@ def read_snapshots(
     """Folder of constituent lists named ``yyyy-MM-dd`` -> ``(as_of, symbol, company, industry, series, isin)``."""
     from barloom.operators.membership import apply_canon
 
-    raw = (
-        spark.read.schema(schemas.SNAPSHOT_FILE)
-        .option("header", "true")
-        .option("recursiveFileLookup", "true")
-        .option("ignoreLeadingWhiteSpace", "true")
-        .option("ignoreTrailingWhiteSpace", "true")
-        .csv(path)
-    )
+    raw, cell = read_cells(spark, path, "Symbol")
     out = raw.select(
-        F.try_to_date(path_label(label), "yyyy-MM-dd").alias("as_of"),
-        F.trim("Symbol").alias("symbol"),
-        F.col("`Company Name`").alias("company"),
-        F.col("Industry").alias("industry"),
-        F.col("Series").alias("series"),
-        F.col("`ISIN Code`").alias("isin"),
-    ).where("as_of IS NOT NULL AND symbol <> ''")
+        F.try_to_date(path_label(label, "file"), "yyyy-MM-dd").alias("as_of"),
+        cell("Symbol").alias("symbol"),
+        cell("Company Name").alias("company"),
+        cell("Industry").alias("industry"),
+        cell("Series").alias("series"),
+        cell("ISIN Code").alias("isin"),
+    ).where("as_of IS NOT NULL AND symbol IS NOT NULL")
     return out if canon is None else apply_canon(out, canon)
 
 

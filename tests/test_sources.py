@@ -17,6 +17,15 @@ def test_bar_files(spark, tmp_path):
     assert [r.symbol for r in need.collect()] == ["M&M"]
 
 
+def test_columns_by_name_and_whole_stems(spark, tmp_path):
+    (tmp_path / "BRK.A.csv").write_text("Date,Open,High,Low,Close,Adj Close,Volume\n2024-01-01,1,2,3,4,5,6\n")
+    (tmp_path / "BRK.B.csv").write_text("\ufeffVolume,close,DATE\r\n7,8,2024-01-01\r\n")
+    (tmp_path / "A B+C.csv").write_text('Date,"Close",Note\n2024-01-01,"9","x, y"\n2024-01-02,bad,\n')
+    (tmp_path / "none.csv").write_text("1,2,3\n")
+    got = {r.symbol: (r.open, r.high, r.low, r.close, r.adj_close, r.volume) for r in files.read_bars(spark, str(tmp_path)).collect()}
+    assert got == {"BRK.A": (1, 2, 3, 4, 5, 6), "BRK.B": (None, None, None, 8, None, 7), "A B+C": (None, None, None, 9, None, None)}
+
+
 def test_intraday_wall_clock(spark, tmp_path):
     (tmp_path / "A.csv").write_text("Datetime,Open,High,Low,Close,Volume\n2024-01-01 09:15:00+05:30,1,2,1,2,5\n")
     r = files.read_bars(spark, str(tmp_path), schemas.INTRADAY_FILE, intraday=True).first()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import urllib.parse
+
 from pyspark.sql import functions as F
 
 from barloom import schemas
@@ -13,11 +15,38 @@ from workload.panels import with_ctes
 from workload.registry import query
 
 
+def _one_file_each(df, name: str, columns: list[str]) -> str:
+    """``df`` as CSV files with a header, one per value of ``name`` and named after it.
+
+    Half of the files have the columns in reverse order.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "csv")
+    turn = F.pmod(F.xxhash64(name), F.lit(2))
+    for k, order in enumerate((columns, columns[::-1])):
+        part = df.where(turn == k).select(name, *order)
+        part.repartition(name).write.partitionBy(name).option("header", "true").csv(f"{path}/{k}")
+    _name_after_folders(spark, path)
+    return path
+
+
+def _name_after_folders(spark, path: str) -> None:
+    """Move the only data file of each ``key=value`` folder below ``path/*`` to ``path/files/value.csv``."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.mkdirs(at(f"{path}/files"))
+    for found in fs.globStatus(at(f"{path}/[01]/*=*/part-*")):
+        file = found.getPath()
+        value = urllib.parse.unquote(file.getParent().getName().split("=", 1)[1])
+        fs.rename(file, at(at(f"{path}/files"), f"{value}.csv"))
+    for k in (0, 1):
+        fs.delete(at(f"{path}/{k}"), True)
+
+
 def _bars_as_files(spark, sf):
-    """The daily bars as vendor files, one folder per instrument (brand number)."""
-    path = scratch_path(spark, "csv")
-    out = p.daily_bars(spark, sf).select(
-        F.replace("symbol", F.lit("Brand#"), F.lit("B")).alias("symbol"),
+    """The daily bars as vendor files with dotted and spaced names; that of brand 9 has no adjusted close."""
+    bars = p.daily_bars(spark, sf).select(
+        F.concat(F.replace("symbol", F.lit("Brand#"), F.lit("B ")), F.lit(".NS")).alias("symbol"),
         F.date_format("ts", "yyyy-MM-dd").alias("Date"),
         F.col("adj_close").alias("Adj Close"),
         F.col("close").alias("Close"),
@@ -26,37 +55,38 @@ def _bars_as_files(spark, sf):
         F.col("open").alias("Open"),
         F.col("volume").alias("Volume"),
     )
-    out.write.partitionBy("symbol").option("header", "true").csv(path)
-    return path
+    columns = bars.columns[1:]
+    path = _one_file_each(bars.where("symbol <> 'B 9.NS'"), "symbol", columns)
+    nine = _one_file_each(bars.where("symbol = 'B 9.NS'"), "symbol", [x for x in columns if x != "Adj Close"])
+    return [path, nine]
 
 
 @query(
     "read_bar_files",
-    with_ctes("SELECT replace(symbol, 'Brand#', 'B') AS symbol, ts, adj_close FROM bars", "bars"),
+    with_ctes("SELECT replace(symbol, 'Brand#', 'B ') || '.NS' AS symbol, ts, adj_close FROM bars WHERE symbol <> 'Brand#9'", "bars"),
 )
 def read_bar_files(spark, sf):
     """One field of a folder of per-instrument files."""
-    return files.read_bars(spark, _bars_as_files(spark, sf), fields=["adj_close"], label="folder")
+    return files.read_bars(spark, _bars_as_files(spark, sf), fields=["adj_close"])
 
 
 @query(
     "read_ohlc_files",
     with_ctes(
-        "SELECT replace(symbol, 'Brand#', 'B') AS symbol, ts, open, high, low, close FROM bars WHERE symbol <> 'Brand#7'",
+        "SELECT replace(symbol, 'Brand#', 'B ') || '.NS' AS symbol, ts, open, high, low, close FROM bars WHERE symbol <> 'Brand#7'",
         "bars",
     ),
 )
 def read_ohlc_files(spark, sf):
     """Full bars; an instrument without one of the fields is left out."""
     ohlc = ["open", "high", "low", "close"]
-    return files.read_bars(spark, _bars_as_files(spark, sf), fields=ohlc, require=ohlc, label="folder")
+    return files.read_bars(spark, _bars_as_files(spark, sf), fields=ohlc, require=ohlc)
 
 
 @query("read_intraday_files", with_ctes("SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M') AS at, open, close FROM hours", "hours"))
 def read_intraday_files(spark, sf):
     """S3: intraday open/close scan; the offset is cut, the wall clock stays."""
-    path = scratch_path(spark, "csv")
-    p.intraday_bars(spark, sf).select(
+    bars = p.intraday_bars(spark, sf).select(
         "symbol",
         F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+05:30")).alias("Datetime"),
         F.col("open").alias("Open"),
@@ -64,8 +94,9 @@ def read_intraday_files(spark, sf):
         F.col("low").alias("Low"),
         F.col("close").alias("Close"),
         F.col("n").alias("Volume"),
-    ).write.partitionBy("symbol").option("header", "true").csv(path)
-    bars = files.read_bars(spark, path, schemas.INTRADAY_FILE, ["open", "close"], intraday=True, label="folder")
+    )
+    path = _one_file_each(bars, "symbol", bars.columns[1:])
+    bars = files.read_bars(spark, path, schemas.INTRADAY_FILE, ["open", "close"], intraday=True)
     return bars.select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("at"), "open", "close")
 
 
@@ -114,10 +145,8 @@ def fund_nav_lookup(spark, sf):
 @query("universe_lists", with_ctes("SELECT universe_id, symbol FROM universe", "universe"))
 def universe_lists(spark, sf):
     """Symbol lists, the set named after its file."""
-    path = scratch_path(spark, "lists")
-    u = p.universes(spark, sf).withColumn("Symbol_", F.concat(F.lit(" "), "symbol"))
-    u.select("universe_id", F.col("Symbol_").alias("Symbol")).write.partitionBy("universe_id").option("header", "true").csv(path)
-    return files.read_symbol_sets(spark, path, label="folder")
+    u = p.universes(spark, sf).select("universe_id", F.concat(F.lit(" "), "symbol").alias("Symbol"), F.lit("EQ").alias("Series"))
+    return files.read_symbol_sets(spark, _one_file_each(u, "universe_id", ["Symbol", "Series"]))
 
 
 @query("parse_nav_json", with_ctes("SELECT series_id, ts, value FROM dseries WHERE day(ts) <> 1", "dseries"))
@@ -231,21 +260,21 @@ def parse_index_events(spark, sf):
 )
 def read_snapshots(spark, sf):
     """Dated constituent lists, symbols made canonical."""
-    path = scratch_path(spark, "snapshots")
     snaps = p.snapshots(spark, sf)
     code = F.concat(F.lit("C"), "symbol")
-    snaps.select(
+    lists = snaps.select(
         F.date_format("as_of", "yyyy-MM-dd").alias("as_of"),
         F.lit("Name, Ltd.").alias("Company Name"),
         F.lit("Any").alias("Industry"),
         F.concat(F.lit(" "), code).alias("Symbol"),
         F.lit("EQ").alias("Series"),
         F.lit("-").alias("ISIN Code"),
-    ).write.partitionBy("as_of").option("header", "true").csv(path)
+    )
+    path = _one_file_each(lists, "as_of", lists.columns[1:])
     canon = snaps.where("symbol % 5 = 0").select(
         code.alias("symbol"), F.concat(F.lit("C"), F.col("symbol") + 1).alias("canonical")
     ).distinct()
-    return files.read_snapshots(spark, path, canon, label="folder").select("as_of", "symbol").distinct()
+    return files.read_snapshots(spark, path, canon).select("as_of", "symbol").distinct()
 
 
 @query("report_roundtrip", with_ctes("SELECT series_id, ts, round(value, 2) AS value FROM series", "series"))

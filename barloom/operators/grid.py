@@ -43,11 +43,12 @@ def interpolate_linear(df: DataFrame, value: str = "value", by: str = "symbol",
     """
     w = Window.partitionBy(by).orderBy(order)
     back = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # the next known row is the last one seen when reading backwards: frames that only grow are linear
+    ahead = Window.partitionBy(by).orderBy(F.desc("_pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col("_pos").alias("p"), F.col(value).alias("v")))
     step = df.withColumn("_pos", F.row_number().over(w))
     step = step.withColumn("_lo", F.last(known, ignorenulls=True).over(back)).withColumn(
-        "_hi", F.first(known, ignorenulls=True).over(ahead)
+        "_hi", F.last(known, ignorenulls=True).over(ahead)
     )
     line = F.col("_lo.v") + (F.col("_hi.v") - F.col("_lo.v")) * (F.col("_pos") - F.col("_lo.p")) / (
         F.col("_hi.p") - F.col("_lo.p")
@@ -143,13 +144,19 @@ def asof_join(
 def next_slot(df: DataFrame, slots: DataFrame, ts: str, alias: str = "next_ts") -> DataFrame:
     """First calendar slot strictly after the date ``ts`` (which need not be a slot itself).
 
-    The distinct dates and the slots are laid on one line, so the window sees calendar days only.
+    The distinct dates and the slots are laid on one line, cut by years; read backwards, the last slot seen
+    is the next one.  What lies beyond a year's last slot is looked up among the years' first slots.
     """
     days = df.select(F.col(ts).alias("_d")).distinct().withColumn("_slot", F.lit(None).cast(slots.schema["ts"].dataType))
     line = days.unionByName(slots.select(F.col("ts").alias("_d"), F.col("ts").alias("_slot")))
-    line = line.groupBy("_d").agg(F.max("_slot").alias("_slot"))
-    ahead = Window.partitionBy(F.lit(0)).orderBy("_d").rowsBetween(1, Window.unboundedFollowing)
-    found = line.select(F.col("_d").alias(ts), F.first("_slot", ignorenulls=True).over(ahead).alias(alias))
+    line = line.groupBy("_d").agg(F.max("_slot").alias("_slot")).withColumn("_y", F.year("_d"))
+    back = Window.partitionBy("_y").orderBy(F.desc("_d")).rowsBetween(Window.unboundedPreceding, -1)
+    near = line.select(F.col("_d").alias(ts), "_y", F.last("_slot", ignorenulls=True).over(back).alias("_near"))
+    # one row per calendar year
+    years = line.groupBy("_y").agg(F.min("_slot").alias("_first"))
+    later = Window.orderBy(F.desc("_y")).rowsBetween(Window.unboundedPreceding, -1)
+    years = years.select("_y", F.last("_first", ignorenulls=True).over(later).alias("_far"))
+    found = near.join(years, "_y").select(ts, F.coalesce("_near", "_far").alias(alias))
     return df.join(found, ts)
 
 

@@ -31,18 +31,21 @@ def trailing_high(
 ) -> DataFrame:
     """Highest value of the ``days`` calendar days strictly before each ``(by, label)`` row of ``asof``.
 
-    The as-of dates join the daily rows as valueless rows, so one range frame over the day number
-    answers all of them, trading day or not.
+    Daily rows are reduced to monthly maxima.  A date takes the maxima of the months that lie wholly in its span and
+    the single days of the first and the last one: equi-joins on (instrument, month), which also split a hot instrument.
     """
-    rows = (
-        daily.where(F.col(value).isNotNull())
-        .select(by, F.col("ts").cast("date").alias("_day"), F.col(value).alias("_v"), F.lit(None).cast("date").alias(label))
-        .unionByName(
-            asof.select(by, F.col(label).alias("_day"), F.lit(None).cast("double").alias("_v"), label).distinct()
-        )
-    )
-    w = Window.partitionBy(by).orderBy(F.unix_date("_day")).rangeBetween(-days, -1)
-    return rows.withColumn("high_52w", F.max("_v").over(w)).where(F.col(label).isNotNull()).select(by, label, "high_52w")
+    day = F.col("ts").cast("date")
+    rows = daily.where(F.col(value).isNotNull()).select(by, day.alias("_day"), F.trunc(day, "month").alias("_m"), F.col(value).alias("_v"))
+    asked = asof.select(by, label).distinct()
+    first, last = F.date_sub(label, days), F.date_sub(label, 1)
+    months = F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.expr("interval 1 month"))
+    spread = asked.select(by, label, first.alias("_first"), last.alias("_last"), F.explode(months).alias("_m"))
+    whole = (F.col("_m") >= F.col("_first")) & (F.last_day("_m") <= F.col("_last"))
+    maxima = rows.groupBy(by, "_m").agg(F.max("_v").alias("_v"))
+    inner = spread.where(whole).join(maxima, [by, "_m"]).select(by, label, "_v")
+    edges = spread.where(~whole).join(rows, [by, "_m"]).where("_day BETWEEN _first AND _last").select(by, label, "_v")
+    high = inner.unionByName(edges).groupBy(by, label).agg(F.max("_v").alias("high_52w"))
+    return asked.join(high, [by, label], "left")
 
 
 def previous_close(bars: DataFrame, by: str = "symbol") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from barloom.functions import columns as c
+from barloom.operators.components import connected_components
 from barloom.session import materialise
 
 
@@ -200,47 +201,29 @@ def _candidates(wanted: DataFrame, known: DataFrame, cutoff: float, name: str) -
     w = w.withColumn("_at", F.explode(F.sequence("_low", "_high")))
     w = w.select(name, "_of", "_i", F.substring(name, F.col("_at") + 1, F.col("_len")).alias("_seg")).distinct()
 
-    # few bytes, many partners each: spread by count before the join multiplies them
-    w = w.repartition(w.sparkSession.sparkContext.defaultParallelism)
+    # few bytes, many partners each: spread over the session's shuffle partitions before the join multiplies them
+    w = w.repartition(name, "_seg")
     met = w.join(k, ["_of", "_i", "_seg"]).select(name, "_known")
     allowed = F.floor((1 - cutoff) * (F.length(name) + F.length("_known")) + tiny).cast("int")
     # the bounded form gives -1 beyond the limit and stops early
     return met.where(F.call_function("levenshtein", F.col(name), F.col("_known"), allowed) >= 0).distinct()
 
 
-def canonicalize(edges: DataFrame, active: DataFrame, max_rounds: int = 64) -> DataFrame:
+def canonicalize(edges: DataFrame, active: DataFrame) -> DataFrame:
     """Every symbol of a rename chain -> one canonical symbol: ``(symbol, canonical)``.
 
     ``edges(old, new)``, undirected; ``active(symbol)``.  Canonical is the smallest active member of the
-    connected component, else its smallest member.  Labels shrink to the smallest neighbouring label
-    and are then short-cut through the label's own label, which takes a logarithmic number of
-    rounds on chains; each round is written to the checkpoint folder.  Aggregating minima combines
-    before the shuffle, so a symbol with very many edges is not a hot spot.
+    connected component (:func:`barloom.operators.components.connected_components`), else its smallest member.
     """
     pairs = edges.where("old IS NOT NULL AND new IS NOT NULL")
-    both = materialise(
-        pairs.select(F.col("old").alias("a"), F.col("new").alias("b"))
-        .unionByName(pairs.select(F.col("new").alias("a"), F.col("old").alias("b")))
-        .distinct()
+    symbols = pairs.select(F.col("old").alias("symbol")).union(pairs.select("new")).distinct()
+    parts = connected_components(pairs, "old", "new").withColumnRenamed("node", "symbol")
+    live = active.select("symbol", F.lit(True).alias("_active")).distinct()
+    marked = symbols.join(parts, "symbol", "left").join(live, "symbol", "left").withColumn("_part", F.coalesce("component", "symbol"))
+    chosen = marked.groupBy("_part").agg(
+        F.coalesce(F.min(F.when(F.col("_active"), F.col("symbol"))), F.min("symbol")).alias("canonical")
     )
-    labels = materialise(both.groupBy("a").agg(F.least("a", F.min("b")).alias("l")))
-    for _ in range(max_rounds):
-        offered = both.join(labels.select(F.col("a").alias("b"), "l"), "b").groupBy("a").agg(F.min("l").alias("m"))
-        step = labels.join(offered, "a").select("a", F.least("l", "m").alias("l"), F.col("l").alias("old"))
-        jump = step.select(F.col("a").alias("l"), F.col("l").alias("ll"))
-        merged = materialise(step.join(jump, "l").select("a", F.least("l", "ll").alias("l"), "old"))
-        changed = merged.where(F.col("l") != F.col("old")).limit(1).count()
-        labels = merged.select("a", "l")
-        if changed == 0:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    live = active.select(F.col("symbol").alias("a"), F.lit(True).alias("_active")).distinct()
-    marked = labels.join(live, "a", "left")
-    chosen = marked.groupBy("l").agg(
-        F.coalesce(F.min(F.when(F.col("_active"), F.col("a"))), F.min("a")).alias("canonical")
-    )
-    return marked.join(chosen, "l").select(F.col("a").alias("symbol"), "canonical")
+    return marked.join(chosen, "_part").select("symbol", "canonical")
 
 
 def resolution_report(resolved: DataFrame) -> DataFrame:

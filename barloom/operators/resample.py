@@ -144,7 +144,7 @@ def period_returns(
     """One-period return ``ret``.
 
     ``gap='drop'``: NULL unless the previous calendar period holds a price.  ``gap='pad'``: missing
-    periods carry the last price, so they appear as rows with a return of 0 and the first price after
+    periods, and those without a price, carry the last price, so they appear as rows with a return of 0 and the first price after
     them is compared with the last one before.
     """
     if gap == "drop":
@@ -153,6 +153,7 @@ def period_returns(
         raise ValueError("gap must be 'drop' or 'pad'")
     w = Window.partitionBy(by).orderBy(idx)
     last = panel.agg(F.max(idx)).scalar()
+    panel = panel.where(F.col(price).isNotNull())
     until = F.coalesce(F.lead(idx).over(w) - 1, last)
     return (
         panel.withColumn("ret", c.growth(price, F.lag(price).over(w)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import frames as fr
@@ -11,26 +11,29 @@ from barloom.functions import frames as fr
 def upsert(existing: DataFrame, fresh: DataFrame, keys: list[str] = ("symbol", "ts"), prefer: str = "fresh") -> DataFrame:
     """Merge two tables on ``keys``; on a shared key ``prefer`` decides which whole row stays.
 
-    One hash aggregation: ``max_by`` combines before the shuffle, so a key with many duplicates is
-    reduced where it lies.  Duplicates within a side are resolved by the largest row, so the result
-    does not depend on arrival order and applying the same input twice changes nothing.
+    ``existing`` holds one row per key, as every upsert leaves it; duplicates in ``fresh`` are resolved by the largest
+    row, so the result does not depend on arrival order and applying the same input twice changes nothing.
+    Only ``fresh`` is sorted; the losing side is thinned by an anti join on its keys, and a stored table partitioned by
+    time needs to be read for the partitions of ``fresh`` only.
     """
     if prefer not in ("fresh", "existing"):
         raise ValueError("prefer must be 'fresh' or 'existing'")
-    keys = fr.keys_of(keys)
-    cols = existing.columns
-    rest = [x for x in cols if x not in keys]
-    win, lose = (existing, fresh) if prefer == "existing" else (fresh, existing)
-    both = win.select(*cols, F.lit(1).alias("_rank")).unionByName(lose.select(*cols, F.lit(0).alias("_rank")))
-    row = F.struct("_rank", *rest)
-    return both.groupBy(*keys).agg(F.max(row).alias("_row")).select(*[F.col(x) if x in keys else F.col(f"_row.{x}") for x in cols])
+    keys, cols = fr.keys_of(keys), existing.columns
+    new = keep_last(fresh.select(*cols), keys)
+    win, lose = (existing, new) if prefer == "existing" else (new, existing)
+    rest = lose.join(win.select(*keys), keys, "left_anti")
+    return win.select(*cols).unionByName(rest.select(*cols))
 
 
-def keep_last(df: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """One row per key, the one with the highest ``seq`` (ties: the largest row)."""
+def keep_last(df: DataFrame, keys: list[str], seq: str | None = None) -> DataFrame:
+    """One row per key, the one with the highest ``seq`` (ties, or without ``seq``: the largest row).
+
+    A row number of which only the first counts: each task keeps one row per key before the shuffle.
+    """
     rest = [x for x in df.columns if x not in keys and x != seq]
-    best = df.groupBy(*keys).agg(F.max(F.struct(seq, *rest)).alias("_row"))
-    return best.select(*[F.col(x) if x in keys else F.col(f"_row.{x}") for x in df.columns])
+    order = ([F.col(seq).desc()] if seq else []) + [F.col(x).desc() for x in rest]
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth") if order else df.distinct()
 
 
 def splice(first: DataFrame, second: DataFrame, cutoff, by: str = "symbol", ts: str = "ts") -> DataFrame:

@@ -34,9 +34,7 @@ def parse_candles(df: DataFrame, payload: str = "payload", by: str = "symbol") -
         value(4).alias("close"),
         value(5).alias("volume"),
     ).where("ts IS NOT NULL")
-    rest = [x for x in bars.columns if x not in (by, "ts")]
-    best = bars.groupBy(by, "ts").agg(F.max(F.struct(*rest)).alias("_row"))
-    return best.select(by, "ts", "_row.*")
+    return keep_last(bars, [by, "ts"])
 
 
 def grouped_number(text: str | Column) -> Column:

@@ -6,23 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_bars(df: DataFrame, path: str, mode: str = "overwrite", files_per_year: int = 8) -> None:
+def write_bars(df: DataFrame, path: str, mode: str = "overwrite", rows_per_file: int = 20_000_000) -> None:
     """Consolidated columnar bar table: zstd Parquet by year, sorted so that row groups prune by symbol.
 
-    A year is spread over ``files_per_year`` files by a hash of the symbol *and month*, so an
-    instrument holding much of the data still goes to many files.
+    Adaptive execution sizes the writers by volume: small years share one, a large year is split over many.
     """
-    day = F.col("ts").cast("date")
-    rows = df.withColumn("year", F.year(day))
-    slot = F.pmod(F.hash("symbol", F.month(day)), F.lit(files_per_year))
+    rows = df.withColumn("year", F.year(F.col("ts").cast("date")))
     (
-        rows.withColumn("_slot", slot)
-        .repartition("year", "_slot")
-        .drop("_slot")
+        rows.hint("rebalance", F.col("year"))
         .sortWithinPartitions("year", "symbol", "ts")
         .write.mode(mode)
         .partitionBy("year")
         .option("compression", "zstd")
+        .option("maxRecordsPerFile", rows_per_file)
         .parquet(path)
     )
 
@@ -38,11 +34,11 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwr
         raise ValueError("fmt must be 'csv' or 'parquet'")
 
 
-def replace_keys(df: DataFrame, path: str, key: str = "strategy_id") -> None:
-    """Replace the rows of the keys present in ``df``, keep all others.
+def replace_keys(df: DataFrame, path: str, key: str = "strategy_id", keys: DataFrame | None = None) -> None:
+    """Replace the rows of the keys present in ``df`` and of those listed in ``keys``, keep all others.
 
-    The table is partitioned by ``key`` and only the partitions being written are swapped, each as a
-    whole, so a retried or repeated write leaves the same rows.
+    A key of ``keys`` without new rows ends up without rows.  The table is partitioned by ``key`` and only the partitions
+    concerned are swapped, each as a whole, so a retried or repeated write leaves the same rows.
     """
     (
         df.write.mode("overwrite")
@@ -50,3 +46,10 @@ def replace_keys(df: DataFrame, path: str, key: str = "strategy_id") -> None:
         .partitionBy(key)
         .parquet(path)
     )
+    if keys is not None:
+        spark = df.sparkSession
+        files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        folder = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+        empty = keys.select(key).distinct().join(df.select(key), key, "left_anti")
+        for row in empty.toLocalIterator():
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(path, folder(key, row[0])), True)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.operators.upsert import keep_last
+
 
 def tumbling_bars(ticks: DataFrame, width: str = "1 hour", late: str = "1 hour", by: str = "symbol", price: str = "price", size: str | None = None) -> DataFrame:
     """OHLC bars from a tick stream (or batch): ``(by, ts, open, high, low, close, n)``.
@@ -44,7 +46,7 @@ def gap_sessions(ticks: DataFrame, gap: str = "6 days", late: str = "6 days", by
     return s.select(by, "first_ts", "last_ts", "n")
 
 
-def upsert_stream(stream: DataFrame, path: str, checkpoint: str, keys: list[str], trigger: dict | None = None, mode: str = "update"):
+def upsert_stream(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, mode: str = "update"):
     """Write a stream as per-batch changes to ``path``; read it back with :func:`read_upserts`.
 
     Each micro-batch lands in its own partition and replaces it on a retry, which makes the sink
@@ -72,9 +74,7 @@ def upsert_stream(stream: DataFrame, path: str, checkpoint: str, keys: list[str]
 def read_upserts(spark, path: str, keys: list[str]) -> DataFrame:
     """Current state of an upserted table: per key the row of the latest batch."""
     rows = spark.read.parquet(path)
-    rest = [x for x in rows.columns if x not in (*keys, "batch_id")]
-    latest = rows.groupBy(*keys).agg(F.max(F.struct("batch_id", *rest)).alias("_row"))
-    return latest.select(*keys, *[F.col(f"_row.{x}") for x in rest])
+    return keep_last(rows, list(keys), "batch_id").drop("batch_id")
 
 
 def compact(spark, path: str, target: str, keys: list[str]) -> None:

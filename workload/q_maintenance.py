@@ -25,7 +25,7 @@ def _ticks(spark, sf):
 
 def _drain(spark, stream, keys, name):
     out, ck = scratch_path(spark, name), scratch_path(spark, "progress")
-    sb.upsert_stream(stream, out, ck, keys).awaitTermination()
+    sb.upsert_stream(stream, out, ck).awaitTermination()
     return sb.read_upserts(spark, out, keys)
 
 
@@ -49,7 +49,7 @@ def stream_gap_sessions(spark, sf):
     out, ck = scratch_path(spark, "sessions"), scratch_path(spark, "progress")
     # a session that grows is a new window: only finished ones may be appended, so the tail is closed by completing
     stream = sb.gap_sessions(ticks, "12 hours", "1 hour")
-    sb.upsert_stream(stream, out, ck, ["symbol", "first_ts"], mode="complete").awaitTermination()
+    sb.upsert_stream(stream, out, ck, mode="complete").awaitTermination()
     got = sb.read_upserts(spark, out, ["symbol", "first_ts"])
     at = lambda x: F.date_format(c.instant_to_wall_clock(x), "yyyy-MM-dd HH:mm:ss")
     return got.select(F.col("symbol").alias("user_id"), at("first_ts").alias("first_at"), at("last_ts").alias("last_at"), "n")

@@ -153,7 +153,7 @@ def membership_pipeline(spark, sf):
     canon = materialise(m.canonicalize(
         renamed.select(F.col("old_symbol").alias("old"), F.col("new_symbol").alias("new")), master.select("symbol")
     ))
-    line = p.table(spark, sf, "lineitem").where("year(l_shipdate) >= 2000")
+    line = p.table(spark, sf, "lineitem")
     snaps = line.select(
         F.make_date(F.year("l_shipdate"), F.lit(7), F.lit(1)).alias("as_of"), F.concat(F.lit("P"), "l_partkey").alias("symbol")
     ).distinct()

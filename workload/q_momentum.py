@@ -34,14 +34,14 @@ def period_returns(spark, sf):
         f"""SELECT symbol, period_no, {rnd('px / lag(px) OVER (PARTITION BY symbol ORDER BY period_no) - 1')} AS ret FROM (
         SELECT g.symbol, g.no AS period_no, last_value(p.price IGNORE NULLS) OVER (PARTITION BY g.symbol ORDER BY g.no) AS px
         FROM (SELECT symbol, CAST(unnest(range(min(period_no), (SELECT max(period_no) + 1 FROM panel))) AS INTEGER) AS no
-              FROM panel WHERE price > 15000 GROUP BY 1) g
-        LEFT JOIN panel p ON p.symbol = g.symbol AND p.period_no = g.no AND p.price > 15000)""",
+              FROM panel WHERE period_no % 5 <> 3 GROUP BY 1) g
+        LEFT JOIN panel p ON p.symbol = g.symbol AND p.period_no = g.no AND p.period_no % 5 <> 3)""",
         "panel",
     ),
 )
 def period_returns_padded(spark, sf):
     """One-period return with missing periods carried forward."""
-    panel = p.monthly_panel(spark, sf).where("price > 15000")
+    panel = p.monthly_panel(spark, sf).withColumn("price", F.when(F.col("period_no") % 5 != 3, F.col("price")))
     return p.rounded(resample.period_returns(panel, gap="pad").select("symbol", "period_no", "ret"))
 
 

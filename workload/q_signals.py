@@ -498,10 +498,10 @@ def r_histogram(spark, sf):
     return perf.r_histogram(_sized(spark, sf)).drop("strategy_id")
 
 
-@query("compounding_steps", with_ctes("SELECT ts, CAST(greatest(floor(ln(max(equity) OVER (ORDER BY ts) / 1000000) / ln(1.05e0)), 0) AS INTEGER) AS n_steps FROM curve WHERE ts < DATE '1997-06-01'", "curve"))
+@query("compounding_steps", with_ctes("SELECT ts, CAST(greatest(floor(ln(max(equity) OVER (ORDER BY ts) / 1000000) / ln(1.05e0)), 0) AS INTEGER) AS n_steps FROM curve", "curve"))
 def compounding_steps(spark, sf):
     """Ratchet of the sizing capital."""
-    equity = trades.equity_curve(_sized(spark, sf), p.daily_bars(spark, sf)).where("ts < DATE '1997-06-01'")
+    equity = trades.equity_curve(_sized(spark, sf), p.daily_bars(spark, sf))
     return perf.compounding_steps(equity, 1_000_000.0, 5.0).select("ts", "n_steps")
 
 

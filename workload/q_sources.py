@@ -288,17 +288,17 @@ def report_roundtrip(spark, sf):
 @query(
     "replace_by_key",
     with_ctes(
-        "SELECT series_id AS strategy_id, ts, CASE WHEN substr(series_id, 1, 1) IN ('1', '2') THEN value + 1 ELSE value END AS value FROM series WHERE NOT (substr(series_id, 1, 1) = '1' AND year(ts) < 1998)",
+        "SELECT series_id AS strategy_id, ts, CASE WHEN substr(series_id, 1, 1) IN ('1', '2') THEN value + 1 ELSE value END AS value FROM series WHERE substr(series_id, 1, 1) <> '3' AND NOT (substr(series_id, 1, 1) = '1' AND year(ts) < 1998)",
         "series",
     ),
 )
 def replace_by_key(spark, sf):
-    """Replaced keys lose their old rows, other keys keep theirs."""
+    """Replaced keys lose their old rows, also where nothing replaces them; other keys keep theirs."""
     path = scratch_path(spark, "results")
     s = p.series(spark, sf).select(F.col("series_id").alias("strategy_id"), "ts", "value")
     sinks.replace_keys(s, path)
     new = s.where("substr(strategy_id, 1, 1) IN ('1', '2')").withColumn("value", F.col("value") + 1)
-    sinks.replace_keys(new.where("NOT (substr(strategy_id, 1, 1) = '1' AND year(ts) < 1998)"), path)
+    sinks.replace_keys(new.where("NOT (substr(strategy_id, 1, 1) = '1' AND year(ts) < 1998)"), path, keys=s.where("substr(strategy_id, 1, 1) IN ('1', '2', '3')"))
     back = spark.read.schema("strategy_id STRING, ts DATE, value DOUBLE").parquet(path)
     return p.rounded(back, 2)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,9 @@ from barloom.functions.columns import period_end_of
 from barloom.operators import holdings as h
 from barloom.operators.ranking import RankParams
 from barloom.plans.backtest import Strategy, run
-from barloom.sources.registry import MAX_STRATEGIES, with_parameters
+from barloom.session import materialise
+from barloom.sources.registry import PRICES, mark_computed, with_parameters
+from barloom.sources.sinks import replace_keys
 
 
 @dataclass
@@ -21,53 +24,77 @@ class Recomputed:
     rejected: DataFrame
 
 
-def strategies_of(registry: DataFrame, cap: int = MAX_STRATEGIES) -> list[Strategy]:
-    """Valid registry rows as strategies.
+#: Strategies whose parameters go into one plan.
+BLOCK = 200
+#: Names of the universe that filters nothing.
+WHOLE_MARKET = ("Nifty 500", "all")
+
+
+def _grid(row) -> tuple[str, str]:
+    return ("week" if row.rebal_freq == "Weekly" else "month", row.price_col or "Adj Close")
+
+
+def _strategy(r) -> Strategy:
+    rank = RankParams(
+        strategy_id=r.strategy_id,
+        lookback=r.lookback_months,
+        skip=r.skip_months,
+        min_price=r.min_price,
+        max_volatility_pct=r.max_volatility_pct,
+        use_risk_adjusted=bool(r.use_risk_adjusted),
+        max_trailing_return_pct=r.max_trailing_return_pct,
+        max_drawdown_from_52w_high_pct=r.max_drawdown_from_52w_high_pct,
+        use_membership=bool(r.use_membership_filter),
+        universe=None if r.universe in WHOLE_MARKET else r.universe,
+    )
+    return Strategy(
+        rank=rank,
+        hold=r.hold_months,
+        n=r.n_stocks,
+        exit_band_pct=(r.exit_band_pct or 0.0) if r.use_exit_band else 0.0,
+        weighting="drift" if r.weighting_mode == "drift" else "equal",
+        regime=("equity", "gold") if r.use_regime_filter else None,
+        gold_entry=r.gold_entry_lookback or 150,
+        gold_exit=r.gold_exit_lookback or 55,
+        freq=_grid(r)[0],
+    )
+
+
+def _blocks(registry: DataFrame) -> Iterator[tuple[tuple[str, str], list[Strategy]]]:
+    """The valid strategies by grid, at most ``BLOCK`` at a time; the registry is streamed, never held as a whole."""
+    rows = with_parameters(registry).where("valid").select("strategy_id", "p.*")
+    waiting: dict[tuple[str, str], list[Strategy]] = {}
+    for r in rows.orderBy("strategy_id").toLocalIterator():
+        mine = waiting.setdefault(_grid(r), [])
+        mine.append(_strategy(r))
+        if len(mine) == BLOCK:
+            yield _grid(r), waiting.pop(_grid(r))
+    yield from waiting.items()
 
-    The rows become plan parameters, so they are read to the driver; the registry's cap bounds them
-    and a larger registry is refused rather than cut.
-    """
-    rows = with_parameters(registry).where("valid").select("strategy_id", "p.*").limit(cap + 1).collect()
-    if len(rows) > cap:
-        raise ValueError(f"registry holds more than {cap} strategies")
-    out = []
-    for r in sorted(rows, key=lambda r: r.strategy_id):
-        rank = RankParams(
-            strategy_id=r.strategy_id,
-            lookback=r.lookback_months,
-            skip=r.skip_months,
-            min_price=r.min_price,
-            max_volatility_pct=r.max_volatility_pct,
-            use_risk_adjusted=bool(r.use_risk_adjusted),
-            max_trailing_return_pct=r.max_trailing_return_pct,
-            max_drawdown_from_52w_high_pct=r.max_drawdown_from_52w_high_pct,
-            use_membership=bool(r.use_membership_filter),
-            universe=r.universe,
-        )
-        out.append(
-            Strategy(
-                rank=rank,
-                hold=r.hold_months,
-                n=r.n_stocks,
-                exit_band_pct=(r.exit_band_pct or 0.0) if r.use_exit_band else 0.0,
-                weighting="drift" if r.weighting_mode == "drift" else "equal",
-                regime=("equity", "gold") if r.use_regime_filter else None,
-                gold_entry=r.gold_entry_lookback or 150,
-                gold_exit=r.gold_exit_lookback or 55,
-                freq="week" if r.rebal_freq == "Weekly" else "month",
-            )
-        )
-    return out
-
-
-def rejected(registry: DataFrame) -> DataFrame:
-    """Registry rows whose parameters no run could use."""
-    return with_parameters(registry).where(~F.col("valid")).select("strategy_id", "name")
+
+def rejected(registry: DataFrame, panels: dict | None = None) -> DataFrame:
+    """Registry rows whose parameters no run could use, or for whose grid there is no panel."""
+    rows = with_parameters(registry)
+    unusable = ~F.col("valid")
+    if panels is not None:
+        freq = F.when(F.col("p.rebal_freq") == "Weekly", "week").otherwise("month")
+        price = F.coalesce("p.price_col", F.lit("Adj Close"))
+        known = [(f, x) for f in ("month", "week") for x in PRICES if _panel(panels, (f, x)) is not None]
+        served = F.lit(False)
+        for f, x in known:
+            served |= (freq == f) & (price == x)
+        unusable |= ~served
+    return rows.where(unusable).select("strategy_id", "name")
+
+
+def _panel(panels: dict, grid: tuple[str, str]) -> DataFrame | None:
+    """Panel of a grid and price; one given for the grid alone holds adjusted closes."""
+    return panels.get(grid, panels.get(grid[0]) if grid[1] == "Adj Close" else None)
 
 
 def recompute_all(
     registry: DataFrame,
-    panels: dict[str, DataFrame],
+    panels: dict[str | tuple[str, str], DataFrame],
     membership: DataFrame | None = None,
     universes: DataFrame | None = None,
     daily: DataFrame | None = None,
@@ -76,20 +103,35 @@ def recompute_all(
 ) -> Recomputed:
     """Events of the last ``event_months`` before each strategy's last rebalance, and current positions.
 
-    ``panels`` maps a period grid (``month``, ``week``) to its panel.  Rows with unusable parameters are
-    diverted to ``rejected`` before the job, so one bad strategy cannot fail the others.
+    ``panels`` maps a period grid (``month``, ``week``), or a grid and a price (``("month", "Close")``), to its panel.
+    Rows with unusable parameters or without a panel are diverted to ``rejected`` before the job, so one bad
+    strategy cannot fail the others.  A registry without usable rows gives empty tables.
     """
-    events = positions = None
-    for freq, panel in panels.items():
-        mine = [s for s in strategies_of(registry) if s.freq == freq]
-        if not mine:
+    spark = registry.sparkSession
+    kind = registry.schema["strategy_id"].dataType.simpleString()
+    events = spark.createDataFrame([], f"strategy_id {kind}, symbol string, event_date date, action string")
+    positions = spark.createDataFrame([], f"strategy_id {kind}, symbol string, entry_date date")
+    for grid, mine in _blocks(registry):
+        panel = _panel(panels, grid)
+        if panel is None:
             continue
+        freq = grid[0]
         test = run(panel, mine, membership, universes, daily, series)
         last = test.schedule.groupBy("strategy_id").agg(F.max("period_no").alias("_last"))
         cut = last.select("strategy_id", F.add_months(period_end_of("_last", freq), -event_months).alias("_since"))
         ev = h.holdings_events(test.holdings, test.schedule, freq=freq).join(cut, "strategy_id")
-        ev = ev.where("event_date >= _since").drop("_since")
-        pos = h.current_positions(test.holdings, test.schedule, freq)
-        events = ev if events is None else events.unionByName(ev)
-        positions = pos if positions is None else positions.unionByName(pos)
-    return Recomputed(events, positions, rejected(registry))
+        events = events.unionByName(ev.where("event_date >= _since").select(*events.columns))
+        positions = positions.unionByName(h.current_positions(test.holdings, test.schedule, freq).select(*positions.columns))
+    return Recomputed(events, positions, rejected(registry, panels))
+
+
+def store(done: Recomputed, registry: DataFrame, events_path: str, positions_path: str, when) -> DataFrame:
+    """Replace the stored events and positions of every strategy that has holdings and return the registry with those stamped.
+
+    A strategy without holdings keeps what it had; one without events in the span loses its old ones.
+    """
+    positions = materialise(done.positions)
+    keys = positions.select("strategy_id").distinct()
+    replace_keys(done.events.join(keys, "strategy_id", "left_semi"), events_path, keys=keys)
+    replace_keys(positions, positions_path, keys=keys)
+    return mark_computed(registry, keys, when)

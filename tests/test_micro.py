@@ -439,3 +439,43 @@ def test_fold_does_not_depend_on_partitions(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     assert len(seen) == 1
+
+
+def test_registry_rows_without_panel_or_known_values_are_rejected(spark):
+    import json
+
+    from barloom.plans import recompute
+
+    base = {"lookback_months": 2, "skip_months": 0, "hold_months": 1, "n_stocks": 1, "min_price": 1.0, "universe": "all"}
+    rows = [("m", {}), ("w", {"rebal_freq": "Weekly"}), ("x", {"weighting_mode": "odd"}), ("c", {"price_col": "Close"}), ("f", {"rebal_freq": "Daily"})]
+    registry = spark.createDataFrame([(i, i, json.dumps(base | more)) for i, more in rows], "strategy_id string, name string, parameters string")
+    panel = spark.createDataFrame(
+        [(s, dt.date(2020, k, 28), 24239 + k, 10.0 + k * (s == "A")) for s in "AB" for k in range(1, 9)],
+        "symbol string, period_end date, period_no int, price double",
+    )
+    done = recompute.recompute_all(registry, {"month": panel})
+    assert sorted(r.strategy_id for r in done.rejected.collect()) == ["c", "f", "w", "x"]
+    assert {r.strategy_id for r in done.positions.collect()} == {"m"}
+    none = recompute.recompute_all(registry.where("strategy_id = 'x'"), {"month": panel})
+    assert none.events.collect() == [] and none.positions.collect() == []
+
+
+def test_long_rename_chains_settle(spark):
+    order = list(range(2, 301)) + [1]
+    edges = spark.createDataFrame(list(zip(order, order[1:], strict=False)) + [(500, 500)], "old int, new int")
+    active = spark.createDataFrame([(7,), (9,)], "symbol int")
+    from barloom.operators import membership
+
+    got = {r.symbol: r.canonical for r in membership.canonicalize(edges, active).collect()}
+    assert got == {i: 7 for i in range(1, 301)} | {500: 500}
+
+
+def test_long_series_interpolate_in_linear_time(spark):
+    import time
+
+    from barloom.operators import grid
+
+    df = spark.range(100_000).selectExpr("'a' AS symbol", "id AS ts", "CASE WHEN id % 50 = 0 THEN CAST(id AS DOUBLE) END AS value")
+    began = time.time()
+    assert grid.interpolate_linear(df).where("abs(value - ts) > 1e-6 AND ts < 99950").count() == 0
+    assert time.time() - began < 30

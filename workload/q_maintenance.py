@@ -104,8 +104,7 @@ define(
 
 
 def _recompute(spark, sf):
-    saved = _saved(spark, sf).withColumn("parameters", F.replace("parameters", F.lit('"universe":"all",'), F.lit("")))
-    return recompute.recompute_all(saved, {"month": p.monthly_panel(spark, sf)})
+    return recompute.recompute_all(_saved(spark, sf), {"month": p.monthly_panel(spark, sf)})
 
 
 @query(

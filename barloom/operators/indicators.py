@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions import columns as c
 from barloom.functions import frames as fr
-from barloom.functions.fold import ordered_fold
+from barloom.functions.scan import linear_scan
 
 #: Returns are annualised with twelve periods per year on every grid.
 PERIODS_PER_YEAR = 12.0
@@ -71,32 +71,19 @@ def ema(
     After ``g`` slots the old average weighs ``(1-a)^g`` against ``a`` for the new value (the two are
     normalised), so only printed rows need to be visited.
     """
-    names, alphas = list(spans), [2.0 / (n + 1.0) for n in spans.values()]
-
-    class Average:
-        def __init__(self):
-            self.at, self.ys = None, []
-
-        def row(self, r):
-            i, x = getattr(r, idx), getattr(r, value)
-            if x is not None:
-                if self.at is None:
-                    self.ys = [x] * len(alphas)
-                else:
-                    gap = i - self.at
-                    for k, a in enumerate(alphas):
-                        old = (1.0 - a) ** gap
-                        self.ys[k] = (old * self.ys[k] + a * x) / (old + a)
-                self.at = i
-            yield (i, *(self.ys or [None] * len(alphas)))
-
-        def end(self):
-            return ()
-
-    out = ordered_fold(
-        bars.select(by, idx, value), [by], [idx], Average, ", ".join([f"{idx} INT"] + [f"{n} DOUBLE" for n in names])
-    )
-    return bars.join(out, [by, idx])
+    x, i = F.col(value), F.col(idx)
+    printed = F.when(x.isNotNull(), i)
+    gap = i - fr.before(F.max(printed), by, idx)
+    rows = bars.withColumn("_gap", gap)
+    steps = {}
+    for name, n in spans.items():
+        a = 2.0 / (n + 1.0)
+        old = F.coalesce(F.pow(F.lit(1.0 - a), F.col("_gap")), F.lit(0.0))
+        weight = F.when(F.col("_gap").isNull(), F.lit(1.0)).otherwise(F.lit(a))
+        steps[name] = (old / (old + weight), weight * x / (old + weight))
+    out = linear_scan(rows, by, idx, steps)
+    begun = fr.running(F.count(value), by, idx) > 0
+    return out.withColumns({name: F.when(begun, F.col(name)) for name in spans}).drop("_gap")
 
 
 def rsi(bars: DataFrame, period: int = 14, value: str = "close", by: str = "symbol", idx: str = "idx") -> DataFrame:
@@ -106,38 +93,23 @@ def rsi(bars: DataFrame, period: int = 14, value: str = "close", by: str = "symb
     the first defined reading can count as a cross from above.  A change across a calendar gap is
     undefined and leaves the averages as they were.
     """
-    a = 1.0 / period
-
-    class Wilder:
-        def __init__(self):
-            self.at = self.prev = self.gain = self.loss = None
-            self.seen = 0
-            self.lag = 1
-
-        def row(self, r):
-            i, x = getattr(r, idx), getattr(r, value)
-            if x is not None:
-                if self.at is not None and i - self.at == 1:
-                    up, down = max(x - self.prev, 0.0), max(self.prev - x, 0.0)
-                    if self.seen == 0:
-                        self.gain, self.loss = up, down
-                    else:
-                        old = (1.0 - a) ** (i - self.last_change)
-                        self.gain = (old * self.gain + a * up) / (old + a)
-                        self.loss = (old * self.loss + a * down) / (old + a)
-                    self.seen += 1
-                    self.last_change = i
-                self.at, self.prev = i, x
-            if self.seen < period or not self.loss > 0:
-                yield (i, 100.0)
-            else:
-                yield (i, 100.0 - 100.0 / (1.0 + self.gain / self.loss))
-
-        def end(self):
-            return ()
-
-    out = ordered_fold(bars.select(by, idx, value), [by], [idx], Wilder, f"{idx} INT, rsi DOUBLE")
-    return bars.join(out, [by, idx])
+    a, x, i = 1.0 / period, F.col(value), F.col(idx)
+    last = fr.before(F.last(F.when(x.isNotNull(), F.struct(i.alias("i"), x.alias("x"))), ignorenulls=True), by, idx)
+    rows = bars.withColumn("_last", last)
+    rows = rows.withColumn("_change", F.when(i - F.col("_last.i") == 1, x - F.col("_last.x")))
+    changed = F.when(F.col("_change").isNotNull(), i)
+    rows = rows.withColumns(
+        {"_gap": i - fr.before(F.max(changed), by, idx), "_seen": fr.running(F.count("_change"), by, idx)}
+    )
+    old = F.coalesce(F.pow(F.lit(1.0 - a), F.col("_gap")), F.lit(0.0))
+    weight = F.when(F.col("_gap").isNull(), F.lit(1.0)).otherwise(F.lit(a))
+    part = lambda side: (old / (old + weight), weight * F.greatest(side, F.lit(0.0)) / (old + weight))
+    known = F.col("_change").isNotNull()
+    steps = {"_gain": F.col("_change"), "_loss": -F.col("_change")}
+    out = linear_scan(rows, by, idx, {n: tuple(F.when(known, v) for v in part(side)) for n, side in steps.items()})
+    index = 100.0 - 100.0 / (1.0 + F.col("_gain") / F.col("_loss"))
+    defined = (F.col("_seen") >= period) & (F.col("_loss") > 0)
+    return out.withColumn("rsi", F.when(defined, index).otherwise(F.lit(100.0))).drop("_last", "_change", "_gap", "_seen", *steps)
 
 
 def fresh_cross(bars: DataFrame, value: str = "rsi", threshold: float = 31.0, by: str = "symbol", idx: str = "idx") -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from barloom.functions import columns as c
 from barloom.functions import frames as fr
-from barloom.functions.fold import ordered_fold
 from barloom.operators import grid
 from barloom.operators.holdings import holding_changes
 
@@ -173,27 +172,22 @@ def pair_trades(signals: DataFrame, by: list[str], ts: str = "ts") -> DataFrame:
     ``(by, entry_date, entry_price, exit_date, exit_price, status)``; a trade still open has no exit.
     """
 
-    class Pair:
-        def __init__(self):
-            self.entry = None
-
-        def row(self, r):
-            t = getattr(r, ts)
-            if self.entry is not None and r.leave:
-                yield (*self.entry, t, r.price, "closed")
-                self.entry = None
-            if self.entry is None and r.enter:
-                self.entry = (t, r.price)
-
-        def end(self):
-            if self.entry is not None:
-                yield (*self.entry, None, None, "open")
-
-    t_type = signals.schema[ts].dataType.simpleString()
-    return ordered_fold(
-        signals.select(*by, ts, "price", "enter", "leave"),
-        by,
-        [ts],
-        Pair,
-        f"entry_date {t_type}, entry_price DOUBLE, exit_date {t_type}, exit_price DOUBLE, status STRING",
+    w = Window.partitionBy(*by).orderBy(ts)
+    rows = signals.select(
+        *by, ts, F.col("price").cast("double").alias("price"), c.holds(F.col("enter")).alias("enter"), c.holds(F.col("leave")).alias("leave")
+    ).where("enter OR leave")
+    # a row with an entry leaves a position behind, one with only an exit leaves none
+    held = F.coalesce(F.lag("enter").over(w), F.lit(False))
+    rows = rows.select(
+        *by, ts, "price", (F.col("enter") & (~held | F.col("leave"))).alias("opens"), (F.col("leave") & held).alias("closes")
+    ).where("opens OR closes")
+    after = F.lead(F.struct(ts, "price")).over(w)
+    rows = rows.withColumn("_exit", after).where("opens")
+    return rows.select(
+        *by,
+        F.col(ts).alias("entry_date"),
+        F.col("price").alias("entry_price"),
+        F.col(f"_exit.{ts}").alias("exit_date"),
+        F.col("_exit.price").alias("exit_price"),
+        F.when(F.col("_exit").isNull(), "open").otherwise("closed").alias("status"),
     )

@@ -176,12 +176,9 @@ def universe_calendar(
     rows = ranking if allowed is None else ranking.join(allowed.select("symbol").distinct(), "symbol", "left_semi")
     w = Window.partitionBy("strategy_id", "period_no")
     order = F.desc("rank") if weakest else F.col("rank")
-    picked = (
-        rows.withColumn("_n", F.count("*").over(w))
-        .withColumn("entry_rank", F.row_number().over(w.orderBy(order)))
-        .where((F.col("_n") >= n) & (F.col("entry_rank") <= n))
-        .drop("_n")
-    )
+    # the rank bound prunes before the shuffle; a period is full if its n-th name is among the n that are left
+    best = rows.withColumn("entry_rank", F.row_number().over(w.orderBy(order))).where(F.col("entry_rank") <= n)
+    picked = best.withColumn("_n", F.max("entry_rank").over(w)).where(F.col("_n") >= n).drop("_n")
     return picked if start is None else picked.where(F.col("period_end") >= F.lit(start).cast("date"))
 
 

@@ -134,29 +134,22 @@ def trade_measures(trades: DataFrame, short: bool = False, last_ts=None) -> Data
 def equity_curve(trades: DataFrame, bars: DataFrame, capital: float = 1_000_000.0, short: bool = False) -> DataFrame:
     """Capital plus realised and unrealised profit on every slot of ``bars``.
 
-    Trades of one (strategy, symbol) do not overlap, so each bar belongs to at most one of them: the
-    one found by an as-of join on the entry.  A trade whose instrument does not print on a slot is
+    A trade is spread over the slots it is held, from its entry on and before its exit, and meets its instrument's bars there
+    in an equi-join, so only bars that are held are looked at.  A trade whose instrument does not print on a slot is
     worth its entry price there.
     """
     sign = -1.0 if short else 1.0
-    by = ["strategy_id", "symbol"]
-    t = trades.select(*by, "entry_date", "exit_date", "entry_price", "qty", "pnl", "status")
-    traded = t.select(*by).distinct()
-    held = grid.asof_join(
-        bars.select("symbol", "ts", "close").join(traded, "symbol"),
-        t,
-        by,
-        ["exit_date", "entry_price", "qty"],
-        right_ts="entry_date",
-    )
-    live = held.where("matched_ts IS NOT NULL AND close IS NOT NULL AND (exit_date IS NULL OR ts < exit_date)")
+    t = trades.select("strategy_id", "symbol", "entry_date", "exit_date", "entry_price", "qty", "pnl", "status")
+    slots = bars.agg(F.array_sort(F.collect_set("ts"))).scalar()
+    held = lambda x: (x >= F.col("entry_date")) & (F.col("exit_date").isNull() | (x < F.col("exit_date")))
+    spread = t.withColumn("_slots", slots).withColumn("ts", F.explode(F.filter("_slots", held))).drop("_slots")
+    live = spread.join(bars.where("close IS NOT NULL").select("symbol", "ts", "close"), ["symbol", "ts"])
     floating = live.groupBy("strategy_id", "ts").agg(
         F.sum(F.lit(sign) * F.col("qty") * (F.col("close") - F.col("entry_price"))).alias("_floating")
     )
     realised = (
         t.where("status = 'closed'").groupBy("strategy_id", F.col("exit_date").alias("ts")).agg(F.sum("pnl").alias("_realised"))
     )
-    slots = bars.agg(F.array_sort(F.collect_set("ts"))).scalar()
     every = t.select("strategy_id").distinct().select("strategy_id", F.explode(slots).alias("ts"))
     path = every.join(realised, ["strategy_id", "ts"], "left").join(floating, ["strategy_id", "ts"], "left")
     booked = fr.running(F.sum(F.coalesce("_realised", F.lit(0.0))), "strategy_id", "ts")

@@ -1,6 +1,8 @@
 """Physical plans: pruning, pushdown, shared shuffles (test_queries rules out cartesian products)."""
 
-from barloom.operators import grid, ranking
+from pyspark.sql import functions as F
+
+from barloom.operators import grid, indicators, ranking, trades, upsert
 from barloom.operators.ranking import RankParams
 from workload import panels
 
@@ -34,3 +36,28 @@ def test_asof_window_is_cut_into_blocks(spark):
     bars = panels.daily_bars(spark, SF).select("symbol", "ts", "close")
     text = plan(grid.asof_join(bars, bars.withColumnRenamed("close", "v"), "symbol", ["v"]))
     assert "hashpartitioning(symbol" in text and "_block" in text
+
+
+def test_no_frame_reads_the_rest_of_a_partition(spark):
+    bars = panels.daily_bars(spark, SF)
+    slots = grid.calendar(bars)
+    for df in (
+        grid.interpolate_linear(bars, "close"),
+        grid.next_slot(bars.select("ts"), slots, "ts"),
+        indicators.trailing_high(bars, panels.monthly_panel(spark, SF)),
+    ):
+        assert "unboundedfollowing" not in plan(df).lower()
+
+
+def test_upserts_do_not_sort_the_store(spark):
+    bars = panels.daily_bars(spark, SF).select("symbol", "ts", "close")
+    for prefer in ("fresh", "existing"):
+        text = plan(upsert.upsert(bars, bars.where("ts >= DATE '1998-01-01'"), ["symbol", "ts"], prefer))
+        assert "SortAggregate" not in text and "Join" in text
+
+
+def test_indicators_and_pairing_stay_in_the_jvm(spark):
+    bars = panels.daily_bars(spark, SF).withColumn("idx", F.datediff("ts", F.lit("1990-01-01")))
+    signals = bars.selectExpr("symbol", "ts", "close AS price", "close > open AS enter", "close < low AS leave")
+    for df in (indicators.ema(bars, {"e": 10}), indicators.rsi(bars), trades.pair_trades(signals, ["symbol"])):
+        assert "InPandas" not in plan(df) and "InArrow" not in plan(df)

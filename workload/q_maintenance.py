@@ -14,27 +14,50 @@ from workload.panels import define, with_ctes
 from workload.registry import query
 
 
-def _ticks(spark, sf):
-    """The events file as a stream with event time in UTC."""
-    schema = p.table(spark, sf, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf)
-    return raw.select(
-        F.col("event_type").alias("symbol"), c.wall_clock_to_instant("ts").alias("ts"), F.col("value").alias("price"), "user_id"
-    )
-
-
-def _drain(spark, stream, keys, name):
-    out, ck = scratch_path(spark, name), scratch_path(spark, "progress")
-    sb.upsert_stream(stream, out, ck).awaitTermination()
-    return sb.read_upserts(spark, out, keys)
+class Feed:
+    """The events as a folder that files arrive in, and the stream that reads it, one file per micro-batch.
+
+    Files hold a quarter of the time span each.  With ``late``, every tenth user's events come a file later.
+    """
+
+    def __init__(self, spark, sf, late: bool = False):
+        self.spark, self.path = spark, scratch_path(spark, "feed")
+        events = p.table(spark, sf, "events")
+        low, high = events.agg(F.min("ts"), F.max("ts")).first()
+        seconds = lambda x: F.unix_seconds(x.cast("timestamp"))
+        share = (seconds(F.col("ts")) - seconds(F.lit(low))) / (seconds(F.lit(high)) - seconds(F.lit(low)) + 1)
+        after = F.when(F.col("user_id") % 10 == 0, 1).otherwise(0) if late else F.lit(0)
+        self.events = events.withColumn("_file", F.least(F.floor(share * 4) + after, F.lit(3)))
+        self.schema = events.schema
+
+    def arrive(self, *files: int) -> None:
+        for k in files:
+            self.events.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(self.path)
+
+    def close(self) -> None:
+        """Two rows far in the future, which end all that is open."""
+        for year in (2200, 2201):
+            row = self.events.drop("_file").limit(1).withColumns({"ts": F.lit(f"{year}-01-01").cast("timestamp_ntz"), "user_id": F.lit(-1).cast(self.schema["user_id"].dataType)})
+            row.coalesce(1).write.mode("append").parquet(self.path)
+
+    def ticks(self):
+        raw = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", 1).parquet(self.path)
+        return raw.select(
+            F.col("event_type").alias("symbol"), c.wall_clock_to_instant("ts").alias("ts"), F.col("value").alias("price"), "user_id"
+        )
 
 
 @query("stream_bars", with_ctes("SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M') AS at, open, high, low, close, n FROM hours", "hours"))
 def stream_bars(spark, sf):
-    """Hourly bars from a tick stream, upserted batch by batch."""
-    bars = _drain(spark, sb.tumbling_bars(_ticks(spark, sf)), ["symbol", "ts"], "bars")
+    """Hourly bars from a tick stream over several micro-batches, with late rows and a restart in between."""
+    feed = Feed(spark, sf, late=True)
+    out, merged, progress = (scratch_path(spark, x) for x in ("bars", "merged", "progress"))
+    for files in ((0, 1), (2, 3)):
+        feed.arrive(*files)
+        sb.upsert_stream(sb.tumbling_bars(feed.ticks(), late="3650 days"), out, progress).awaitTermination()
+    sb.compact(spark, out, merged, ["symbol", "ts"])
     at = F.date_format(c.instant_to_wall_clock("ts"), "yyyy-MM-dd HH:mm")
-    return bars.select("symbol", at.alias("at"), "open", "high", "low", "close", "n")
+    return spark.read.parquet(merged).select("symbol", at.alias("at"), "open", "high", "low", "close", "n")
 
 
 @query(
@@ -44,13 +67,14 @@ def stream_bars(spark, sf):
        SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events)) GROUP BY user_id, s""",
 )
 def stream_gap_sessions(spark, sf):
-    """U8: uninterrupted stretches on a stream."""
-    ticks = _ticks(spark, sf).withColumn("symbol", F.col("user_id"))
-    out, ck = scratch_path(spark, "sessions"), scratch_path(spark, "progress")
-    # a session that grows is a new window: only finished ones may be appended, so the tail is closed by completing
-    stream = sb.gap_sessions(ticks, "12 hours", "1 hour")
-    sb.upsert_stream(stream, out, ck, mode="complete").awaitTermination()
-    got = sb.read_upserts(spark, out, ["symbol", "first_ts"])
+    """U8: uninterrupted stretches on a stream; each is appended once, when the watermark has passed its end."""
+    feed = Feed(spark, sf)
+    out, progress = scratch_path(spark, "sessions"), scratch_path(spark, "progress")
+    feed.arrive(0, 1, 2, 3)
+    feed.close()
+    stream = sb.gap_sessions(feed.ticks().withColumn("symbol", F.col("user_id")), "12 hours", "1 hour")
+    sb.upsert_stream(stream, out, progress, mode="append").awaitTermination()
+    got = sb.read_upserts(spark, out, ["symbol", "first_ts"]).where("symbol <> -1")
     at = lambda x: F.date_format(c.instant_to_wall_clock(x), "yyyy-MM-dd HH:mm:ss")
     return got.select(F.col("symbol").alias("user_id"), at("first_ts").alias("first_at"), at("last_ts").alias("last_at"), "n")
 

@@ -10,17 +10,20 @@ expected count of the last level present stands for it.  Probabilities are smoot
 
 so every token costs a handful of probes.  The exact unigram score is computed beside it, as a yardstick.
 
-How it runs.  Documents are packed into segments of about 6 MB of text: distinct tokens, and each token's
+How it runs.  Documents are packed into segments of about 12 MB of text: distinct tokens, and each token's
 index among them, written to the shared folder.  Segments send their distinct n-grams, with counts, to shards (a hash of
 the n-gram); a shard adds them up, builds its part of the filter and answers every segment with the exact counts of
 its tokens.  Segments then score their documents.  Nothing is grouped by token, so a frequent token is one entry per
 segment.  Shards follow ``spark.sql.shuffle.partitions``, which has to follow the volume, so that a shard keeps its size.
 
-The filter is broadcast while it has at most ``BROADCAST`` bytes.  A larger one stays where it is: segments
-send the bigrams they need to the shards and get levels back, the way token counts go.
+A count of c puts at most 1.5 c levels into the filter, so its size is bounded by the number of training tokens before
+anything is counted.  The filter is broadcast while that bound is at most ``BROADCAST`` bytes (it takes about a third of
+it).  A larger one stays where it is: segments send the bigrams they need to the shards and get levels back, the way token
+counts go.  Either way segments ask the shards once.
 
 Defined results: a null or empty text is just its end; a row without an id counts as training; repeated rows count
-as often as they come; an empty table gives no rows; other columns are ignored.  Tokens are told apart by 64-bit hashes.
+as often as they come; an empty table gives no rows; other columns are ignored.  Tokens are told apart by
+48 bits of hash in each shard, bigrams by 40.
 """
 
 from __future__ import annotations
@@ -36,18 +39,25 @@ from barloom.llm import words
 from barloom.session import materialise
 
 #: Text bytes in a segment.
-SEGMENT = 6_000_000
+SEGMENT = 12_000_000
 #: Quotient of neighbouring count levels, bits for each level put in, probes for each level.
-BASE, BITS, PROBES = 2**0.5, 10, 4
+BASE, BITS, PROBES = 2**0.5, 8, 4
 #: Weight of the unigram probability, in counts.
 MU = 60.0
-#: Bytes of a filter that may be broadcast.
-BROADCAST = 96_000_000
+#: Largest bound, in bytes, of a filter that is broadcast.
+BROADCAST = 400_000_000
 
 _END = np.uint64(0x51ED270B7A1C4E37)
-_REST = np.uint64((1 << 40) - 1)
+#: Hash bits that tell tokens and bigrams of a shard apart; the bits above are the shard.
+_TOKEN, _PAIR = 48, 40
+_MOST_SHARDS = 1 << 16
 _LEVELS = 120
-_KEY = np.dtype([("low", "<u4"), ("high", "u1")])
+
+
+def _key(h: np.ndarray, shards: int, bits: int) -> np.ndarray:
+    """A hash as its shard, from the top 16 bits, and its last ``bits`` bits; in order of shards."""
+    shard = ((h >> np.uint64(48)) * np.uint64(shards)) >> np.uint64(16)
+    return (shard << np.uint64(bits)) | (h & np.uint64((1 << bits) - 1))
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -56,22 +66,17 @@ def _pack(x: np.ndarray) -> bytes:
 
 def _unpack(data: bytes, size: int, kind) -> np.ndarray:
     kind = np.dtype(kind)
-    return np.frombuffer(pa.decompress(data, size * kind.itemsize, codec="zstd"), kind)
-
+    return np.frombuffer(pa.decompress(data, int(size) * kind.itemsize, codec="zstd"), kind)
 
-def _shard(key: np.ndarray, shards: int) -> np.ndarray:
-    return (key >> np.uint64(40)) % np.uint64(shards)
 
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    """Ascending keys by their differences, first bytes together, then second bytes, ..., compressed."""
+    return _pack(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.copy())
 
-def _short(key: np.ndarray) -> np.ndarray:
-    """The 40 bits that tell bigrams of a shard apart, in five bytes."""
-    out = np.empty(len(key), _KEY)
-    out["low"], out["high"] = key & np.uint64(0xFFFFFFFF), (key >> np.uint64(32)) & np.uint64(0xFF)
-    return out
 
-
-def _long(key: np.ndarray) -> np.ndarray:
-    return key["low"].astype(np.uint64) | (key["high"].astype(np.uint64) << np.uint64(32))
+def _unpack_sorted(data: bytes, size: int) -> np.ndarray:
+    planes = _unpack(data, 8 * int(size), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
 def level(count: np.ndarray) -> np.ndarray:
@@ -90,7 +95,7 @@ def _places(key: np.ndarray, lev: np.ndarray | int, size: np.ndarray | int) -> I
 
 
 def build_filter(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Bits of the filter that holds ``keys`` (40 bits each) with quantised ``counts``."""
+    """Bits of the filter that holds ``keys`` with quantised ``counts``."""
     lev = level(counts)
     size = max(64, int(lev.sum()) * BITS)
     bits = np.zeros(-(-size // 8) * 8, bool)
@@ -139,16 +144,13 @@ def _segments(shards: int):
             for i, j in words.runs(batch.column(2), SEGMENT):
                 ids, held, texts = (c.slice(i, j - i) for c in batch.columns)
                 h, owner = _tokens(texts)
-                keys, at = np.unique(h, return_inverse=True)
-                order = np.lexsort((keys, _shard(keys, shards)))
-                place = np.empty(len(keys), np.int32)
-                place[order] = np.arange(len(keys), dtype=np.int32)
-                at = place[at]
+                keys, at = np.unique(_key(h, shards, _TOKEN), return_inverse=True)
                 train = np.repeat(~held.to_numpy(zero_copy_only=False), np.diff(owner))
                 row = {
                     "seg": [number], "doc_ids": [ids], "held": [held], "n_tokens": [np.diff(owner)], "n_keys": [len(keys)],
-                    "keys": [keys[order].tobytes()],
-                    "trained": [_pack(np.bincount(at[train], minlength=len(keys)).astype(np.int32))], "ids": [_pack(at)],
+                    "keys": [_pack_sorted(keys)],
+                    "trained": [_pack(np.bincount(at[train], minlength=len(keys)).astype(np.int32))],
+                    "ids": [_pack(at.astype(np.int32).view(np.uint8).reshape(-1, 4).T.copy())],
                 }
                 yield pa.RecordBatch.from_pydict(row, schema=_arrow(SEGMENTS))
                 number += 1
@@ -170,21 +172,23 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(h, owner[1:], _END), owner + np.arange(len(owner))
 
 
-def _bigrams(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a segment: each token's key, the one before (the end of a text before its first), and the bigram's."""
-    keys = np.frombuffer(row["keys"], np.uint64)
-    ids = _unpack(row["ids"], sum(row["n_tokens"]), np.int32)
-    before = np.concatenate([[_END], keys[ids[:-1]]])
+def _read(row: dict, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a segment: its distinct tokens, each token's index among them, and each token's bigram with the one before
+    (the end of a text before its first)."""
+    keys = _unpack_sorted(row["keys"], row["n_keys"])
+    planes = _unpack(row["ids"], 4 * sum(row["n_tokens"]), np.uint8).reshape(4, -1)
+    ids = np.ascontiguousarray(planes.T).view(np.int32).reshape(-1)
     now = keys[ids]
-    return now, before, words.mix(before * np.uint64(0xD6E8FEB86659FD93) + now)
+    before = np.concatenate([_key(_END.reshape(1), shards, _TOKEN), now[:-1]])
+    return keys, ids, _key(words.mix(before * np.uint64(0xD6E8FEB86659FD93) + now), shards, _PAIR)
 
 
 PIECES = "shard int, seg long, kind int, n int, keys binary, counts binary"
 
 
-def _cut(key: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard begins in keys sorted by shard."""
-    return np.searchsorted(_shard(key, shards), np.arange(shards + 1, dtype=np.uint64))
+def _cut(keys: np.ndarray, shards: int, bits: int) -> np.ndarray:
+    """Where each shard begins in ascending keys."""
+    return np.searchsorted(keys >> np.uint64(bits), np.arange(shards + 1, dtype=np.uint64))
 
 
 def _pieces(shards: int, ask: bool):
@@ -193,22 +197,20 @@ def _pieces(shards: int, ask: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                seg, keys = row["seg"], np.frombuffer(row["keys"], np.uint64)
+                seg = row["seg"]
+                keys, _, big = _read(row, shards)
                 trained = _unpack(row["trained"], len(keys), np.int32)
                 train = np.repeat(~np.array(row["held"], bool), row["n_tokens"])
-                _, _, big = _bigrams(row)
-                sent = [(0, keys, trained, np.uint64)]
+                sent = [(0, keys, trained, _TOKEN)]
                 for kind, of in ((1, big[train]), *([(2, big)] if ask else [])):
                     of, n = np.unique(of, return_counts=True)
-                    order = np.argsort(_shard(of, shards), kind="stable")
-                    sent.append((kind, of[order], n[order].astype(np.int32), _KEY))
-                for kind, of, n, form in sent:
-                    cut = _cut(of, shards)
-                    body = of if form is np.uint64 else _short(of)
+                    sent.append((kind, of, n.astype(np.int32), _PAIR))
+                for kind, of, n, bits in sent:
+                    cut = _cut(of, shards, bits)
                     for s in np.flatnonzero(np.diff(cut)):
                         a, b = cut[s], cut[s + 1]
                         one = {
-                            "shard": [s], "seg": [seg], "kind": [kind], "n": [b - a], "keys": [body[a:b].tobytes()],
+                            "shard": [s], "seg": [seg], "kind": [kind], "n": [b - a], "keys": [_pack_sorted(of[a:b])],
                             "counts": [None if kind == 2 else _pack(n[a:b])],
                         }
                         yield pa.RecordBatch.from_pydict(one, schema=_arrow(PIECES))
@@ -219,33 +221,36 @@ def _pieces(shards: int, ask: bool):
 ANSWERS = "kind int, shard int, seg long, data binary, total long, distinct long"
 
 
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of all lists and their summed counts."""
+    flat = np.concatenate([np.zeros(0, np.uint64), *keys])
+    order = np.argsort(flat, kind="stable")
+    flat, n = flat[order], np.concatenate([np.zeros(0, np.int64), *counts])[order].astype(np.int64)
+    first = np.flatnonzero(np.diff(flat, prepend=~flat[:1]) != 0) if len(flat) else np.zeros(0, np.int64)
+    return flat[first], np.add.reduceat(n, first) if len(flat) else n
+
+
 def _answer(table: pa.Table) -> pa.Table:
     """Of a shard: its filter (kind 3, with the tokens' total and number), exact counts (0) and levels (2) for each segment."""
     rows = table.to_pylist()
     shard = rows[0]["shard"]
-    tokens = [(r["seg"], np.frombuffer(r["keys"], np.uint64), _unpack(r["counts"], r["n"], np.int32)) for r in rows if r["kind"] == 0]
-    big = [(np.frombuffer(r["keys"], _KEY), _unpack(r["counts"], r["n"], np.int32)) for r in rows if r["kind"] == 1]
-    out = []
-    none = np.zeros(0, np.uint64)
-    keys, at = np.unique(np.concatenate([none, *[k for _, k, _ in tokens]]), return_inverse=True)
-    counts = np.bincount(at, np.concatenate([np.zeros(0), *[n for _, _, n in tokens]]), len(keys)).astype(np.int64)
-    for seg, k, _ in tokens:
-        out.append((0, shard, seg, _pack(counts[np.searchsorted(keys, k)]), 0, 0))
-    both, at = np.unique(np.concatenate([none, *[_long(k) for k, _ in big]]), return_inverse=True)
-    n = np.bincount(at, np.concatenate([np.zeros(0), *[n for _, n in big]]), len(both)).astype(np.int64)
+    read = lambda kind: [
+        (r["seg"], _unpack_sorted(r["keys"], r["n"]), None if kind == 2 else _unpack(r["counts"], r["n"], np.int32))
+        for r in rows if r["kind"] == kind
+    ]
+    total = lambda parts: _added([k for _, k, _ in parts], [n for _, _, n in parts])
+    tokens = read(0)
+    keys, counts = total(tokens)
+    out = [(0, shard, seg, _pack(counts[np.searchsorted(keys, k)]), 0, 0) for seg, k, _ in tokens]
+    both, n = total(read(1))
     known = counts > 0
-    data = build_filter(
-        np.concatenate([keys[known] & _REST, both]), np.concatenate([counts[known], n])
-    )
+    data = build_filter(np.concatenate([~keys[known], both]), np.concatenate([counts[known], n]))
     out.append((3, shard, None, data, int(counts.sum()), int(known.sum())))
-    asked = [r for r in rows if r["kind"] == 2]
+    asked = read(2)
     if asked:
         one = Filter([data])
-        for r in asked:
-            k = _long(np.frombuffer(r["keys"], _KEY))
-            out.append((2, shard, r["seg"], one.levels(np.zeros(len(k), np.int64), k).tobytes(), 0, 0))
-        for seg, k, _ in tokens:
-            out.append((4, shard, seg, one.levels(np.zeros(len(k), np.int64), k & _REST).tobytes(), 0, 0))
+        for kind, parts in ((2, asked), (4, [(seg, ~k, None) for seg, k, _ in tokens])):
+            out += [(kind, shard, seg, one.levels(np.zeros(len(k), np.int64), k).tobytes(), 0, 0) for seg, k, _ in parts]
     names = [x.split(" ")[0] for x in ANSWERS.split(", ")]
     return pa.Table.from_pylist([dict(zip(names, x, strict=True)) for x in out], schema=_arrow(ANSWERS))
 
@@ -260,25 +265,19 @@ def _score(shards: int, total: int, distinct: int, whole, mu: float):
         spread = total + 0.5 * (distinct + 1)
         for batch in batches:
             for row in batch.to_pylist():
-                keys = np.frombuffer(row["keys"], np.uint64)
-                ids = _unpack(row["ids"], sum(row["n_tokens"]), np.int32)
+                keys, ids, big = _read(row, shards)
                 part = lambda kind: [a["data"] for a in row["parts"] if a["kind"] == kind]  # noqa: E731, B023
-                sizes = np.diff(_cut(keys, shards))
+                sizes = np.diff(_cut(keys, shards, _TOKEN))
                 exact = np.concatenate([_unpack(d, n, np.int64) for d, n in zip(part(0), sizes[sizes > 0], strict=True)])
-                now, before, big = _bigrams(row)
                 if whole is not None:
-                    f = whole.value
-                    one = EXPECTED[f.levels(_shard(keys, shards).astype(np.int64), keys & _REST)]
-                    two = EXPECTED[f.levels(_shard(big, shards).astype(np.int64), big & _REST)]
-                    end = EXPECTED[f.levels(*(x.reshape(1) for x in (_shard(np.array([_END]), shards).astype(np.int64), np.array([_END & _REST]))))][0]
+                    place = lambda k, bits: (k >> np.uint64(bits)).astype(np.int64)
+                    one = EXPECTED[whole.value.levels(place(keys, _TOKEN), ~keys)]
+                    two = EXPECTED[whole.value.levels(place(big, _PAIR), big)]
                 else:
                     one = EXPECTED[np.frombuffer(b"".join(part(4)), np.uint8)]
-                    asked, at = np.unique(big, return_inverse=True)
-                    order = np.argsort(_shard(asked, shards), kind="stable")
-                    lev = np.empty(len(asked), np.uint8)
-                    lev[order] = np.frombuffer(b"".join(part(2)), np.uint8)
-                    two = EXPECTED[lev[at]]
-                    end = one[keys == _END][0]
+                    _, at = np.unique(big, return_inverse=True)
+                    two = EXPECTED[np.frombuffer(b"".join(part(2)), np.uint8)[at]]
+                end = one[np.searchsorted(keys, _key(_END.reshape(1), shards, _TOKEN))][0]
                 p = (one[ids] + 0.5) / spread
                 context = np.concatenate([[end], one[ids[:-1]]])
                 logs = np.log10((np.minimum(two, context) + mu * p) / (context + mu))
@@ -298,7 +297,8 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     """Train on the rows for which the column ``held_out`` is not true and score all rows:
     ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` (log10)."""
     spark = docs.sparkSession
-    shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words.batches(spark, 10_000)  # a segment is made of one batch
+    shards = min(_MOST_SHARDS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     chosen = docs.select(F.col(id_col).cast("long"), F.coalesce(held_out, F.lit(False)), F.coalesce(F.col(text_col), F.lit("")))
     segments = materialise(chosen.mapInArrow(_segments(shards), SEGMENTS))
 
@@ -306,15 +306,18 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
         pieces = segments.mapInArrow(_pieces(shards, levels), PIECES)
         return materialise(pieces.groupBy("shard").applyInArrow(_answer, ANSWERS))
 
-    answers = ask(False)
-    about = answers.where("kind = 3").agg(F.sum("total"), F.sum("distinct"), F.sum(F.length("data")), F.max("shard")).first()
-    total, distinct, size = (x or 0 for x in about[:3])
+    trained = F.expr("aggregate(arrays_zip(held, n_tokens), 0L, (n, x) -> n + if(x.held, 0, x.n_tokens))")
+    tokens = segments.agg(F.sum(trained)).first()[0] or 0
+    # unigrams and bigrams, 1.5 levels for each occurrence
+    whole_fits = 3 * tokens * BITS / 8 <= broadcast
+    answers = ask(not whole_fits)
+    about = answers.where("kind = 3").agg(F.sum("total"), F.sum("distinct")).first()
+    total, distinct = (x or 0 for x in about)
     whole = None
-    if size <= broadcast:
+    if whole_fits:
         parts = {r["shard"]: bytes(r["data"]) for r in answers.where("kind = 3").select("shard", "data").toLocalIterator()}
-        whole = spark.sparkContext.broadcast(Filter([parts.get(s) or build_filter(np.zeros(0, np.uint64), np.zeros(0)) for s in range(shards)]))
-    else:
-        answers = ask(True)
+        empty = build_filter(np.zeros(0, np.uint64), np.zeros(0))
+        whole = spark.sparkContext.broadcast(Filter([parts.pop(s, empty) for s in range(shards)]))
     parts = answers.where("kind <> 3").groupBy("seg").agg(F.sort_array(F.collect_list(F.struct("shard", "kind", "data"))).alias("parts"))
     scored = segments.join(parts, "seg").mapInArrow(_score(shards, total, distinct, whole, mu), SCORES)
     return scored.withColumn("train_tokens", F.lit(total).cast("long"))

@@ -105,7 +105,9 @@ def candidates(index: DataFrame, rules=RULES) -> DataFrame:
     asked = [
         (r.name, n, t, len(a)) for r in rules for n, a in enumerate(trigram_query(r.pattern) or ()) for t in sorted(a)
     ]
-    table = spark.createDataFrame(asked, "rule string, alternative int, trigram string, size int")
+    names = ("rule", "alternative", "trigram", "size")
+    entries = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, x, strict=True)]) for x in asked])
+    table = spark.range(1).select(F.inline(entries)) if asked else spark.range(0).selectExpr("'' rule", "0 alternative", "'' trigram", "0 size")
     # distinct first: a document may come with several rows
     met = index.distinct().join(table, "trigram").groupBy("id", "rule", "alternative").agg(
         F.count("*").alias("n"), F.first("size").alias("size")

@@ -10,13 +10,14 @@ A document's set is its distinct 5-word shingles.  Documents with equal sets for
 3. *Exact verification*: survivors are confirmed on their full sets.
 
 A band bucket of at most ``SMALL`` documents yields its pairs, a number per document that does not grow.  In a larger
-bucket every document is paired with the least one; that leaves out links only between documents which do
-not end up together.  Such buckets are therefore looked at again: after the confirmed links are joined to
-components, every document outside its bucket's largest component meets all documents of unresolved buckets
-by *prefix filtering*, which is exact: two sets of similarity t or more share one of the rarest
-``n - ceil(t n) + 1`` shingles of either.  A passage that many documents share is frequent, hence in no prefix.
-
-Scale: nothing is broadcast by hand, and no group is collected beyond ``SMALL`` ids.  A key with a third of all rows (copies,
+bucket every document is paired with two: the least one and the hub, which has most company in all its bands (among edited
+copies the original).  That leaves out links only between documents that do not end up together.  Buckets whose documents
+are then still in several components are looked at again, in blocks of bounded size: documents outside the bucket's largest
+component are compared with all its documents of other components, sequentially and exactly as above, each pair in the first band
+it shares.  Of the links between a document and a component one is kept, so nothing that is connected is lost and no group
+yields its pairs as rows.
+
+Scale: the only thing broadcast is a filter of ids of at most 8 MB, and no group is collected beyond ``SMALL`` ids.  A key with a third of all rows (copies,
 a common band) is reduced by aggregation with map-side combine or is a join side that adaptive execution splits.  Of the
 candidate pairs first one per document is verified, then only pairs whose ends are not yet connected, so the number of set
 comparisons follows the number of documents, not the square of a group.  Intermediate tables are written to the shared folder.
@@ -34,12 +35,13 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm import words
 from barloom.operators.components import connected_components
-from barloom.session import materialise
+from barloom.session import discard, materialise
 
 SHINGLE = 5
 #: Similarity limit in percent.
@@ -51,6 +53,10 @@ STEP = 16
 MISS = 1e-6
 #: Buckets up to this size yield all their pairs.
 SMALL = 12
+#: Documents, and shingles, in a block of a larger bucket.
+BLOCK, BLOCK_SHINGLES = 1_000, 1_000_000
+#: Most bits (8 MB) of the filter that passes the documents of shared bands.
+MARK_BITS = 1 << 26
 
 _SIZE = BANDS * ROWS
 _DRAW = np.random.default_rng(777)
@@ -101,6 +107,35 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "fa", "fb", "sig", "bands"])
 
 
+class Marks:
+    """Which of the ids may be wanted: a bit for the hash of each wanted one, at most ``MARK_BITS`` bits in all."""
+
+    def __init__(self, ids: DataFrame):
+        size = 1 << 16
+        while size < min(MARK_BITS, 16 * ids.count()):
+            size *= 2
+        bit = F.col("doc_id").bitwiseXOR(F.shiftrightunsigned("doc_id", 17)).bitwiseAND(F.lit(size - 1))
+        parts = ids.select(F.shiftright(bit, 5).cast("int").alias("w"), (bit % 32).cast("int").alias("b"))
+        rows = parts.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("x"))
+        self.bits = np.zeros(size // 32, np.int64)
+        for r in rows.toLocalIterator():
+            self.bits[r["w"]] = r["x"]
+        self.size = size
+
+    def __call__(self, ids: pa.Array) -> pa.Array:
+        i = ids.fill_null(0).to_numpy()
+        at = (i ^ (i.view(np.uint64) >> np.uint64(17)).view(np.int64)) & (self.size - 1)
+        return pa.array((self.bits[at >> 5] >> (at & 31)) & 1 == 1)
+
+
+def _marked(marks):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(marks.value(batch.column(0)))
+
+    return run
+
+
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j in words.runs(batch.column(1)):
@@ -151,52 +186,105 @@ def _linked(percent: int):
     return run
 
 
+def _within(need: np.ndarray, percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        key = table.column("key")[0].as_py()
+        sides = []
+        for asks in (True, False):
+            part = table.filter(pc.equal(table.column("asks"), asks)).combine_chunks()
+            sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint32).reshape(-1, _SIZE)
+            sets = [x.values.to_numpy() for x in part.column("set")]
+            sides.append((part.column("doc_id").to_numpy(), part.column("component").to_numpy(), sig, sets, np.array([len(x) for x in sets])))
+        (ids, comps, sigs, sets, sizes), (ids2, comps2, sigs2, sets2, sizes2) = sides
+        found: list[tuple[int, int]] = []
+        for i in range(len(ids)):
+            fits = 100 * np.minimum(sizes[i], sizes2) >= percent * np.maximum(sizes[i], sizes2)
+            alive = np.flatnonzero((comps2 != comps[i]) & fits)
+            equal = np.zeros(len(ids2), np.int64)
+            for k, least in enumerate(need):
+                part = slice(k * STEP, (k + 1) * STEP)
+                equal[alive] += (sigs2[alive, part] == sigs[i, part]).sum(axis=1)
+                alive = alive[equal[alive] >= least]
+            band = np.flatnonzero(_bands(sigs[i]) == key)[0]
+            shared = (sigs2[alive].reshape(-1, BANDS, ROWS) == sigs[i].reshape(BANDS, ROWS)).all(axis=2)
+            alive = alive[shared.argmax(axis=1) == band]
+            joined: set[int] = set()
+            for j in alive[np.argsort(-equal[alive], kind="stable")]:
+                if comps2[j] not in joined:
+                    both = sizes[i] + sizes2[j] - len(np.union1d(sets[i], sets2[j]))
+                    if 100 * both >= percent * (sizes[i] + sizes2[j] - both):
+                        joined.add(comps2[j])
+                        found.append((min(ids[i], ids2[j]), max(ids[i], ids2[j])))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return run
+
+
 class Duplicates:
     """The steps over one table, each written once."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, percent: int):
         self.percent = percent
+        words.batches(docs.sparkSession)
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        self.sketch = materialise(
+        sketch = materialise(
             self.docs.mapInArrow(_sketch, "doc_id long, n long, fa long, fb long, sig binary, bands array<long>")
         )
-        rows = self.sketch.where("n > 0 and doc_id is not null").select("doc_id", "fa", "fb")
-        classes = rows.groupBy("fa", "fb").agg(F.min("doc_id").alias("rep"))
+        #: (doc_id, n, fa, fb) of every row.
+        self.rows = materialise(sketch.select("doc_id", "n", "fa", "fb"))
+        full = sketch.where("n > 0 and doc_id is not null")
+        #: One row per class: (rep, n, fa, fb, sig, bands), rep its least id; equal sets have equal signatures.
+        self.classes = materialise(
+            full.groupBy("fa", "fb").agg(
+                F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")
+            )
+        )
+        discard(sketch)
+        named = self.rows.where("n > 0 and doc_id is not null").select("doc_id", "fa", "fb")
         #: (doc_id, rep) of every row that has a set.
-        self.member = materialise(rows.join(classes, ["fa", "fb"]).select("doc_id", "rep", "fa", "fb"))
-        copies = self.member.where("doc_id <> rep").select("doc_id", "fa", "fb")
-        self.reps = self.sketch.where("sig is not null and doc_id is not null").join(copies, ["doc_id", "fa", "fb"], "left_anti")
+        self.member = materialise(named.join(self.classes.select("fa", "fb", "rep"), ["fa", "fb"]).select("doc_id", "rep"))
         several = self.member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
         self.own = self.member.join(several.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
 
     def buckets(self) -> DataFrame:
-        """``(key, doc_id, n, low)``: documents in the bands that they share with others."""
-        rows = self.reps.select("doc_id", F.explode("bands").alias("key"))
+        """``(key, doc_id, n, low, hub)``: documents in the bands that they share with others, with the least document of
+        the bucket and the one that has most company in all its bands (the original, among edited copies)."""
+        rows = self.classes.where("sig is not null").select(F.col("rep").alias("doc_id"), F.explode("bands").alias("key"))
         shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")).where("n > 1")
-        return materialise(rows.join(shared, "key"))
+        members = materialise(rows.join(shared, "key"))
+        large = members.where(F.col("n") > SMALL)
+        company = large.groupBy("doc_id").agg(F.sum("n").alias("company"))
+        best = F.max(F.struct("company", (-F.col("doc_id")).alias("least")))
+        hubs = large.join(company, "doc_id").groupBy("key").agg((-best["least"]).alias("hub"))
+        buckets = materialise(members.join(hubs, "key", "left"))
+        # what is known of these documents: texts and classes pass a filter of their ids before anything is shuffled
+        ids = buckets.select("doc_id").distinct()
+        marks = ids.sparkSession.sparkContext.broadcast(Marks(ids))
+        some = self.classes.select(F.col("rep").alias("doc_id"), "n", "sig").where("sig is not null")
+        self.reps = materialise(some.mapInArrow(_marked(marks), some.schema).join(ids, "doc_id", "left_semi"))
+        found = self.docs.mapInArrow(_marked(marks), self.docs.schema).mapInArrow(_full, "doc_id long, set array<long>")
+        self.sets = materialise(found.join(ids, "doc_id", "left_semi"))
+        return buckets
 
     def candidates(self, buckets: DataFrame) -> DataFrame:
         """``(a, b)``, a < b: all pairs of small buckets, pairs with the least document of large ones."""
         small = buckets.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
         small = small.select(F.explode("ids").alias("a"), "ids").select("a", F.explode("ids").alias("b")).where("a < b")
-        large = buckets.where((F.col("n") > SMALL) & (F.col("low") < F.col("doc_id"))).select(F.col("low").alias("a"), F.col("doc_id").alias("b"))
+        large = buckets.where(F.col("n") > SMALL).select("doc_id", F.explode(F.array("low", "hub")).alias("to")).where("doc_id <> to")
+        large = large.select(F.least("doc_id", "to").alias("a"), F.greatest("doc_id", "to").alias("b"))
         return materialise(small.union(large).distinct())
 
-    def sets(self, ids: DataFrame) -> DataFrame:
-        """``(doc_id, set)`` of the texts of ``ids``."""
-        chosen = self.docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-        return materialise(chosen.select("doc_id", "text").mapInArrow(_full, "doc_id long, set array<long>"))
-
     def _with(self, pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
         for end in "ab":
             side = table.select(F.col("doc_id").alias(end), F.col(column).alias(f"{column}_{end}"))
             pairs = pairs.join(side, end)
         return pairs.select("a", "b", f"{column}_a", f"{column}_b")
 
-    def links(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs that sequential and exact verification confirm."""
         near = self._with(pairs, self.reps, "sig").mapInArrow(_plausible(least_equal(self.percent)), "a long, b long")
-        sure = self._with(near.distinct(), sets, "set").mapInArrow(_linked(self.percent), "a long, b long")
+        sure = self._with(near.distinct(), self.sets, "set").mapInArrow(_linked(self.percent), "a long, b long")
         return materialise(sure)
 
     def unconnected(self, pairs: DataFrame, links: DataFrame) -> DataFrame:
@@ -208,48 +296,44 @@ class Duplicates:
         return materialise(pairs.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"))
 
     def unresolved(self, buckets: DataFrame, links: DataFrame) -> DataFrame:
-        """``(doc_id, component, outside)`` of documents in large buckets that hold several components."""
+        """``(key, doc_id, component, outside)`` of large buckets that hold several components."""
         of = materialise(connected_components(links))
-        large = buckets.where(F.col("n") > SMALL).join(of.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        large = buckets.where(F.col("n") > SMALL).select("key", "doc_id").join(of.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         large = large.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
         parts = large.groupBy("key", "component").agg(F.count("*").alias("n"))
         main = parts.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts"))
         open_ = large.join(main.where("parts > 1"), "key")
-        return materialise(
-            open_.groupBy("doc_id", "component").agg(F.max(F.col("component") != F.col("main")).alias("outside"))
-        )
-
-    def by_prefix(self, left: DataFrame, sets: DataFrame) -> DataFrame:
-        """Candidate pairs of a document outside its bucket's largest component and one of another component."""
-        full = sets.join(left, "doc_id").withColumn("n", F.size("set"))
-        rows = full.select("doc_id", "component", "outside", "n", F.explode("set").alias("s"))
-        often = rows.groupBy("s").agg(F.count("*").alias("df"))
-        ranked = rows.join(often, "s").groupBy("doc_id", "component", "outside", "n").agg(
-            F.sort_array(F.collect_list(F.struct("df", "s"))).alias("order")
-        )
-        need = F.ceil(F.col("n") * self.percent / 100)
-        rare = materialise(
-            ranked.select("doc_id", "component", "outside", "n", F.explode(F.slice("order", F.lit(1), (F.col("n") - need + 1).cast("int"))).alias("x"))
-            .select("doc_id", "component", "outside", "n", "x.s")
-        )
-        x, y = rare.where("outside").alias("x"), rare.alias("y")
-        fits = F.expr(f"x.component <> y.component and 100 * least(x.n, y.n) >= {self.percent} * greatest(x.n, y.n)")
-        met = x.join(y, F.expr("x.s = y.s") & fits)
-        return materialise(met.select(F.expr("least(x.doc_id, y.doc_id)").alias("a"), F.expr("greatest(x.doc_id, y.doc_id)").alias("b")).distinct())
+        return materialise(open_.select("key", "doc_id", "component", (F.col("component") != F.col("main")).alias("outside")))
+
+    def inside(self, left: DataFrame) -> DataFrame:
+        """A link of each document outside its bucket's largest component with each other component it is linked to."""
+        rows = left.join(self.reps.select("doc_id", "n"), "doc_id")
+        blocks = lambda of: F.greatest(
+            F.ceil(F.sum(F.when(of, 1)) / BLOCK), F.ceil(F.sum(F.when(of, F.col("n"))) / BLOCK_SHINGLES)
+        ).cast("int")
+        size = rows.groupBy("key").agg(blocks(F.lit(True)).alias("all_blocks"), blocks(F.col("outside")).alias("out_blocks"))
+        rows = rows.join(size, "key")
+        mine = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        partner = rows.select("key", "doc_id", "component", F.lit(False).alias("asks"), mine(F.col("all_blocks")).alias("x"), every(F.col("out_blocks")).alias("y"))
+        asking = rows.where("outside").select("key", "doc_id", "component", F.lit(True).alias("asks"), every(F.col("all_blocks")).alias("x"), mine(F.col("out_blocks")).alias("y"))
+        known = self.reps.select("doc_id", "sig").join(left.select("doc_id").distinct(), "doc_id", "left_semi").join(self.sets, "doc_id")
+        full = partner.unionByName(asking).join(known, "doc_id")
+        met = full.groupBy("key", "x", "y").applyInArrow(_within(least_equal(self.percent), self.percent), "a long, b long")
+        return materialise(met.distinct())
 
     def all_links(self) -> DataFrame:
         """Links that connect every class with the classes it is linked to, directly or through others."""
         buckets = self.buckets()
         pairs = self.candidates(buckets)
-        sets = self.sets(buckets)
         first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-        links = self.links(first, sets)
+        links = self.links(first)
         more = self.unconnected(pairs.join(first, ["a", "b"], "left_anti"), links)
         if not more.isEmpty():
-            links = links.union(self.links(more, sets))
+            links = links.union(self.links(more))
         left = self.unresolved(buckets, links)
         if not left.isEmpty():
-            links = links.union(self.links(self.by_prefix(left, sets), sets))
+            links = links.union(self.inside(left))
         return links.union(self.own)
 
 
@@ -259,6 +343,6 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percen
     of = materialise(connected_components(d.all_links()))
     rep = d.member.join(of, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     rep = rep.distinct()
-    out = d.sketch.select("doc_id", F.col("n").alias("n_shingles")).join(rep, "doc_id", "left")
+    out = d.rows.select("doc_id", F.col("n").alias("n_shingles")).join(rep, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -13,7 +13,7 @@ Scale: texts up to ``CHUNK`` characters, nearly all, are encoded where they lie,
 the boundaries in the overlaps, a few integers, are shuffled by row, then the texts of just these meet their joins.
 
 Defined results: a null or empty text has no ids; any row may come several times; an empty table gives no rows; other
-columns pass through :func:`encode` (working columns have a ``_b_`` prefix).  Special tokens are ordinary text.
+columns pass through :func:`encode` (working columns have a ``_b_`` prefix; a column ``ids`` is replaced).  Special tokens are ordinary text.
 """
 
 from __future__ import annotations
@@ -26,10 +26,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.llm import words
+
 #: Characters in a chunk, and of them shared with the next one.
 CHUNK, OVERLAP = 65_536, 1_024
 #: Texts encoded at once, in characters.
-AT_ONCE = 4_000_000
+AT_ONCE = 1_000_000
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -122,7 +124,8 @@ def joins(chunks: DataFrame, pattern: str) -> DataFrame:
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``ids``, the token ids of the text; the text itself is left out."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop("ids")
+    words.batches(spark)
     coder = spark.sparkContext.broadcast(Coder(read_ranks(spark, path), pattern))
     size = F.length(F.coalesce(F.col(text_col), F.lit("")))
     short = _encode(spark, docs.where(size <= CHUNK), coder, text_col)
@@ -152,6 +155,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") ->
 def decode(coded: DataFrame, path: str, pattern: str) -> DataFrame:
     """``coded`` with ``bytes``: the raw bytes of all ``ids`` one after another (null ids: none)."""
     spark = coded.sparkSession
+    words.batches(spark)
     coder = spark.sparkContext.broadcast(Coder(read_ranks(spark, path), pattern))
 
     @F.pandas_udf("binary")

@@ -11,7 +11,7 @@ Scale: a document is worked on in its own row, nothing is shuffled; the tree has
 
 Defined results: a null text is empty; edits are given in characters of the text before any edit and are applied from
 the right; they are cut off at the text's end and at the beginning of the edit to their right; null edits are none; repeated rows
-are worked on each; an empty table gives no rows; other columns pass through.
+are worked on each; an empty table gives no rows; other columns pass through, columns named as results are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
+from barloom.llm import words
 from barloom.llm.bpe import Coder, read_ranks
 
 LEAF = 64
@@ -125,6 +126,7 @@ def edit(text: str, tree: Tree, start: int, end: int, new: str, pattern: regex.P
 
 def _coder(docs: DataFrame, path: str, pattern: str):
     spark = docs.sparkSession
+    words.batches(spark)
     return spark.sparkContext.broadcast(Coder(read_ranks(spark, path), pattern))
 
 
@@ -134,15 +136,13 @@ def _lists(trees: list[Tree]) -> pa.StructArray:
 
 
 def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    from barloom.llm import words
-
     for i, j in words.runs(batch.column(text), 4_000_000):
         yield batch.slice(i, j - i)
 
 
 def with_trees(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``tree``, the segment tree of its text."""
-    coder = _coder(docs, path, pattern)
+    coder, docs = _coder(docs, path, pattern), docs.drop("tree")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, count = regex.compile(pattern), Counter(coder.value.encoder())
@@ -161,7 +161,7 @@ def with_trees(docs: DataFrame, path: str, pattern: str, text_col: str = "text")
 def apply_edits(docs: DataFrame, path: str, pattern: str, edits_col: str = "edits", text_col: str = "text") -> DataFrame:
     """``docs``, which have a ``tree`` and ``edits`` (array of ``start, end, text``), with text and tree after the
     edits, ``n_encoded`` (characters encoded anew) and ``n_tokens`` (the root's sum)."""
-    coder = _coder(docs, path, pattern)
+    coder, docs = _coder(docs, path, pattern), docs.drop("n_encoded", "n_tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, count = regex.compile(pattern), Counter(coder.value.encoder())

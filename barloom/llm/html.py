@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm import words
 from barloom.session import materialise
 
 SHARE = 0.9
@@ -164,6 +165,7 @@ def _order(tokens: list[int], of: dict[int, int]) -> list[tuple[int, int]]:
 
 def deduce(pages: DataFrame, url_col: str = "url", html_col: str = "html", share: float = SHARE) -> DataFrame:
     """Templates: ``(host, class_id, n_pages, host_pages, tokens)`` of every valid class."""
+    words.batches(pages.sparkSession)
     lists = materialise(pages.select(url_col, html_col).mapInArrow(_tokens, TOKENS))
     hosts = lists.groupBy("host").agg(F.count("*").alias("host_pages"))
     entries = lists.select("host", F.explode(F.arrays_zip("keys", "marks")).alias("x")).select("host", "x.keys", "x.marks")

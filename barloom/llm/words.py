@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 #: Text bytes that are worked on at once; a document is never split.
 CHUNK_BYTES = 1_500_000
@@ -34,6 +35,15 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 
+def batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Set the session's Arrow batches to ``rows`` rows.
+
+    Documents are some kilobytes each and a stage may chain two Python workers, so Spark's 10,000 rows to a batch
+    would hold much of an executor's memory several times over.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

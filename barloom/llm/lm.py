@@ -315,7 +315,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     total, distinct = (x or 0 for x in about)
     whole = None
     if whole_fits:
-        parts = {r["shard"]: bytes(r["data"]) for r in answers.where("kind = 3").select("shard", "data").toLocalIterator()}
+        parts = {r["shard"]: bytes(r["data"]) for r in answers.where("kind = 3").select("shard", "data").coalesce(8).toLocalIterator()}
         empty = build_filter(np.zeros(0, np.uint64), np.zeros(0))
         whole = spark.sparkContext.broadcast(Filter([parts.pop(s, empty) for s in range(shards)]))
     parts = answers.where("kind <> 3").groupBy("seg").agg(F.sort_array(F.collect_list(F.struct("shard", "kind", "data"))).alias("parts"))

@@ -118,8 +118,8 @@ class Marks:
         parts = ids.select(F.shiftright(bit, 5).cast("int").alias("w"), (bit % 32).cast("int").alias("b"))
         rows = parts.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("x"))
         self.bits = np.zeros(size // 32, np.int64)
-        for r in rows.toLocalIterator():
-            self.bits[r["w"]] = r["x"]
+        found = rows.toArrow()  # at most MARK_BITS / 32 rows, in one job
+        self.bits[found.column("w").to_numpy()] = found.column("x").to_numpy()
         self.size = size
 
     def __call__(self, ids: pa.Array) -> pa.Array:

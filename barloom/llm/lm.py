@@ -10,7 +10,7 @@ expected count of the last level present stands for it.  Probabilities are smoot
 
 so every token costs a handful of probes.  The exact unigram score is computed beside it, as a yardstick.
 
-How it runs.  Documents are packed into segments of about 12 MB of text: distinct tokens, and each token's
+How it runs.  Documents are packed into segments of about 8 MB of text: distinct tokens, and each token's
 index among them, written to the shared folder.  Segments send their distinct n-grams, with counts, to shards (a hash of
 the n-gram); a shard adds them up, builds its part of the filter and answers every segment with the exact counts of
 its tokens.  Segments then score their documents.  Nothing is grouped by token, so a frequent token is one entry per
@@ -39,7 +39,7 @@ from barloom.llm import words
 from barloom.session import materialise
 
 #: Text bytes in a segment.
-SEGMENT = 12_000_000
+SEGMENT = 8_000_000
 #: Quotient of neighbouring count levels, bits for each level put in, probes for each level.
 BASE, BITS, PROBES = 2**0.5, 8, 4
 #: Weight of the unigram probability, in counts.
@@ -297,7 +297,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     """Train on the rows for which the column ``held_out`` is not true and score all rows:
     ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` (log10)."""
     spark = docs.sparkSession
-    words.batches(spark, 10_000)  # a segment is made of one batch
+    words.batches(spark, 4_000)  # a segment is made of one batch
     shards = min(_MOST_SHARDS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     chosen = docs.select(F.col(id_col).cast("long"), F.coalesce(held_out, F.lit(False)), F.coalesce(F.col(text_col), F.lit("")))
     segments = materialise(chosen.mapInArrow(_segments(shards), SEGMENTS))

@@ -1,13 +1,13 @@
 """Quality rules: per-document counts, and the frequency of lines across documents.  DataFrame functions only.
 
 Lines are normalised (lower case, white space runs as one space, trimmed) and hashed.  Per host a line is
-counted once per document, and also by the *neighbourhoods* it stands in (hashes of the lines before and
-after).  A line is boilerplate where both counts exceed ``max(min_docs, share * documents of the host)``:
+counted once per document, and also by all distinct *neighbourhoods* it stands in (hashes of the lines before and
+after), which may be several in one document.  A line is boilerplate where both counts exceed ``max(min_docs, share * documents of the host)``:
 lines of a document that was copied many times keep their neighbours, so copies of a good document are left
 to deduplication, while menus, licences and notices turn up between ever different lines.  A document is
 depleted when fewer than ``min_words`` words, or less than ``min_left`` of its words, stay after such lines are removed.
 
-Scale: a row's lines are reduced to distinct hashes before anything moves.  Counting is two aggregations with
+Scale: a row's lines are reduced to distinct hashes and places before anything moves.  Counting is two aggregations with
 map-side combine, so neither a hot host nor a line that all documents share meets in one task.  What comes
 back to the documents is, per document, the few hashes to remove; the text itself is shuffled only when
 the cleaned text is asked for and that side is too large to broadcast.
@@ -107,14 +107,17 @@ def frequent_lines(
         place = lambda s: F.transform(
             s, lambda x, i: F.struct(x["h"].alias("h"), F.xxhash64(near(s, i - 1), near(s, i + 1)).alias("place"))
         )
-        once = lambda s: F.filter(s, lambda x, i: ~F.coalesce(F.get(s, i - 1)["h"] == x["h"], F.lit(False)))
-        return _bound(F.sort_array(_bound(full, place)), once)
+        # all places of a line count, the document itself only once
+        once = lambda s: F.transform(
+            s, lambda x, i: x.withField("first", F.coalesce(F.get(s, i - 1)["h"] != x["h"], F.lit(True)).cast("int"))
+        )
+        return _bound(F.sort_array(F.array_distinct(_bound(full, place))), once)
 
     host = F.col(host_col).alias("host")
     rows = docs.select(host, F.explode(placed(_lines(F.col(text_col)))).alias("x"))
     counted = (
         rows.groupBy("host", F.col("x.h").alias("h"), "x.place")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("x.first").alias("n"))
         .groupBy("host", "h")
         .agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_places"))
     )

@@ -7,6 +7,7 @@ import html as entities
 import random
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -117,6 +118,22 @@ def test_quality_removes_frequent_lines_but_not_copies(spark):
     assert got[2001].kept and got[2001].clean_text == many  # another host
 
 
+def test_quality_counts_every_place_of_a_line(spark, tmp_path):
+    body = [" ".join(f"word{i}x{k}" for k in range(14)) for i in range(100)]
+    fixed = "first of all documents\nshared line\nlast of all documents"
+    rows = [(i, f"{fixed}\n{body[i]}\nshared line\n{body[-i]}", "en", "a", 0) for i in range(60)]
+    spark.createDataFrame(rows, brute.SCHEMA).write.parquet(f"{tmp_path}/in")
+    spark.read.parquet(f"{tmp_path}/in").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    ok, text = compare(spark, con, str(tmp_path), QUERIES["op2_quality_rules"], ORACLES["op2_quality_rules"])
+    assert ok, text
+    docs = spark.createDataFrame(rows, brute.SCHEMA)
+    (line,) = quality.frequent_lines(docs).join(docs.limit(1).select(F.xxhash64(F.lit("shared line")).alias("h")), "h").collect()
+    assert (line.n_docs, line.n_places) == (60, 61)
+    assert all(r.n_removed_lines >= 2 for r in quality.apply(docs).collect())
+
+
 def test_quality_awkward(spark):
     assert quality.apply(brute.awkward(spark, True)).collect() == []
     rows = quality.apply(brute.awkward(spark)).collect()

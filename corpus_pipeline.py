@@ -19,7 +19,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others lose the lines above their host's limits."""
-    kept = quality.apply(docs.select(*COLUMNS)).where("kept")
+    kept = quality.apply(docs.select(*COLUMNS), blocks=True).where("kept")
     size = F.when(F.col("n_removed_lines") > 0, F.length("clean_text").cast("long")).otherwise(F.col("n_chars"))
     return kept.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", size.alias("n_chars"))
 

@@ -134,6 +134,27 @@ def test_quality_counts_every_place_of_a_line(spark, tmp_path):
     assert all(r.n_removed_lines >= 2 for r in quality.apply(docs).collect())
 
 
+def test_quality_removes_whole_blocks_but_not_copies(spark):
+    body = [" ".join(f"word{i}x{k}" for k in range(14)) for i in range(400)]
+    block = [" ".join(f"menu{k}x{n}" for n in range(3)) for k in range(5)]
+    rows = [(i, "\n".join([body[i], *block, body[i + 100]] if i % 2 else [*block, "", body[i]]), "en", "a", 0) for i in range(100)]
+    rows += [(500 + i, "\n".join([*block, f"the only line of {i}"]), "en", "a", 0) for i in range(100)]  # mostly block
+    rows += [(1000 + i, "\n".join(body[300:306]), "en", "a", 0) for i in range(150)]  # copies
+    docs = spark.createDataFrame(rows, brute.SCHEMA)
+    got = {r.doc_id: r for r in quality.apply(docs, blocks=True).collect()}
+    assert len(got) == 350
+    assert all(got[i].kept and got[i].clean_text.strip() == (f"{body[i]}\n{body[i + 100]}" if i % 2 else body[i]) for i in range(100))
+    assert all(got[500 + i].depleted and got[500 + i].n_removed_lines == 5 for i in range(100))
+    assert all(got[1000 + i].kept and got[1000 + i].n_removed_lines == 0 for i in range(150))
+    left = {r.doc_id: r.text for r in corpus_pipeline.quality_stage(spark, docs, SF).collect()}
+    assert set(left) == {*range(100), *range(1000, 1150)} and not any("menu" in t for t in left.values())
+
+
+def test_quality_blocks_awkward(spark):
+    assert quality.apply(brute.awkward(spark, True), blocks=True).collect() == []
+    assert sorted(map(str, quality.apply(brute.awkward(spark), blocks=True).collect())) == sorted(map(str, quality.apply(brute.awkward(spark)).collect()))
+
+
 def test_quality_awkward(spark):
     assert quality.apply(brute.awkward(spark, True)).collect() == []
     rows = quality.apply(brute.awkward(spark)).collect()

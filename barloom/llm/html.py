@@ -7,7 +7,8 @@ the class lies in the same gap of the same enclosing class, on all its pages.  V
 are the host's template; its fixed text runs are boilerplate, everything in the gaps is a slot.
 
 *Extraction* takes the slots that hold text, leaves out those whose path leads through a menu, header, footer, sidebar,
-notice, advert, form or comments, and joins the blocks.  With an ``article`` or ``main`` element on the page only slots inside
+notice, advert, form or comments (by element name, or by a whole name in class, id or role), and joins the blocks.  The page, a main
+element, a form around an article and, if no article would be left, all that is around one are never left out.  With an ``article`` or ``main`` element on the page only slots inside
 count.  Fixed text is removed only on hosts with ``LEAST_PAGES`` pages, as fewer may share an article by chance.
 
 Scale: a vector is kept as the exclusive-or of one hash per page and count, so it is summed like any other aggregate and a host
@@ -39,53 +40,100 @@ LEAST_PAGES = 20
 
 # Elements of the HTML standard by how they are laid out.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|iframe|svg|math|object|canvas"
+RAW = "script|style|iframe"
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th "
     "thead title tr ul".split()
 )
-# Elements, and words of their class, id or role, that never hold main text.
-ASIDE = set("head nav footer aside form button select option textarea label menu dialog".split())
+# Elements, and whole names in their class, id or role, that hold no main text unless the article is inside; of
+# the second kind only outside an article.
+ASIDE = set("head nav footer aside form button select option textarea label menu dialog svg canvas template".split())
+ASIDE_OUTSIDE = {"header", "noscript"}
 ASIDE_WORDS = set(
     "ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments contentinfo cookie "
     "cookies consent disqus footer form gdpr menu modal nav navbar navigation newsletter notice notices pagination popup promo "
     "promoted related replies reply respond search share sharing sidebar sidebars social sponsor sponsored subscribe "
-    "toolbar widget widgets".split()
+    "toolbar widget widgets "
+    "ad-banner ad-slot comment-form comment-list comment-respond comments-area cookie-banner cookie-bar cookie-consent cookie-notice "
+    "left-sidebar main-menu main-nav nav-menu newsletter-signup page-footer page-header related-posts right-sidebar share-buttons "
+    "side-bar side-nav site-footer site-header site-nav social-links social-share widget-area".split()
 )
 # End tags that may be left out; a start tag of the second kind ends an open element of the first.
-ENDS = {"p": BLOCK - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+ENDS = {"head": {"body"}, "p": BLOCK - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 
 _PART = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<({RAW})\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|([^<]+|<)""",
+    rf"""<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>]).*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|([^<]+|<)""",
     re.S | re.I,
 )
-_MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_WORD = re.compile(r"[a-z0-9]+")
+_MARKS = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+
+
+class Element:
+    """A start tag: its name and path, whether it lies in an article or main element, and whether it is (``own``), or lies in
+    (``aside``), an element that holds no main text."""
+
+    __slots__ = ("name", "path", "parent", "main", "own", "aside")
+
+    def __init__(self, name, path, parent, main, own):
+        self.name, self.path, self.parent, self.main, self.own = name, path, parent, main, own
+        self.aside = own or (parent is not None and parent.aside)
+
+    def line(self) -> Iterator[Element]:
+        """The element and all around it."""
+        e = self
+        while e is not None:
+            yield e
+            e = e.parent
 
 
 class Node:
-    """A tag or text run: its path, whether it can hold main text, its text, and a number for its block."""
+    """A tag or text run: its element, kind, text, and a number for its block."""
+
+    __slots__ = ("element", "kind", "text", "block")
+
+    def __init__(self, element, kind, text, block):
+        self.element, self.kind, self.text, self.block = element, kind, text, block
+
+    path = property(lambda self: self.element.path)
+    main = property(lambda self: self.element.main)
+    aside = property(lambda self: self.element.aside)
+
+
+def _free(elements: list[Element]) -> None:
+    """No main, nor what contains one, is aside, nor a form around an article; where all articles would be, nothing around them is."""
+    articles = [e for e in elements if e.name in ("article", "main")]
+    if not any(a.aside for a in articles):
+        return
 
-    __slots__ = ("path", "kind", "text", "block", "main", "aside")
+    def settle() -> None:
+        for e in elements:  # parents first
+            e.aside = e.own or (e.parent is not None and e.parent.aside)
 
-    def __init__(self, path, kind, text, block, main, aside):
-        self.path, self.kind, self.text, self.block, self.main, self.aside = path, kind, text, block, main, aside
+    for a in articles:
+        if a.aside:
+            for e in a.line():
+                e.own = e.own and a.name != "main" and e.name != "form"
+    settle()
+    if all(a.aside for a in articles):
+        for a in articles:
+            for e in a.line():
+                e.own = False
+        settle()
 
 
-def parse(page: str) -> Iterator[Node]:
+def parse(page: str) -> list[Node]:
     """Tags and text runs in page order."""
-    # (name, path, main, aside) of the open elements
-    stack = [("", "", False, False)]
+    root = Element("", "", None, False, False)
+    stack, elements, nodes = [root], [root], []
     block = 0
     for m in _PART.finditer(page):
         _, end, name, rest, text = m.groups()
         if text is not None:
             if not text.isspace():
-                _, path, main, aside = stack[-1]
-                yield Node(path, "#", entities.unescape(text), block, main, aside)
-            elif stack[-1][1]:
-                yield Node(stack[-1][1], " ", " ", block, stack[-1][2], stack[-1][3])
+                nodes.append(Node(stack[-1], "#", entities.unescape(text), block))
+            elif stack[-1].path:
+                nodes.append(Node(stack[-1], " ", " ", block))
             continue
         if name is None:
             continue
@@ -93,26 +141,29 @@ def parse(page: str) -> Iterator[Node]:
         if name in BLOCK:
             block += 1
         elif name == "br":
-            yield Node(stack[-1][1], " ", " ", block, stack[-1][2], stack[-1][3])
+            nodes.append(Node(stack[-1], " ", " ", block))
         if end:
-            if any(s[0] == name for s in stack[1:]):
-                while stack[-1][0] != name:
+            if any(s.name == name for s in stack[1:]):
+                while stack[-1].name != name:
                     stack.pop()
-                yield Node(stack.pop()[1], "/", "", block, False, False)
+                nodes.append(Node(stack.pop(), "/", "", block))
             continue
         for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in BLOCK:
-                if name in ENDS.get(stack[k][0], ()):
+            if stack[k].name in BLOCK or stack[k].name == "head":
+                if name in ENDS.get(stack[k].name, ()):
                     del stack[k:]
                 break
-        _, path, main, aside = stack[-1]
-        marks = {w for x in _MARKS.findall(rest) for w in _WORD.findall(x.lower())}
-        path = f"{path}/{name}"
-        main = main or name in ("article", "main")
-        aside = aside or name in ASIDE or bool(marks & ASIDE_WORDS) or (name == "header" and not main)
-        yield Node(path, "<", "", block, main, aside)
+        top = stack[-1]
+        marks = {w for x in _MARKS.findall(rest) for w in x.lower().strip("\"'").split()}
+        main = top.main or name in ("article", "main")
+        own = name in ASIDE or bool(marks & ASIDE_WORDS) or (name in ASIDE_OUTSIDE and not main)
+        e = Element(name, f"{top.path}/{name}", top, main, own and name not in ("html", "body"))
+        elements.append(e)
+        nodes.append(Node(e, "<", "", block))
         if name not in VOID and not rest.endswith("/"):
-            stack.append((name, path, main, aside))
+            stack.append(e)
+    _free(elements)
+    return nodes
 
 
 def _token(n: Node) -> int:
@@ -200,8 +251,8 @@ def deduce(pages: DataFrame, url_col: str = "url", html_col: str = "html", share
 
 def text_of(page: str | None, fixed: frozenset[int] | set[int] = frozenset()) -> str:
     """Main text of one page whose template has the ``fixed`` tokens."""
-    nodes = list(parse(page or ""))
-    inside = any(n.main for n in nodes)
+    nodes = parse(page or "")
+    inside = any(n.main and not n.aside for n in nodes)
     blocks: dict[int, list[str]] = {}
     for n in nodes:
         if n.kind in "# " and not n.aside and (n.main or not inside) and not (n.kind == "#" and fixed and _token(n) in fixed):

@@ -271,6 +271,27 @@ def test_template_is_found_and_its_texts_go(spark):
     assert html.extract(pages.limit(0), html.deduce(pages.limit(0))).collect() == []
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ('<body class="has-sidebar"><article>text</article><div class="sidebar">x</div>', "text"),
+        ('<body class="sidebar"><article>text</article><div class="sidebar">x</div>', "text"),
+        ('<body><div class="post no-comments"><p>text</div><div class="comments">x</div>', "text"),
+        ('<body><div class="widget"><article>text</article></div><nav>x</nav>', "text"),
+        ('<body><form><nav>x</nav><article>one</article></form><article>two</article>', "one two"),
+        ('<body><main class="search">text</main><aside><article>x</article></aside>', "text"),
+        ('<body><article>text</article><div id="comments"><article>x</article></div>', "text"),
+        ('<head><title>x</title><body data-id="menu"><p>text', "text"),
+        ('<article>a<svg width="1" />b<svg-icon>c</svg-icon>d<script-box>e</script-box></article>', "abcde"),
+        ("<article>a<svg><text>x</text></svg>b<template>x</template>c</article>", "abc"),
+        ("<article>a<math><mi>b</mi></math>c<object>d</object>e<noscript>f</noscript></article>", "abcdef"),
+        ("<body><noscript>x</noscript><p>text<iframe>x</iframe><style>x</style>", "text"),
+    ],
+)
+def test_articles_do_not_vanish(page, want):
+    assert " ".join(html.text_of(page).split()) == want
+
+
 # 6
 
 

@@ -9,7 +9,8 @@ are the host's template; its fixed text runs are boilerplate, everything in the
 *Extraction* takes the slots that hold text, leaves out those whose path leads through a menu, header, footer, sidebar,
 notice, advert, form or comments (by element name, or by a whole name in class, id or role), and joins the blocks.  The page, a main
 element, a form around an article and, if no article would be left, all that is around one are never left out.  With an ``article`` or ``main`` element on the page only slots inside
-count.  Fixed text is removed only on hosts with ``LEAST_PAGES`` pages, as fewer may share an article by chance.
+count.  Names of elements and classes thus choose the slots; the template only takes away its fixed texts, never inside an ``article``
+element, where a subheading may be on most pages.  Fixed text is removed only on hosts with ``LEAST_PAGES`` pages, as fewer may share an article by chance.
 
 Scale: a vector is kept as the exclusive-or of one hash per page and count, so it is summed like any other aggregate and a host
 with a third of all pages is combined before it moves.  What is shuffled are hashes of tokens, never pages.  Classes are formed of
@@ -70,13 +71,14 @@ _MARKS = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>
 
 
 class Element:
-    """A start tag: its name and path, whether it lies in an article or main element, and whether it is (``own``), or lies in
-    (``aside``), an element that holds no main text."""
+    """A start tag: its name and path, whether it lies in an article or main element (``main``) or in an article, and whether it
+    is (``own``), or lies in (``aside``), an element that holds no main text."""
 
-    __slots__ = ("name", "path", "parent", "main", "own", "aside")
+    __slots__ = ("name", "path", "parent", "main", "article", "own", "aside")
 
     def __init__(self, name, path, parent, main, own):
         self.name, self.path, self.parent, self.main, self.own = name, path, parent, main, own
+        self.article = name == "article" or (parent is not None and parent.article)
         self.aside = own or (parent is not None and parent.aside)
 
     def line(self) -> Iterator[Element]:
@@ -255,7 +257,8 @@ def text_of(page: str | None, fixed: frozenset[int] | set[int] = frozenset()) ->
     inside = any(n.main and not n.aside for n in nodes)
     blocks: dict[int, list[str]] = {}
     for n in nodes:
-        if n.kind in "# " and not n.aside and (n.main or not inside) and not (n.kind == "#" and fixed and _token(n) in fixed):
+        cut = n.kind == "#" and fixed and not n.element.article and _token(n) in fixed
+        if n.kind in "# " and not n.aside and (n.main or not inside) and not cut:
             blocks.setdefault(n.block, []).append(n.text)
     joined = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n\n".join(b for b in joined if b)

@@ -292,6 +292,15 @@ def test_articles_do_not_vanish(page, want):
     assert " ".join(html.text_of(page).split()) == want
 
 
+def test_fixed_text_stays_in_an_article(spark):
+    page = "<body><article><h1>T{i}</h1><h2>Summary</h2><p>text {i}</article><div>Imprint</div>"
+    bare = "<body><div><h1>T{i}</h1><p>text {i}</div><div>Imprint</div>"
+    rows = [(i, f"http://a.example/{i}", page.format(i=i)) for i in range(30)] + [(100 + i, f"http://b.example/{i}", bare.format(i=i)) for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.extract(pages, html.deduce(pages)).collect()}
+    assert got == {i: f"T{i}\n\nSummary\n\ntext {i}" for i in range(30)} | {100 + i: f"T{i}\n\ntext {i}" for i in range(30)}
+
+
 # 6
 
 

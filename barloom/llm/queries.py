@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, decontaminate, editcount, html, lm, neardup, preferences, quality, secrets, toxicity
+from barloom.llm import bpe, decontaminate, editcount, html, lm, neardup, preferences, quality, secrets, sigtree, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -278,3 +278,8 @@ def op9_token_counts(spark, sf):
     return editcount.apply_edits(trees, path, pattern).select(
         "doc_id", "n_tokens_before", "n_tokens", "n_encoded", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256")
     )
+
+
+@query("op13_ngram_jaccard")
+def op13_ngram_jaccard(spark, sf):
+    return sigtree.join(table(spark, sf, "documents"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import bpe, decontaminate, editcount, html, lm, neardup, preferences, quality, secrets, sigtree, toxicity
+from barloom.llm import bpe, decontaminate, divergence, editcount, html, lm, neardup, preferences, quality, secrets, sigtree, spelling, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -283,3 +283,42 @@ def op9_token_counts(spark, sf):
 @query("op13_ngram_jaccard")
 def op13_ngram_jaccard(spark, sf):
     return sigtree.join(table(spark, sf, "documents"))
+
+
+DIVERGENCE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), t AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+total AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+p AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, CAST(1 + (1000000000 * (coalesce(n, 0) + 1)::HUGEINT) // (coalesce(total, 0) + v) AS BIGINT) AS p
+  FROM g JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN total USING (lang, source)
+), q AS (
+  SELECT lang, term, CAST(1 + (1000000000 * (sum(n) + 1)::HUGEINT) // (any_value(total) + any_value(v)) AS BIGINT) AS q
+  FROM c JOIN v USING (lang) JOIN (SELECT lang, sum(n) AS total FROM c GROUP BY lang) USING (lang) GROUP BY lang, term
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM found)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
+@query("op12_source_divergence", DIVERGENCE_SQL)
+def op12_source_divergence(spark, sf):
+    return divergence.audit(table(spark, sf, "documents"))
+
+
+@query("op11_spelling_variants")
+def op11_spelling_variants(spark, sf):
+    return spelling.group(table(spark, sf, "documents"))

@@ -31,8 +31,9 @@ SPACED[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 0x20
+#: Each byte lower-cased (A-Z only).
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
 
 
 def batches(spark: SparkSession, rows: int = 1_000) -> None:
@@ -105,7 +106,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 def hashed(texts: pa.Array, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of lower-cased (A-Z only) texts, and each text's first word."""
     data, at = text_bytes(texts)
-    data = _LOWER[data]
+    data = LOWER[data]
     starts, ends, owner = find(data, at, kind)
     return hashes(data, starts, ends), owner
 

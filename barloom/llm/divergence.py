@@ -93,11 +93,14 @@ def _entries(batch: pa.RecordBatch) -> Iterator[pa.Table]:
 
 def _stripes(table: pa.Table) -> Iterator[pa.RecordBatch]:
     """Entries that are added up, as stripes."""
-    table = table.take(pc.sort_indices(table, [("lang", "ascending"), ("term", "ascending")])).combine_chunks()
     if not table.num_rows:
         return
-    lang, term = (pc.run_end_encode(table.column(c).combine_chunks()).run_ends.to_numpy() for c in ("lang", "term"))
-    ends = np.union1d(lang, term).astype(np.int32)
+    # which order the terms come in does not matter, so their codes are sorted and not their letters
+    lang, term = (table.column(c).combine_chunks().dictionary_encode() for c in ("lang", "term"))
+    code = lang.indices.to_numpy().astype(np.int64) * len(term.dictionary) + term.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(code[order])) + 1, len(order)).astype(np.int32)
+    table = table.take(pa.array(order)).combine_chunks()
     entry = pa.StructArray.from_arrays([table.column(c).combine_chunks() for c in ("source", "docs", "n")], fields=list(_ENTRY))
     for k in range(0, len(ends), 10_000):
         part = ends[k : k + 10_000]

@@ -1,60 +1,78 @@
 """Linear recurrences ``y -> p y + q`` over ordered rows, inside the JVM and split within a key.
 
-Steps of this form compose into one of the same form.  Rows of a key are packed in blocks of calendar slots; each block
-composes its own steps, the blocks' totals are carried along the key, and every row applies its block's running step to what came
-in.  A key's history is thus spread over as many tasks as it has blocks, and only one entry per block is ordered as a whole.
+Steps of this form compose into one of the same form.  Within a block of calendar slots the composition has a closed form: with
+``P`` the running product of the ``p`` since the last row whose ``p`` is 0, the value is ``P * (y + sum of q / P)``, which windows give without packing a
+row.  What is carried from block to block is a tree: blocks compose into groups of ``block`` blocks, the groups' totals are carried along
+the key, then each group's blocks get what came in.  A key of ten million slots has 153 groups.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slots in a block.
+#: Slots in a block, and blocks in a group.
 BLOCK = 256
 
 
 def linear_scan(df: DataFrame, by: str, idx: str, steps: dict[str, tuple[Column, Column]], block: int = BLOCK) -> DataFrame:
     """``df`` with a column per entry of ``steps``: the value after each row, in order of ``idx``, starting from 0.
 
-    A step is ``(p, q)``; where either is null the row leaves the value as it was.
+    A step is ``(p, q)``; where either is null the row leaves the value as it was.  The product of the ``p`` that are not 0 within a block
+    must stay above 1e-300: averages of the last value and any of a weight above ``10 ** (-300 / block)`` do.
     """
     names = list(steps)
+    columns = df.columns
     whole = {n: p.isNotNull() & q.isNotNull() for n, (p, q) in steps.items()}
+    rows = df.withColumn("_block", F.floor(F.col(idx) / block))
+    w = Window.partitionBy(by, "_block").orderBy(idx).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     made = {f"_p_{n}": F.when(whole[n], p).otherwise(1.0) for n, (p, _) in steps.items()}
-    made |= {f"_q_{n}": F.when(whole[n], q).otherwise(0.0) for n, (_, q) in steps.items()}
-    rows = df.withColumns(made).withColumn("_block", F.floor(F.col(idx) / block))
-    row = F.struct(F.col(idx).alias("_at"), F.struct(*df.columns).alias("_row"), *made)
-    packed = rows.groupBy(by, "_block").agg(F.array_sort(F.collect_list(row), lambda x, y: F.signum(x["_at"] - y["_at"]).cast("int")).alias("_rows"))
-
-    unit = F.struct(*[c for n in names for c in (F.lit(1.0).alias(f"p_{n}"), F.lit(0.0).alias(f"q_{n}"))])
-    none = F.array().cast("array<struct<" + ",".join(f"p_{n}:double,q_{n}:double" for n in names) + ">>")
-
-    def step(a, x):
-        def after(n):
-            p, q = x[f"_p_{n}"], x[f"_q_{n}"]
-            return (a["last"][f"p_{n}"] * p).alias(f"p_{n}"), (a["last"][f"q_{n}"] * p + q).alias(f"q_{n}")
-
-        now = F.struct(*[c for n in names for c in after(n)])
-        return F.struct(now.alias("last"), F.array_append(a["all"], now).alias("all"))
-
-    start = F.struct(unit.alias("last"), none.alias("all"))
-    packed = packed.withColumn("_done", F.aggregate("_rows", start, step))
-
-    entry = F.struct("_block", F.col("_done.last").alias("last"))
-    totals = packed.groupBy(by).agg(F.array_sort(F.collect_list(entry)).alias("_totals"))
-    carried = F.array().cast("array<struct<_block:bigint," + ",".join(f"in_{n}:double" for n in names) + ">>")
-
-    def carry(a, x):
-        come = F.struct(x["_block"].alias("_block"), *[a[n].alias(f"in_{n}") for n in names])
-        return F.struct(
-            *[(a[n] * x["last"][f"p_{n}"] + x["last"][f"q_{n}"]).alias(n) for n in names], F.array_append(a["all"], come).alias("all")
-        )
-
-    first = F.struct(*[F.lit(0.0).alias(n) for n in names], carried.alias("all"))
-    came = totals.select(by, F.inline(F.aggregate("_totals", first, carry)["all"]))
-    spread = packed.join(came, [by, "_block"]).select(
-        F.explode(F.arrays_zip(F.col("_rows._row").alias("r"), F.col("_done.all").alias("s"))).alias("x"), *[f"in_{n}" for n in names]
+    rows = rows.withColumns(made | {f"_q_{n}": F.when(whole[n], q).otherwise(0.0) for n, (_, q) in steps.items()})
+    zero = {n: F.col(f"_p_{n}") == 0 for n in names}
+    rows = rows.withColumns({f"_m_{n}": F.product(F.when(zero[n], 1.0).otherwise(F.col(f"_p_{n}"))).over(w) for n in names})
+    rows = rows.withColumns(
+        {f"_s_{n}": F.sum(F.col(f"_q_{n}") / F.col(f"_m_{n}")).over(w) for n in names}
+        | {f"_z_{n}": F.max(zero[n]).over(w) for n in names}
     )
-    value = lambda n: F.col(f"in_{n}") * F.col(f"x.s.p_{n}") + F.col(f"x.s.q_{n}")
-    return spread.select("x.r.*", *[value(n).alias(n) for n in names])
+    # what had been summed before the last row that starts anew
+    since = {n: F.last(F.when(zero[n], F.col(f"_s_{n}") - F.col(f"_q_{n}") / F.col(f"_m_{n}")), ignorenulls=True).over(w) for n in names}
+    rows = rows.withColumns({f"_b_{n}": F.coalesce(since[n], F.lit(0.0)) for n in names})
+    local = {f"_y_{n}": F.col(f"_m_{n}") * (F.col(f"_s_{n}") - F.col(f"_b_{n}")) for n in names}
+    rows = rows.withColumns(local | {f"_c_{n}": F.when(F.col(f"_z_{n}"), 0.0).otherwise(F.col(f"_m_{n}")) for n in names})
+
+    last = F.max_by(F.struct(*[F.col(f"_{k}_{n}") for n in names for k in "cy"]), idx).alias("_last")
+    totals = rows.groupBy(by, "_block").agg(last)
+    after = _carried(totals.select(by, "_block", "_last.*"), by, names, block)
+    out = rows.join(after, [by, "_block"])
+    value = lambda n: (F.col(f"_in_{n}") * F.col(f"_c_{n}") + F.col(f"_y_{n}")).alias(n)
+    return out.select(*[c for c in columns if c not in names], *[value(n) for n in names])
+
+
+def _carried(totals: DataFrame, by: str, names: list[str], block: int) -> DataFrame:
+    """``(by, _block, _in_<name>)``: what comes into each block, from the blocks' totals ``(_c_<name>, _y_<name>)``."""
+    step = F.struct("_block", *[F.col(f"_{k}_{n}") for n in names for k in "cy"])
+    groups = totals.groupBy(by, F.floor(F.col("_block") / block).alias("_group")).agg(F.array_sort(F.collect_list(step)).alias("_steps"))
+    unit = {f"{k}_{n}": F.lit(1.0 if k == "c" else 0.0) for n in names for k in "cy"}
+
+    def compose(a, x):
+        made = {"c": lambda n: a[f"c_{n}"] * x[f"_c_{n}"], "y": lambda n: a[f"y_{n}"] * x[f"_c_{n}"] + x[f"_y_{n}"]}
+        return [made[k](n).alias(f"{k}_{n}") for n in names for k in "cy"]
+
+    def walk(fields: dict[str, Column], first: str, key: str):
+        """Fold that notes, for each element, what had been composed before it."""
+        kinds = ",".join([f"{key}:bigint", *[f"{f}:double" for f in fields]])
+        start = F.struct(*[v.alias(f) for f, v in fields.items()], F.array().cast(f"array<struct<{kinds}>>").alias("all"))
+
+        def add(a, x):
+            note = F.struct(x[first].alias(key), *[a[f].alias(f) for f in fields])
+            return F.struct(*compose(a, x), F.array_append(a["all"], note).alias("all"))
+
+        return start, add
+
+    groups = groups.withColumn("_done", F.aggregate("_steps", *walk(unit, "_block", "_block")))
+    entry = F.struct("_group", *[F.col(f"_done.{k}_{n}").alias(f"_{k}_{n}") for n in names for k in "cy"])
+    keys = groups.groupBy(by).agg(F.array_sort(F.collect_list(entry)).alias("_totals"))
+    came = keys.select(by, F.inline(F.aggregate("_totals", *walk(unit, "_group", "_group"))["all"]))
+    came = came.select(by, "_group", *[F.col(f"y_{n}").alias(f"_came_{n}") for n in names])
+    inside = groups.select(by, "_group", F.inline("_done.all")).join(came, [by, "_group"])
+    return inside.select(by, "_block", *[(F.col(f"_came_{n}") * F.col(f"c_{n}") + F.col(f"y_{n}")).alias(f"_in_{n}") for n in names])

@@ -40,8 +40,13 @@ def regime_signals(series: DataFrame, equity_id: str, gold_id: str, enter: int =
     )
 
 
+def _given(x: int | float | str):
+    """A parameter as a column: a number, or the name of the column that holds it."""
+    return F.col(x) if isinstance(x, str) else F.lit(x)
+
+
 def rebalance_schedule(
-    periods: DataFrame, counts: DataFrame, hold: int = 1, n: int = 30, signals: DataFrame | None = None
+    periods: DataFrame, counts: DataFrame, hold: int | str = 1, n: int | str = 30, signals: DataFrame | None = None
 ) -> DataFrame:
     """Rebalances of each strategy: ``(strategy_id, period_no, rebalance_no, regime)``.
 
@@ -49,7 +54,8 @@ def rebalance_schedule(
     due equity rebalance with fewer than ``n`` ranked names is retried next period.  With ``signals``
     (see :func:`regime_signals`) the regime may flip at a due date: in the gold regime the rebalance
     holds gold.  The fold runs over one strategy's periods, a few hundred small structs, inside a
-    single ``aggregate`` expression.
+    single ``aggregate`` expression.  ``hold`` and ``n`` may name columns of ``periods``, one value a strategy; ``signals`` may have
+    further columns of ``periods`` to be looked up by.
     """
     rows = periods.join(
         counts.select("strategy_id", "period_no", F.col("n_ranked")), ["strategy_id", "period_no"], "left"
@@ -57,11 +63,14 @@ def rebalance_schedule(
     if signals is None:
         rows = rows.withColumns({"to_gold": F.lit(False), "to_equity": F.lit(False)})
     else:
-        rows = rows.join(signals, "period_no", "left").withColumns(
+        by = ["period_no", *[k for k in signals.columns if k in periods.columns and k != "period_no"]]
+        rows = rows.join(signals, by, "left").withColumns(
             {"to_gold": c.holds(F.col("to_gold")), "to_equity": c.holds(F.col("to_equity"))}
         )
     path = rows.groupBy("strategy_id").agg(
-        F.array_sort(F.collect_list(F.struct("period_no", "n_ranked", "to_gold", "to_equity"))).alias("_path")
+        F.array_sort(F.collect_list(F.struct("period_no", "n_ranked", "to_gold", "to_equity"))).alias("_path"),
+        F.max(_given(hold)).alias("_hold"),
+        F.max(_given(n)).alias("_least"),
     )
     start = F.struct(
         F.lit(False).alias("gold"),
@@ -72,9 +81,9 @@ def rebalance_schedule(
 
     def step(s, p):
         age = s["age"] + 1
-        due = ~(s["holding"] | s["gold"]) | (age >= hold)
+        due = ~(s["holding"] | s["gold"]) | (age >= F.col("_hold"))
         gold = F.when(due, F.when(s["gold"], ~p["to_equity"]).otherwise(p["to_gold"])).otherwise(s["gold"])
-        equity = due & ~gold & (p["n_ranked"] >= n)
+        equity = due & ~gold & (p["n_ranked"] >= F.col("_least"))
         done = (due & gold) | equity
         event = F.struct(p["period_no"].alias("period_no"), F.when(gold, "gold").otherwise("equity").alias("regime"))
         return F.struct(
@@ -94,34 +103,39 @@ def ranked_counts(ranking: DataFrame) -> DataFrame:
     return ranking.groupBy("strategy_id", "period_no").agg(F.count("*").cast("int").alias("n_ranked"))
 
 
-def top_n(ranking: DataFrame, schedule: DataFrame, n: int, freq: str = "month") -> DataFrame:
+def top_n(ranking: DataFrame, schedule: DataFrame, n: int | str, freq: str = "month") -> DataFrame:
     """Plain holdings: the first ``n`` of each equity rebalance, one GOLD row per gold rebalance.
 
-    ``rank <= n`` is a literal bound, so the ranking window keeps only ``n`` rows per task and group.
+    With a number ``rank <= n`` is a literal bound, so the ranking window keeps only ``n`` rows per task and group; ``n`` may also
+    name a column of the ranking.
     """
     keys = ["strategy_id", "period_no"]
-    equity = schedule.where("regime = 'equity'").join(ranking.where(F.col("rank") <= n), keys)
+    equity = schedule.where("regime = 'equity'").join(ranking.where(F.col("rank") <= _given(n)), keys)
     equity = equity.select(
-        *keys, "rebalance_no", "regime", "symbol", F.col("rank").alias("slot"), F.lit(n).alias("n_active")
+        *keys, "rebalance_no", "regime", "symbol", F.col("rank").alias("slot"), _given(n).alias("n_active")
     )
     return _with_gold(equity, schedule, freq)
 
 
-def with_exit_band(ranking: DataFrame, schedule: DataFrame, n: int, exit_band_pct: float, freq: str = "month") -> DataFrame:
+def with_exit_band(
+    ranking: DataFrame, schedule: DataFrame, n: int | str, exit_band_pct: float | str, freq: str = "month"
+) -> DataFrame:
     """Hysteresis: a held name stays while its rank is within ``n * (1 + pct/100)``; the best
     non-held names fill the free slots.  Survivors keep their order, entrants follow by rank.
 
     The fold of a strategy sees one short symbol array per rebalance (ranks beyond the band are cut
-    before the shuffle; filling never looks past them).
+    before the shuffle; filling never looks past them).  ``n`` and ``exit_band_pct`` may name columns of the ranking.
     """
-    band = n * (1 + exit_band_pct / 100.0)
+    numbers = not isinstance(n, str) and not isinstance(exit_band_pct, str)
+    band = F.lit(int(n * (1 + exit_band_pct / 100.0))) if numbers else F.floor(_given(n) * (1 + _given(exit_band_pct) / 100.0))
     keys = ["strategy_id", "period_no"]
-    near = ranking.where(F.col("rank") <= F.lit(int(band))).join(schedule.where("regime = 'equity'"), keys, "left_semi")
+    near = ranking.where(F.col("rank") <= band).join(schedule.where("regime = 'equity'"), keys, "left_semi")
     lists = near.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "symbol"))), lambda s: s["symbol"]).alias("best")
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "symbol"))), lambda s: s["symbol"]).alias("best"),
+        F.max(_given(n)).alias("_n"),
     )
     steps = schedule.join(lists, keys, "left").groupBy("strategy_id").agg(
-        F.array_sort(F.collect_list(F.struct("rebalance_no", "period_no", "regime", "best"))).alias("_steps")
+        F.array_sort(F.collect_list(F.struct("rebalance_no", "period_no", "regime", "best"))).alias("_steps"), F.max("_n").alias("_n")
     )
     start = F.struct(
         F.array().cast("array<string>").alias("held"),
@@ -130,7 +144,7 @@ def with_exit_band(ranking: DataFrame, schedule: DataFrame, n: int, exit_band_pc
 
     def step(s, p):
         kept = F.filter(s["held"], lambda x: F.array_contains(p["best"], x))
-        entrants = F.slice(F.array_except(p["best"], kept), F.lit(1), F.greatest(F.lit(n) - F.size(kept), F.lit(0)))
+        entrants = F.slice(F.array_except(p["best"], kept), F.lit(1), F.greatest(F.col("_n") - F.size(kept), F.lit(0)))
         held = F.when(p["regime"] == "gold", F.array().cast("array<string>")).otherwise(F.concat(kept, entrants))
         event = F.struct(p["period_no"].alias("period_no"), p["rebalance_no"].alias("rebalance_no"), held.alias("held"))
         return F.struct(held.alias("held"), F.array_append(s["out"], event).alias("out"))
@@ -230,6 +244,12 @@ def holdings_events(holdings: DataFrame, schedule: DataFrame, since=None, freq:
 
 def current_positions(holdings: DataFrame, schedule: DataFrame, freq: str = "month") -> DataFrame:
     """Names held after the last rebalance with the start of their unbroken streak."""
+    entered = current_entries(holdings, schedule)
+    return entered.select("strategy_id", "symbol", c.period_end_of("entry_period", freq).alias("entry_date"))
+
+
+def current_entries(holdings: DataFrame, schedule: DataFrame) -> DataFrame:
+    """Names held after the last rebalance with the period that began their unbroken streak: ``(strategy_id, symbol, entry_period)``."""
     last = schedule.groupBy("strategy_id").agg(
         F.max("rebalance_no").alias("_last"), F.max_by(F.struct("period_no", "regime"), "rebalance_no").alias("_at")
     )
@@ -240,10 +260,7 @@ def current_positions(holdings: DataFrame, schedule: DataFrame, freq: str = "mon
         .agg(F.max("period_no").alias("_entry"))
     )
     held = holdings.join(last, "strategy_id").where("rebalance_no = _last")
+    gold = F.col("_at.regime") == "gold"
     return held.join(entries, ["strategy_id", "symbol"], "left").select(
-        "strategy_id",
-        "symbol",
-        c.period_end_of(
-            F.when(F.col("_at.regime") == "gold", F.col("_at.period_no")).otherwise(F.col("_entry")), freq
-        ).alias("entry_date"),
+        "strategy_id", "symbol", F.when(gold, F.col("_at.period_no")).otherwise(F.col("_entry")).alias("entry_period")
     )

@@ -152,6 +152,10 @@ def _similarity(candidate: pd.Series, wanted: pd.Series) -> pd.Series:
 _similarity = _similarity.asNondeterministic()
 
 
+#: Pairs that one task scores.
+_SCORED = 5_000
+
+
 def fuzzy_resolve(wanted: DataFrame, known: DataFrame, cutoff: float = 0.88, name: str = "norm_name") -> DataFrame:
     """Closest known name with a matching-blocks ratio of at least ``cutoff``: ``(name, match, score)``.
 
@@ -160,19 +164,30 @@ def fuzzy_resolve(wanted: DataFrame, known: DataFrame, cutoff: float = 0.88, nam
     that many edits: one segment survives untouched and stands in the wanted name, shifted by no
     more than the edits allow (the segment filter of edit-distance joins).  Segments are therefore
     equi-join keys that lose nothing; what they bring together is thinned by the built-in bounded
-    ``levenshtein`` and only the rest is scored.  Equal scores go to the alphabetically last name.
+    ``levenshtein``, which also gives each pair the best ratio it could have.  Only each name's most promising pairs are scored, then
+    those that could still reach what they gave.  Equal scores go to the alphabetically last name.
     """
-    pairs = _candidates(wanted.select(name).distinct(), known.select(name).distinct(), cutoff, name)
-    # a pair is a few bytes but costs some 100 microseconds: spread by count, not by size
-    pairs = pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism)
-    scored = pairs.withColumn("score", _similarity("_known", name)).where(F.col("score") >= cutoff)
+    pairs = materialise(_candidates(wanted.select(name).distinct(), known.select(name).distinct(), cutoff, name))
+    most = pairs.groupBy(name).agg(F.max("_most").alias("_top"))
+    first = _scored(pairs.join(most, name).where("_most = _top").select(name, "_known"), name)
+    reached = first.groupBy(name).agg(F.greatest(F.max("score"), F.lit(cutoff)).alias("_least"))
+    # bounds and scores are quotients of the same whole numbers, so a pair that can draw level is not below
+    rest = pairs.join(most, name).join(reached, name).where("_most < _top AND _most >= _least")
+    scored = first.unionByName(_scored(rest.select(name, "_known"), name)).where(F.col("score") >= cutoff)
     return scored.groupBy(name).agg(
         F.max_by("_known", F.struct("score", "_known")).alias("match"), F.max("score").alias("score")
     )
 
 
+def _scored(pairs: DataFrame, name: str) -> DataFrame:
+    """``pairs`` with their ratio, dealt out by their number: a pair is a few bytes but costs some 100 microseconds."""
+    pairs = materialise(pairs)
+    spread = pairs.repartition(pairs.count() // _SCORED + 1, name)
+    return materialise(spread.withColumn("score", _similarity("_known", name)))
+
+
 def _candidates(wanted: DataFrame, known: DataFrame, cutoff: float, name: str) -> DataFrame:
-    """Pairs ``(name, _known)`` that can reach ``cutoff``; a superset of those that do."""
+    """Pairs ``(name, _known, _most)`` that can reach ``cutoff``, a superset of those that do, and the best ratio each can have."""
     reach = (2 - cutoff) / cutoff  # longest partner relative to a name's length
     tiny = 1e-9
 
@@ -204,9 +219,13 @@ def _candidates(wanted: DataFrame, known: DataFrame, cutoff: float, name: str) -
     # few bytes, many partners each: spread over the session's shuffle partitions before the join multiplies them
     w = w.repartition(name, "_seg")
     met = w.join(k, ["_of", "_i", "_seg"]).select(name, "_known")
-    allowed = F.floor((1 - cutoff) * (F.length(name) + F.length("_known")) + tiny).cast("int")
-    # the bounded form gives -1 beyond the limit and stops early
-    return met.where(F.call_function("levenshtein", F.col(name), F.col("_known"), allowed) >= 0).distinct()
+    total = F.length(name) + F.length("_known")
+    # letters outside a common subsequence are as odd or even in number as all letters
+    even = lambda d: d + F.abs((total - d) % 2)
+    allowed = F.floor((1 - cutoff) * total + tiny).cast("int")
+    near = met.distinct().withColumn("_edits", F.call_function("levenshtein", F.col(name), F.col("_known"), allowed)).where("_edits >= 0")
+    near = near.withColumn("_most", (total - even(F.col("_edits"))) / total)
+    return near.where(F.col("_most") >= cutoff - tiny).select(name, "_known", "_most")
 
 
 def canonicalize(edges: DataFrame, active: DataFrame) -> DataFrame:

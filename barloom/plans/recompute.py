@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import period_end_of
-from barloom.operators import holdings as h
-from barloom.operators.ranking import RankParams
-from barloom.plans.backtest import Strategy, run
+from barloom.operators import strategies as st
 from barloom.session import materialise
 from barloom.sources.registry import PRICES, mark_computed, with_parameters
 from barloom.sources.sinks import replace_keys
@@ -24,52 +20,39 @@ class Recomputed:
     rejected: DataFrame
 
 
-#: Strategies whose parameters go into one plan.
-BLOCK = 200
 #: Names of the universe that filters nothing.
 WHOLE_MARKET = ("Nifty 500", "all")
 
 
-def _grid(row) -> tuple[str, str]:
-    return ("week" if row.rebal_freq == "Weekly" else "month", row.price_col or "Adj Close")
-
-
-def _strategy(r) -> Strategy:
-    rank = RankParams(
-        strategy_id=r.strategy_id,
-        lookback=r.lookback_months,
-        skip=r.skip_months,
-        min_price=r.min_price,
-        max_volatility_pct=r.max_volatility_pct,
-        use_risk_adjusted=bool(r.use_risk_adjusted),
-        max_trailing_return_pct=r.max_trailing_return_pct,
-        max_drawdown_from_52w_high_pct=r.max_drawdown_from_52w_high_pct,
-        use_membership=bool(r.use_membership_filter),
-        universe=None if r.universe in WHOLE_MARKET else r.universe,
-    )
-    return Strategy(
-        rank=rank,
-        hold=r.hold_months,
-        n=r.n_stocks,
-        exit_band_pct=(r.exit_band_pct or 0.0) if r.use_exit_band else 0.0,
-        weighting="drift" if r.weighting_mode == "drift" else "equal",
-        regime=("equity", "gold") if r.use_regime_filter else None,
-        gold_entry=r.gold_entry_lookback or 150,
-        gold_exit=r.gold_exit_lookback or 55,
-        freq=_grid(r)[0],
+def _freq() -> Column:
+    return F.when(F.col("p.rebal_freq") == "Weekly", "week").otherwise("month")
+
+
+def _grid() -> Column:
+    return F.concat_ws("|", _freq(), F.coalesce("p.price_col", F.lit("Adj Close")))
+
+
+def strategy_table(registry: DataFrame) -> DataFrame:
+    """The usable rows of a registry as a relation of strategies."""
+    of = {
+        "lookback": "lookback_months", "skip": "skip_months", "hold": "hold_months", "n": "n_stocks", "min_price": "min_price",
+        "max_volatility_pct": "max_volatility_pct", "use_risk_adjusted": "use_risk_adjusted",
+        "max_trailing_return_pct": "max_trailing_return_pct", "max_drawdown_from_52w_high_pct": "max_drawdown_from_52w_high_pct",
+        "use_membership": "use_membership_filter", "use_regime": "use_regime_filter",
+    }
+    whole = F.col("p.universe").isin(*WHOLE_MARKET)
+    positive = lambda k: F.when(F.col(k) != 0, F.col(k))
+    rows = with_parameters(registry).where("valid").select(
+        "strategy_id",
+        _grid().alias("grid"),
+        _freq().alias("freq"),
+        *[F.col(f"p.{v}").alias(k) for k, v in of.items()],
+        F.when(F.col("p.use_exit_band"), F.col("p.exit_band_pct")).alias("exit_band_pct"),
+        F.when(~whole, F.col("p.universe")).alias("universe"),
+        positive("p.gold_entry_lookback").alias("gold_entry"),
+        positive("p.gold_exit_lookback").alias("gold_exit"),
     )
-
-
-def _blocks(registry: DataFrame) -> Iterator[tuple[tuple[str, str], list[Strategy]]]:
-    """The valid strategies by grid, at most ``BLOCK`` at a time; the registry is streamed, never held as a whole."""
-    rows = with_parameters(registry).where("valid").select("strategy_id", "p.*")
-    waiting: dict[tuple[str, str], list[Strategy]] = {}
-    for r in rows.orderBy("strategy_id").toLocalIterator():
-        mine = waiting.setdefault(_grid(r), [])
-        mine.append(_strategy(r))
-        if len(mine) == BLOCK:
-            yield _grid(r), waiting.pop(_grid(r))
-    yield from waiting.items()
+    return st.relation(rows)
 
 
 def rejected(registry: DataFrame, panels: dict | None = None) -> DataFrame:
@@ -77,19 +60,19 @@ def rejected(registry: DataFrame, panels: dict | None = None) -> DataFrame:
     rows = with_parameters(registry)
     unusable = ~F.col("valid")
     if panels is not None:
-        freq = F.when(F.col("p.rebal_freq") == "Weekly", "week").otherwise("month")
-        price = F.coalesce("p.price_col", F.lit("Adj Close"))
-        known = [(f, x) for f in ("month", "week") for x in PRICES if _panel(panels, (f, x)) is not None]
-        served = F.lit(False)
-        for f, x in known:
-            served |= (freq == f) & (price == x)
-        unusable |= ~served
+        unusable |= ~_grid().isin(*_by_grid(panels))
     return rows.where(unusable).select("strategy_id", "name")
 
 
-def _panel(panels: dict, grid: tuple[str, str]) -> DataFrame | None:
-    """Panel of a grid and price; one given for the grid alone holds adjusted closes."""
-    return panels.get(grid, panels.get(grid[0]) if grid[1] == "Adj Close" else None)
+def _by_grid(panels: dict) -> dict[str, DataFrame]:
+    """Panels by the name of grid and price; one given for the grid alone holds adjusted closes."""
+    out = {}
+    for freq in ("month", "week"):
+        for price in PRICES:
+            panel = panels.get((freq, price), panels.get(freq) if price == "Adj Close" else None)
+            if panel is not None:
+                out[f"{freq}|{price}"] = panel
+    return out
 
 
 def recompute_all(
@@ -105,24 +88,25 @@ def recompute_all(
 
     ``panels`` maps a period grid (``month``, ``week``), or a grid and a price (``("month", "Close")``), to its panel.
     Rows with unusable parameters or without a panel are diverted to ``rejected`` before the job, so one bad
-    strategy cannot fail the others.  A registry without usable rows gives empty tables.
+    strategy cannot fail the others.  A registry without usable rows gives empty tables.  Strategies stay rows of a table throughout
+    (:mod:`barloom.operators.strategies`): the plan is the same for any number of them, and none passes through the driver.
     """
-    spark = registry.sparkSession
-    kind = registry.schema["strategy_id"].dataType.simpleString()
-    events = spark.createDataFrame([], f"strategy_id {kind}, symbol string, event_date date, action string")
-    positions = spark.createDataFrame([], f"strategy_id {kind}, symbol string, entry_date date")
-    for grid, mine in _blocks(registry):
-        panel = _panel(panels, grid)
-        if panel is None:
-            continue
-        freq = grid[0]
-        test = run(panel, mine, membership, universes, daily, series)
-        last = test.schedule.groupBy("strategy_id").agg(F.max("period_no").alias("_last"))
-        cut = last.select("strategy_id", F.add_months(period_end_of("_last", freq), -event_months).alias("_since"))
-        ev = h.holdings_events(test.holdings, test.schedule, freq=freq).join(cut, "strategy_id")
-        events = events.unionByName(ev.where("event_date >= _since").select(*events.columns))
-        positions = positions.unionByName(h.current_positions(test.holdings, test.schedule, freq).select(*positions.columns))
-    return Recomputed(events, positions, rejected(registry, panels))
+    found = _by_grid(panels)
+    if not found:
+        raise ValueError("recompute_all needs a panel")
+    strategies = materialise(strategy_table(registry).where(F.col("grid").isin(*found)))
+    panel = st.one_panel(found)
+    # the counts combine before their shuffle, the ranks are pruned before theirs
+    ranking = st.rank_strategies(panel, strategies, membership, universes, daily)
+    schedule, held = st.hold_strategies(panel, strategies, ranking, series)
+    last = schedule.groupBy("strategy_id", "freq").agg(F.max("period_no").alias("_last"))
+    cut = last.select("strategy_id", F.add_months(st.label("_last"), -event_months).alias("_since"))
+    events = st.events(held, schedule).join(cut, "strategy_id").where("event_date >= _since")
+    return Recomputed(
+        events.select("strategy_id", "symbol", "event_date", "action"),
+        st.positions(held, schedule).select("strategy_id", "symbol", "entry_date"),
+        rejected(registry, panels),
+    )
 
 
 def store(done: Recomputed, registry: DataFrame, events_path: str, positions_path: str, when) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions import columns as c
+from barloom.operators import strategies
 from barloom.plans import recompute
 from barloom.session import scratch_path
 from barloom.sources import sinks
@@ -167,3 +168,90 @@ def recompute_rejects(spark, sf):
     return recompute.rejected(_saved(spark, sf))
 
 
+
+
+# -- strategies as a relation, on two grids ---------------------------------------------------------
+
+
+def _suppliers(spark, sf):
+    """A registry with a strategy for each supplier: months and weeks, filters, universes, and rows no run can use."""
+    k = F.col("s_suppkey")
+    params = F.to_json(
+        F.struct(
+            F.when(k % 4 == 1, "tradable").otherwise("all").alias("universe"),
+            F.when(k % 3 == 0, "Weekly").otherwise("Monthly").alias("rebal_freq"),
+            F.when(k % 9 != 8, 3 + k % 4 * 3).alias("lookback_months"),
+            (k % 2).alias("skip_months"),
+            F.lit(1).alias("hold_months"),
+            (3 + k % 3).alias("n_stocks"),
+            (20_000.0 + k % 4 * 5_000).alias("min_price"),
+            F.lit("Adj Close").alias("price_col"),
+            (k % 5 == 0).alias("use_risk_adjusted"),
+            F.when(k % 6 == 1, 300.0).alias("max_volatility_pct"),
+            F.when(k % 7 == 2, 30.0).alias("max_trailing_return_pct"),
+        )
+    )
+    return p.table(spark, sf, "supplier").select(F.col("s_name").alias("strategy_id"), F.col("s_name").alias("name"), params.alias("parameters"))
+
+
+define(
+    "xsaved",
+    """SELECT s_name AS strategy_id, CASE WHEN s_suppkey % 3 = 0 THEN 'week' ELSE 'month' END AS grid, 3 + s_suppkey % 4 * 3 AS lb, s_suppkey % 2 AS sk, 3 + s_suppkey % 3 AS n,
+       20000e0 + s_suppkey % 4 * 5000 AS least, s_suppkey % 4 = 1 AS small, s_suppkey % 5 = 0 AS adjusted, s_suppkey % 6 = 1 AS calm, s_suppkey % 7 = 2 AS capped
+       FROM supplier WHERE s_suppkey % 9 <> 8""",
+)
+define("xpanel", "SELECT 'month' AS grid, symbol, period_end, period_no, price FROM panel UNION ALL SELECT 'week', symbol, period_end, period_no, price FROM wpanel", "panel", "wpanel")
+define("xreturns", "SELECT a.grid, a.symbol, a.period_no, a.price / b.price - 1 AS r FROM xpanel a JOIN xpanel b ON a.grid = b.grid AND a.symbol = b.symbol AND b.period_no = a.period_no - 1", "xpanel")
+define(
+    "xwindows",
+    """SELECT w.grid, lb, sk, a.symbol, a.period_no, any_value(e.price / s.price - 1) AS m, stddev_samp(r) * sqrt(12e0) AS v FROM (SELECT DISTINCT grid, lb, sk FROM xsaved) w JOIN xpanel a ON a.grid = w.grid
+       JOIN xpanel e ON e.grid = a.grid AND e.symbol = a.symbol AND e.period_no = a.period_no - sk JOIN xpanel s ON s.grid = a.grid AND s.symbol = a.symbol AND s.period_no = a.period_no - sk - lb
+       LEFT JOIN xreturns r ON r.grid = a.grid AND r.symbol = a.symbol AND r.period_no BETWEEN a.period_no - sk - lb + 1 AND a.period_no - sk GROUP BY w.grid, lb, sk, a.symbol, a.period_no""",
+    "xsaved",
+    "xpanel",
+    "xreturns",
+)
+define(
+    "xrank",
+    """SELECT * FROM (SELECT strategy_id, grid, lb, sk, n, period_no, period_end, symbol, row_number() OVER (PARTITION BY strategy_id, period_no ORDER BY round(CASE WHEN adjusted THEN m / v ELSE m END, 9) DESC, symbol) AS rank,
+       count(*) OVER (PARTITION BY strategy_id, period_no) AS cnt FROM xsaved JOIN xwindows USING (grid, lb, sk) JOIN xpanel USING (grid, symbol, period_no)
+       WHERE price >= least AND (NOT small OR symbol IN (SELECT symbol FROM universe WHERE universe_id = 'tradable')) AND (NOT calm OR v <= 3) AND (NOT capped OR m <= 0.3e0) AND (NOT adjusted OR v > 1e-9)) WHERE rank <= n""",
+    "xwindows",
+    "xsaved",
+    "universe",
+)
+define(
+    "xreb",
+    """SELECT strategy_id, grid, period_no, row_number() OVER (PARTITION BY strategy_id ORDER BY period_no) AS k FROM (SELECT DISTINCT strategy_id, x.grid, period_no FROM xrank x
+       WHERE cnt >= n AND period_no >= (SELECT min(period_no) FROM xpanel q WHERE q.grid = x.grid) + lb + sk + 1)""",
+    "xrank",
+    "xpanel",
+)
+define("xheld", "SELECT r.strategy_id, r.symbol, b.k FROM xrank r JOIN xreb b USING (strategy_id, period_no)", "xrank", "xreb")
+define(
+    "xevents",
+    """SELECT m.strategy_id, m.symbol, m.action, CASE WHEN grid = 'week' THEN DATE '1970-01-02' + CAST(b.period_no * 7 AS INTEGER) ELSE CAST(last_day(make_date(b.period_no // 12, b.period_no % 12 + 1, 1)) AS DATE) END AS event_date
+       FROM (SELECT h.strategy_id, h.symbol, h.k, 'entry' AS action FROM xheld h ANTI JOIN (SELECT strategy_id, symbol, k + 1 AS k FROM xheld) g USING (strategy_id, symbol, k)
+       UNION ALL SELECT h.strategy_id, h.symbol, h.k + 1, 'exit' FROM xheld h ANTI JOIN (SELECT strategy_id, symbol, k - 1 AS k FROM xheld) g USING (strategy_id, symbol, k)) m JOIN xreb b USING (strategy_id, k)""",
+    "xheld",
+    "xreb",
+)
+
+
+@query("ranking_strategy_table", with_ctes("SELECT strategy_id, period_end, symbol, rank FROM xrank", "xrank"))
+def ranking_strategy_table(spark, sf):
+    """A table of strategies on two grids ranked by one plan, whatever their number."""
+    saved = recompute.strategy_table(_suppliers(spark, sf))
+    panel = strategies.one_panel({"month|Adj Close": p.monthly_panel(spark, sf), "week|Adj Close": p.weekly_panel(spark, sf)})
+    ranked = strategies.rank_strategies(panel, saved, universes=p.universes(spark, sf))
+    return ranked.join(saved.select("strategy_id", "n"), "strategy_id").where("rank <= n").select("strategy_id", "period_end", "symbol", "rank")
+
+
+@query(
+    "recomputed_on_two_grids",
+    with_ctes("SELECT strategy_id, event_date, symbol, action FROM xevents e WHERE event_date >= (SELECT max(event_date) - INTERVAL 6 MONTH FROM (SELECT strategy_id AS s, CASE WHEN grid = 'week' THEN DATE '1970-01-02' + CAST(period_no * 7 AS INTEGER) ELSE CAST(last_day(make_date(period_no // 12, period_no % 12 + 1, 1)) AS DATE) END AS event_date FROM xreb) WHERE s = e.strategy_id)", "xevents", "xreb"),
+)
+def recomputed_on_two_grids(spark, sf):
+    """A monthly, weekly and partly unusable registry recomputed by one plan."""
+    panels = {"month": p.monthly_panel(spark, sf), "week": p.weekly_panel(spark, sf)}
+    return recompute.recompute_all(_suppliers(spark, sf), panels, universes=p.universes(spark, sf)).events

@@ -113,14 +113,52 @@ def _named_log(spark, sf):
     )
 
 
-@query("resolved_names")
+_NORM = r"""trim(regexp_replace(regexp_replace(regexp_replace(replace(upper(name), '&', ' AND '), '[.\-,()'']', ' ', 'g'), '\b(LIMITED|LTD)\b', '', 'g'), '[ \t\n\v\f\r]+', ' ', 'g'))"""
+define(
+    "nlog",
+    f"""SELECT *, {_NORM} AS norm FROM (SELECT CAST(DATE '1998-01-01' + CAST(p_partkey % 900 AS INTEGER) AS DATE) AS date, CASE WHEN p_partkey % 2 = 0 THEN 'IN' ELSE 'OUT' END AS action,
+       CASE p_partkey % 5 WHEN 0 THEN base || ', Limited' WHEN 1 THEN substr(base, 1, 2) || 'x' || substr(base, 4) WHEN 2 THEN 'Unknown Firm ' || p_partkey || ' of ' || p_type
+       WHEN 3 THEN base || ' & Sons' ELSE p_brand || ' ' || p_name END AS name FROM (SELECT *, p_name || ' ' || p_brand AS base FROM part))""",
+)
+define(
+    "npairs",
+    """SELECT w, norm_name AS k FROM (SELECT DISTINCT norm AS w FROM nlog WHERE norm <> '' AND norm NOT IN (SELECT norm_name FROM aliases)) JOIN (SELECT * FROM aliases WHERE norm_name <> '')
+       ON 1e0 * least(length(w), length(norm_name)) >= 0.78e0 * greatest(length(w), length(norm_name)) AND levenshtein(w, norm_name) <= 0.12e0 * (length(w) + length(norm_name)) + 1e-9""",
+    "nlog",
+    "aliases",
+)
+# the longest common block (first in the known name, then in the wanted one), then the same left and right of it
+_BLOCK_OF = """list_max(flatten(list_transform(range(1, length(x) + 1), lambda i: list_transform(list_filter(range(1, length(x) - i + 2), lambda n: strpos(y, substr(x, i, n)) > 0), lambda n: {'n': n, 'i': -i}))))"""
+define(
+    "nblocks",
+    f"""SELECT w, k, k AS x, w AS y, 0::BIGINT AS n FROM npairs UNION ALL
+       SELECT w, k, unnest([substr(x, 1, -b.i - 1), substr(x, b.n - b.i)]), unnest([substr(y, 1, strpos(y, substr(x, -b.i, b.n)) - 1), substr(y, strpos(y, substr(x, -b.i, b.n)) + b.n)]), unnest([b.n, 0])
+       FROM (SELECT *, {_BLOCK_OF} AS b FROM nblocks WHERE x <> '' AND y <> '') WHERE b IS NOT NULL""",
+    "npairs",
+)
+define(
+    "nclose",
+    "SELECT w, arg_max(k, (score, k)) AS k FROM (SELECT w, k, 2e0 * sum(n) / (length(w) + length(k)) AS score FROM nblocks GROUP BY w, k) WHERE score >= 0.88e0 GROUP BY w",
+    "nblocks",
+)
+define(
+    "nresolved",
+    """SELECT l.date, l.action, l.name, coalesce(a.symbol, f.symbol) AS symbol, CASE WHEN a.symbol IS NOT NULL THEN 'exact' WHEN f.symbol IS NOT NULL THEN 'fuzzy' ELSE 'unresolved' END AS method
+       FROM nlog l LEFT JOIN aliases a ON a.norm_name = l.norm LEFT JOIN nclose ON w = l.norm LEFT JOIN aliases f ON f.norm_name = nclose.k""",
+    "nlog",
+    "aliases",
+    "nclose",
+)
+
+
+@query("resolved_names", with_ctes("SELECT name, symbol, method, count(*) AS n FROM nresolved GROUP BY ALL", "nresolved"))
 def resolved_names(spark, sf):
-    """Exact, else closest name; checked against a full comparison in the tests."""
+    """Exact, else closest name."""
     aliases = materialise(m.build_alias_table(*_masters(spark, sf)))
     return m.resolve_names(_named_log(spark, sf), aliases).groupBy("name", "symbol", "method").agg(F.count("*").alias("n"))
 
 
-@query("resolution_report")
+@query("resolution_report", with_ctes("SELECT method, count(*) AS n_events, count(DISTINCT name) AS n_names FROM nresolved GROUP BY 1", "nresolved"))
 def resolution_report(spark, sf):
     """M3: names by method of resolution."""
     aliases = materialise(m.build_alias_table(*_masters(spark, sf)))
@@ -145,7 +183,43 @@ def rename_components(spark, sf):
     return m.canonicalize(edges, active)
 
 
-@query("membership_pipeline")
+define(
+    "pcanon",
+    """SELECT symbol, coalesce(min(CASE WHEN listed THEN member END), min(member)) AS canonical FROM (
+       SELECT a AS symbol, b AS member, b IN (SELECT 'P' || p_partkey FROM part WHERE p_partkey % 3 = 0) AS listed FROM (
+       SELECT 'P' || p_partkey AS a, unnest(['P' || p_partkey, 'P' || (p_partkey + 1)]) AS b FROM part WHERE p_partkey % 3 = 2
+       UNION ALL SELECT 'P' || (p_partkey + 1), unnest(['P' || p_partkey, 'P' || (p_partkey + 1)]) FROM part WHERE p_partkey % 3 = 2)) GROUP BY 1""",
+)
+define("psnaps", "SELECT DISTINCT make_date(year(l_shipdate), 7, 1) AS as_of, 'P' || l_partkey AS symbol FROM lineitem")
+define(
+    "pevents",
+    """SELECT date, symbol, action FROM nresolved WHERE symbol IS NOT NULL
+       UNION ALL SELECT (SELECT CAST(min(as_of) - 1 AS DATE) FROM psnaps), symbol, 'OUT' FROM (SELECT symbol, coalesce(canonical, symbol) AS c, sum(CASE action WHEN 'IN' THEN 1 ELSE -1 END) AS b
+       FROM nresolved LEFT JOIN pcanon USING (symbol) WHERE symbol IS NOT NULL AND date < (SELECT min(as_of) FROM psnaps) GROUP BY 1, 2) WHERE b > 0
+       AND c NOT IN (SELECT coalesce(canonical, symbol) FROM psnaps LEFT JOIN pcanon USING (symbol) WHERE as_of = (SELECT min(as_of) FROM psnaps))
+       UNION ALL SELECT as_of, symbol, action FROM (SELECT symbol, k, 'IN' AS action FROM pmarks a ANTI JOIN (SELECT symbol, k + 1 AS k FROM pmarks) b USING (symbol, k) WHERE k > 1
+       UNION ALL SELECT symbol, k + 1, 'OUT' FROM pmarks a ANTI JOIN (SELECT symbol, k - 1 AS k FROM pmarks) b USING (symbol, k)) JOIN (SELECT as_of, row_number() OVER (ORDER BY as_of) AS k FROM (SELECT DISTINCT as_of FROM psnaps)) USING (k)""",
+    "nresolved",
+    "pcanon",
+    "psnaps",
+    "pmarks",
+)
+define(
+    "pmarks",
+    "SELECT DISTINCT coalesce(canonical, symbol) AS symbol, k FROM psnaps LEFT JOIN pcanon USING (symbol) JOIN (SELECT as_of, row_number() OVER (ORDER BY as_of) AS k FROM (SELECT DISTINCT as_of FROM psnaps)) USING (as_of)",
+    "psnaps",
+    "pcanon",
+)
+
+
+@query(
+    "membership_pipeline",
+    with_ctes(
+        """SELECT symbol, date AS "start", nd AS "end" FROM (SELECT *, lead(date) OVER w AS nd FROM (SELECT *, lag(action) OVER w AS pa FROM (SELECT DISTINCT symbol, date, action FROM pevents) WINDOW w AS (PARTITION BY symbol ORDER BY date, action))
+        WHERE (pa IS NULL AND action = 'IN') OR pa <> action WINDOW w AS (PARTITION BY symbol ORDER BY date, action)) WHERE action = 'IN'""",
+        "pevents",
+    ),
+)
 def membership_pipeline(spark, sf):
     """M4: log, resolution, renames, snapshots and reconciliation to intervals."""
     master, changed, renamed = _masters(spark, sf)

@@ -52,10 +52,14 @@ def relation(strategies: DataFrame) -> DataFrame:
 
 
 def one_panel(panels: dict[str, DataFrame]) -> DataFrame:
-    """Panels by grid name -> one panel with a column ``grid``."""
+    """Panels by grid name -> one panel with a column ``grid``.
+
+    The name hangs on the row, as the optimizer would fold a constant away and join without a key.
+    """
     out = None
     for grid, panel in panels.items():
-        part = panel.select(F.lit(grid).alias("grid"), "symbol", "period_end", "period_no", "price")
+        name = F.concat(F.lit(grid), F.substring("symbol", 1, 0)).alias("grid")
+        part = panel.select(name, "symbol", "period_end", "period_no", "price")
         out = part if out is None else out.unionByName(part)
     return out
 

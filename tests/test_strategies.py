@@ -82,7 +82,7 @@ def test_plan_does_not_grow_with_the_strategies(spark):
         some = spark.range(n).select(
             F.concat(F.lit("s"), "id").alias("strategy_id"), (3 + F.col("id") % 9).alias("lookback"), (F.col("id") % 3).alias("skip")
         )
-        saved = materialise(strategies.relation(some))  # as a stored table: constants of one grid would be folded away
+        saved = materialise(strategies.relation(some))
         text = strategies.rank_strategies(panel, saved)._jdf.queryExecution().toString()
         return text.count("\n"), text.count("Exchange"), text.count("CartesianProduct") + text.count("BroadcastNestedLoopJoin")
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +16,8 @@ from barloom.operators import clean
 
 #: Where a file's label stands in its path: the name without its last suffix, or the folder (``key=`` cut off).
 _LABELS = {"file": r"([^/]+?)(?:\.[^./]*)?$", "folder": r"(?:[^/=]*=)?([^/=]+)/[^/]+$"}
-#: A comma outside quotes.
-_COMMA = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+#: Most columns of a file.
+WIDTH = 64
 
 
 def path_label(level: str = "file", path: str | Column = "_metadata.file_path") -> Column:
@@ -24,26 +26,67 @@ def path_label(level: str = "file", path: str | Column = "_metadata.file_path")
     return F.regexp_extract(plain, _LABELS[level], 1)
 
 
-def read_cells(spark: SparkSession, path: str, key: str) -> tuple[DataFrame, Callable[[str], Column]]:
-    """Rows ``(file, cells, head)`` of a folder of CSV files that name their columns, and the access to a column.
+def read_cells(spark: SparkSession, path: str | list[str], key: str, wanted: list[str]) -> DataFrame:
+    """The ``wanted`` columns, as text, of a folder of CSV files that name their columns: ``(file, c0, c1, ...)`` in that order.
 
-    Every file has a header of its own, so columns may stand in any order or be missing (NULL).  The header is the line
-    with a cell ``key``; a file without one is left out, repeated header lines are skipped.  Names are compared without
-    case.  The headers, one row per file, are joined to the lines.
+    Spark's own reader takes the files apart once, so quoted commas, line breaks and doubled quotes are part of a cell.  Every file has a header of
+    its own, its first line: columns may stand in any order or be missing (NULL), names are compared without case, and a file whose
+    header lacks ``key`` is left out, as is any later line that repeats the whole header.  Cells are trimmed, empty ones are NULL.
+    A file is read by one task, in order, so the header travels along with the rows; an instrument of very many rows comes as several
+    files of one folder (``label='folder'``).
     """
-    lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    bare = F.split(F.regexp_replace("value", "^\ufeff|\r$", ""), _COMMA)
-    cells = F.transform(bare, lambda x: F.regexp_replace(F.trim(x), '^"|"$', ""))
-    rows = lines.select(F.col("_metadata.file_path").alias("file"), cells.alias("cells"))
-    names = F.transform("cells", F.lower)
-    is_head = F.array_contains(names, key.lower())
-    heads = rows.where(is_head).groupBy("file").agg(F.min(names).alias("head"))
-
-    def cell(name: str) -> Column:
-        at = F.array_position("head", name.lower()).cast("int")
-        return F.when(at > 0, F.nullif(F.get("cells", at - 1), F.lit("")))
-
-    return rows.where(~is_head).join(heads, "file"), cell
+    cells = [f"c{k}" for k in range(WIDTH)]
+    raw = (
+        spark.read.schema(", ".join(f"{x} STRING" for x in cells))
+        .option("header", "false")
+        .option("multiLine", "true")
+        .option("escape", '"')
+        .option("recursiveFileLookup", "true")
+        .csv(path)
+    )
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), *cells)
+    out = ", ".join(["file STRING", *[f"c{k} STRING" for k in range(len(wanted))]])
+    return rows.mapInArrow(_by_header(key.lower(), [w.lower() for w in wanted]), out)
+
+
+def _by_header(key: str, wanted: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def clean_cells(column: pa.Array) -> pa.Array:
+        text = pc.utf8_trim_whitespace(pc.replace_substring(column, "\ufeff", ""))
+        return pc.if_else(pc.equal(text, ""), pa.scalar(None, pa.string()), text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, head, places = None, [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column(0).to_pylist()
+            edges = [k for k in range(len(names)) if not k or names[k] != names[k - 1]] + [len(names)]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                part = batch.slice(a, b - a)
+                if names[a] != file:
+                    file = names[a]
+                    head = [clean_cells(c.slice(0, 1))[0].as_py() for c in part.columns[1:]]
+                    if head[-1] is not None:
+                        raise ValueError(f"{file} has {WIDTH} columns or more")
+                    lower = [h and h.lower() for h in head]
+                    places = [lower.index(w) if w in lower else None for w in wanted] if key in lower else None
+                    part = part.slice(1)
+                if places is None or not part.num_rows:
+                    continue
+                again = pa.array([True] * part.num_rows)
+                for c, h in zip(part.columns[1:], head, strict=True):
+                    text = clean_cells(c)
+                    again = pc.and_(again, pc.is_null(text) if h is None else pc.fill_null(pc.equal(text, h), False))
+                    if not pc.any(again).as_py():
+                        break
+                part = part.filter(pc.invert(again))
+                blank = pa.nulls(part.num_rows, pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *[blank if p is None else clean_cells(part.column(1 + p)) for p in places]],
+                    ["file", *[f"c{k}" for k in range(len(wanted))]],
+                )
+
+    return run
 
 
 def read_bars(
@@ -63,16 +106,16 @@ def read_bars(
     """
     schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     time = schema.fieldNames()[0]
-    raw, cell = read_cells(spark, path, time)
+    names = {f: f.name.lower().replace(" ", "_") for f in schema.fields if f.name != time}
+    keep = {f: out for f, out in names.items() if fields is None or out in fields}
+    raw = read_cells(spark, path, time, [time, *[f.name for f in keep]])
     if intraday:
         # vendors append an offset to local wall-clock time; the wall clock is kept
-        wall = F.regexp_replace(F.replace(cell(time), F.lit("T"), F.lit(" ")), r"(Z|[+-]\d{2}:?\d{2})$", "")
+        wall = F.regexp_replace(F.replace("c0", F.lit("T"), F.lit(" ")), r"(Z|[+-]\d{2}:?\d{2})$", "")
         ts = wall.try_cast("timestamp_ntz")
     else:
-        ts = F.try_to_date(F.substring(cell(time), 1, 10), "yyyy-MM-dd")
-    names = {f: f.name.lower().replace(" ", "_") for f in schema.fields if f.name != time}
-    keep = {f: out for f, out in names.items() if fields is None or out in fields}
-    values = [c.no_nan(cell(f.name).try_cast(f.dataType)).alias(out) for f, out in keep.items()]
+        ts = F.try_to_date(F.substring("c0", 1, 10), "yyyy-MM-dd")
+    values = [c.no_nan(F.col(f"c{k}").try_cast(f.dataType)).alias(out) for k, (f, out) in enumerate(keep.items(), 1)]
     out = raw.select(path_label(label, "file").alias("symbol"), ts.alias("ts"), *values)
     out = out.where("ts IS NOT NULL").na.drop("all", subset=list(keep.values()))
     return clean.require_fields(out, require) if require else out
@@ -97,8 +140,8 @@ def read_series(bars: DataFrame, dim: DataFrame | None = None, price_col: str =
 
 def read_symbol_sets(spark: SparkSession, path: str, label: str = "file") -> DataFrame:
     """Folder of symbol lists -> ``(universe_id, symbol)``; the set is named after its file."""
-    raw, cell = read_cells(spark, path, "Symbol")
-    rows = raw.select(path_label(label, "file").alias("universe_id"), cell("Symbol").alias("symbol"))
+    raw = read_cells(spark, path, "Symbol", ["Symbol"])
+    rows = raw.select(path_label(label, "file").alias("universe_id"), F.col("c0").alias("symbol"))
     return rows.where("symbol IS NOT NULL").distinct()
 
 
@@ -108,14 +151,11 @@ def read_snapshots(
     """Folder of constituent lists named ``yyyy-MM-dd`` -> ``(as_of, symbol, company, industry, series, isin)``."""
     from barloom.operators.membership import apply_canon
 
-    raw, cell = read_cells(spark, path, "Symbol")
+    columns = {"Symbol": "symbol", "Company Name": "company", "Industry": "industry", "Series": "series", "ISIN Code": "isin"}
+    raw = read_cells(spark, path, "Symbol", list(columns))
     out = raw.select(
         F.try_to_date(path_label(label, "file"), "yyyy-MM-dd").alias("as_of"),
-        cell("Symbol").alias("symbol"),
-        cell("Company Name").alias("company"),
-        cell("Industry").alias("industry"),
-        cell("Series").alias("series"),
-        cell("ISIN Code").alias("isin"),
+        *[F.col(f"c{k}").alias(name) for k, name in enumerate(columns.values())],
     ).where("as_of IS NOT NULL AND symbol IS NOT NULL")
     return out if canon is None else apply_canon(out, canon)
 
@@ -137,4 +177,5 @@ def parse_index_events(raw: DataFrame) -> DataFrame:
 
 def read_index_events(spark: SparkSession, path: str) -> DataFrame:
     """CSV export of the log, see :func:`parse_index_events`."""
-    return parse_index_events(spark.read.schema(schemas.INDEX_EVENT_FILE).option("header", "true").csv(path))
+    reader = spark.read.schema(schemas.INDEX_EVENT_FILE).option("header", "true").option("multiLine", "true").option("escape", '"')
+    return parse_index_events(reader.csv(path))

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from barloom import schemas
 from barloom.sources import files, sinks
 
@@ -44,6 +46,40 @@ def test_symbol_lists_and_snapshots(spark, tmp_path):
     assert (r.as_of, r.symbol, r.company) == (dt.date(2020, 7, 25), "NEW", "Old Co.")
 
 
+def test_quoted_cells_and_lines(spark, tmp_path):
+    (tmp_path / "2020-07-25.csv").write_text(
+        'Company Name,Industry,Symbol,Series,ISIN Code\n"A ""B"" Ltd",X,AB,EQ,I1\n"Line\nBreak Co","x, y",LB,EQ,\n'
+        'Symbol,SY,Symbol,EQ,I3\n"Company Name",Industry,Symbol,Series,"ISIN Code"\n,,,,\n"  ",Z, ZZ ,"",I4\n'
+    )
+    (tmp_path / "2021-01-01.csv").write_bytes("\ufeffISIN Code,symbol\r\nI9,\"C\"\"D\"\r\n".encode())
+    (tmp_path / "2022-01-01.csv").write_text("")
+    (tmp_path / "2023-01-01.csv").write_text("Name\nno such column\n")
+    got = {(r.as_of.year, r.symbol): (r.company, r.industry, r.series, r.isin) for r in files.read_snapshots(spark, str(tmp_path)).collect()}
+    assert got == {
+        (2020, "AB"): ('A "B" Ltd', "X", "EQ", "I1"),
+        (2020, "LB"): ("Line\nBreak Co", "x, y", "EQ", None),
+        (2020, "Symbol"): ("Symbol", "SY", "EQ", "I3"),
+        (2020, "ZZ"): (None, "Z", None, "I4"),
+        (2021, 'C"D'): (None, None, None, "I9"),
+    }
+
+
+def test_files_are_scanned_once_and_only_asked_columns_leave_the_reader(spark, tmp_path):
+    for k in range(40):
+        lines = "".join(f"2024-01-{d:02d},{k},{d},x\n" for d in range(1, 29))
+        (tmp_path / f"S{k}.csv").write_text(("Date,Open,Close,Note\n" if k % 2 else "Date,Close,Open,Note\n") + lines)
+    bars = files.read_bars(spark, str(tmp_path), fields=["close"])
+    text = bars._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert text.count("Scan csv") == 1 and "Exchange" not in text and "open" not in text.lower().split("scan csv")[0]
+    rows = bars.collect()
+    assert len(rows) == 40 * 28 and all(r.close == (r.ts.day if int(r.symbol[1:]) % 2 else int(r.symbol[1:])) for r in rows)
+    wide = tmp_path / "wide"
+    wide.mkdir()
+    (wide / "W.csv").write_text(",".join(["Date", "Close", *[f"x{k}" for k in range(70)]]) + "\n")
+    with pytest.raises(Exception, match="columns or more"):
+        files.read_bars(spark, str(wide)).collect()
+
+
 def test_event_dates(spark):
     raw = spark.createDataFrame(
         [("25-07-2020", "A", "Inclusion into Index"), ("2020-07-25 00:00:00", "B", "Exclusion"), ("?", "C", None)],

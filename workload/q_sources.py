@@ -83,6 +83,27 @@ def read_ohlc_files(spark, sf):
     return files.read_bars(spark, _bars_as_files(spark, sf), fields=ohlc, require=ohlc)
 
 
+@query(
+    "quoted_snapshots",
+    """SELECT make_date(2019 + p_partkey % 3, 7, 25) AS as_of, 'P' || p_partkey AS symbol, 'The "' || p_name || '", ' || chr(10) || p_brand AS company,
+       CASE WHEN p_partkey % 3 <> 1 THEN p_type END AS industry, CASE WHEN p_partkey % 5 = 0 THEN 'Symbol' ELSE 'EQ' END AS series, CAST(NULL AS VARCHAR) AS isin FROM part""",
+)
+def quoted_snapshots(spark, sf):
+    """Constituent lists with quotes, commas and line breaks in their cells, several files a day, columns by name."""
+    part, path = p.table(spark, sf, "part"), scratch_path(spark, "snapshots")
+    rows = part.select(
+        F.make_date((F.lit(2019) + F.col("p_partkey") % 3).cast("int"), F.lit(7), F.lit(25)).alias("as_of"),
+        F.concat(F.lit('The "'), "p_name", F.lit('", \n'), "p_brand").alias("Company Name"),
+        F.col("p_type").alias("Industry"),
+        F.when(F.col("p_partkey") % 5 == 0, "Symbol").otherwise("EQ").alias("SERIES"),
+        F.concat(F.lit("P"), "p_partkey").alias("Symbol"),
+    )
+    full, short = rows.where("year(as_of) <> 2020"), rows.where("year(as_of) = 2020").select("as_of", "Symbol", "SERIES", "Company Name")
+    for some in (full, short):
+        some.write.mode("append").partitionBy("as_of").option("header", "true").option("escape", '"').csv(path)
+    return files.read_snapshots(spark, path, label="folder")
+
+
 @query("read_intraday_files", with_ctes("SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M') AS at, open, close FROM hours", "hours"))
 def read_intraday_files(spark, sf):
     """S3: intraday open/close scan; the offset is cut, the wall clock stays."""

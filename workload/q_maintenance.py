@@ -8,17 +8,18 @@ from barloom.functions import columns as c
 from barloom.operators import strategies
 from barloom.plans import recompute
 from barloom.session import scratch_path
-from barloom.sources import sinks
+from barloom.sources import sinks, stored
 from barloom.streaming import bars as sb
 from workload import panels as p
-from workload.panels import define, with_ctes
+from workload.panels import define, rnd, with_ctes
 from workload.registry import query
 
 
 class Feed:
-    """The events as a folder that files arrive in, and the stream that reads it, one file per micro-batch.
+    """The events as a folder that files arrive in, and the stream that reads it, some files per micro-batch.
 
-    Files hold a quarter of the time span each.  With ``late``, every tenth user's events come a file later.
+    Each arrival brings a quarter of the time span, in as many files as Spark writes.  With ``late``, every tenth user's events come an
+    arrival later.
     """
 
     def __init__(self, spark, sf, late: bool = False):
@@ -33,16 +34,18 @@ class Feed:
 
     def arrive(self, *files: int) -> None:
         for k in files:
-            self.events.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(self.path)
+            self.events.where(F.col("_file") == k).drop("_file").write.mode("append").parquet(self.path)
 
     def close(self) -> None:
         """Two rows far in the future, which end all that is open."""
         for year in (2200, 2201):
             row = self.events.drop("_file").limit(1).withColumns({"ts": F.lit(f"{year}-01-01").cast("timestamp_ntz"), "user_id": F.lit(-1).cast(self.schema["user_id"].dataType)})
-            row.coalesce(1).write.mode("append").parquet(self.path)
+            row.write.mode("append").parquet(self.path)
 
-    def ticks(self):
-        raw = self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", 1).parquet(self.path)
+    def ticks(self, files: int | None = None):
+        """The stream, at most ``files`` in a micro-batch; None takes all that has arrived at once."""
+        reader = self.spark.readStream.schema(self.schema)
+        raw = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(self.path)
         return raw.select(
             F.col("event_type").alias("symbol"), c.wall_clock_to_instant("ts").alias("ts"), F.col("value").alias("price"), "user_id"
         )
@@ -50,15 +53,29 @@ class Feed:
 
 @query("stream_bars", with_ctes("SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M') AS at, open, high, low, close, n FROM hours", "hours"))
 def stream_bars(spark, sf):
-    """Hourly bars from a tick stream over several micro-batches, with late rows and a restart in between."""
+    """Hourly bars from a tick stream over several micro-batches, with rows days late and a restart in between."""
     feed = Feed(spark, sf, late=True)
-    out, merged, progress = (scratch_path(spark, x) for x in ("bars", "merged", "progress"))
+    parts, store, progress = (scratch_path(spark, x) for x in ("parts", "bars", "progress"))
+    done = -1
     for files in ((0, 1), (2, 3)):
         feed.arrive(*files)
-        sb.upsert_stream(sb.tumbling_bars(feed.ticks(), late="3650 days"), out, progress).awaitTermination()
-    sb.compact(spark, out, merged, ["symbol", "ts"])
+        sb.stream_partials(feed.ticks(files=1), parts, progress).awaitTermination()
+        done = sb.settle(spark, parts, store, done)
     at = F.date_format(c.instant_to_wall_clock("ts"), "yyyy-MM-dd HH:mm")
-    return spark.read.parquet(merged).select("symbol", at.alias("at"), "open", "high", "low", "close", "n")
+    return stored.read_parts(spark, store).select("symbol", at.alias("at"), "open", "high", "low", "close", "n")
+
+
+@query("stream_open_bars", with_ctes("SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M') AS at, open, high, low, close, n FROM hours", "hours"))
+def stream_open_bars(spark, sf):
+    """Hourly bars held as state and appended once, when the watermark of two hours has passed their end."""
+    feed = Feed(spark, sf)
+    out, progress = scratch_path(spark, "bars"), scratch_path(spark, "progress")
+    for arrive in (lambda: feed.arrive(0), lambda: feed.arrive(1, 2), lambda: feed.arrive(3), feed.close):
+        arrive()
+        sb.upsert_stream(sb.tumbling_bars(feed.ticks(), late="2 hours"), out, progress, mode="append").awaitTermination()
+    at = F.date_format(c.instant_to_wall_clock("ts"), "yyyy-MM-dd HH:mm")
+    got = sb.read_upserts(spark, out, ["symbol", "ts"]).where(F.year("ts") < 2190)
+    return got.select("symbol", at.alias("at"), "open", "high", "low", "close", "n")
 
 
 @query(
@@ -71,10 +88,10 @@ def stream_gap_sessions(spark, sf):
     """U8: uninterrupted stretches on a stream; each is appended once, when the watermark has passed its end."""
     feed = Feed(spark, sf)
     out, progress = scratch_path(spark, "sessions"), scratch_path(spark, "progress")
-    feed.arrive(0, 1, 2, 3)
-    feed.close()
-    stream = sb.gap_sessions(feed.ticks().withColumn("symbol", F.col("user_id")), "12 hours", "1 hour")
-    sb.upsert_stream(stream, out, progress, mode="append").awaitTermination()
+    for arrive in (lambda: feed.arrive(0, 1), lambda: feed.arrive(2, 3), feed.close):
+        arrive()
+        stream = sb.gap_sessions(feed.ticks().withColumn("symbol", F.col("user_id")), "12 hours", "1 hour")
+        sb.upsert_stream(stream, out, progress, mode="append").awaitTermination()
     got = sb.read_upserts(spark, out, ["symbol", "first_ts"]).where("symbol <> -1")
     at = lambda x: F.date_format(c.instant_to_wall_clock(x), "yyyy-MM-dd HH:mm:ss")
     return got.select(F.col("symbol").alias("user_id"), at("first_ts").alias("first_at"), at("last_ts").alias("last_at"), "n")
@@ -255,3 +272,27 @@ def recomputed_on_two_grids(spark, sf):
     """A monthly, weekly and partly unusable registry recomputed by one plan."""
     panels = {"month": p.monthly_panel(spark, sf), "week": p.weekly_panel(spark, sf)}
     return recompute.recompute_all(_suppliers(spark, sf), panels, universes=p.universes(spark, sf)).events
+
+
+# -- a stored table, topped up ----------------------------------------------------------------------
+
+
+@query(
+    "merged_partitions",
+    with_ctes(
+        f"""SELECT symbol, ts, {rnd('close', 2)} AS close, {rnd('volume', 2)} AS volume FROM (SELECT symbol, ts, close, volume FROM bars WHERE volume > 30
+        AND NOT (ts >= DATE '2000-06-15' AND volume > 60) UNION ALL SELECT symbol, ts, close + 1, volume FROM bars WHERE ts >= DATE '2000-06-15' AND volume > 60
+        UNION ALL SELECT symbol, ts, close, volume FROM bars WHERE volume <= 30 AND ts < DATE '1996-01-01')""",
+        "bars",
+    ),
+)
+def merged_partitions(spark, sf):
+    """A table stored by month, topped up by a window of fresh rows and by older rows that do not replace any."""
+    path = scratch_path(spark, "stored")
+    bars = p.daily_bars(spark, sf).select("symbol", "ts", "close", "volume")
+    stored.write_parts(bars.where("volume > 30"), path)
+    fresh = bars.where("ts >= DATE '2000-06-15' AND volume > 60").withColumn("close", F.col("close") + 1)
+    stored.merge_into(path, fresh, ["symbol", "ts"])
+    older = bars.where("ts < DATE '1996-01-01'").withColumn("close", F.when(F.col("volume") > 30, F.lit(-1.0)).otherwise(F.col("close")))
+    stored.merge_into(path, older, ["symbol", "ts"], prefer="existing")
+    return p.rounded(stored.read_parts(spark, path).select("symbol", "ts", "close", "volume"), 2)

@@ -136,12 +136,18 @@ def _marked(marks):
     return run
 
 
-def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i, j in words.runs(batch.column(1)):
-            sets = [s.view(np.int64) for s in _sets(batch.column(1).slice(i, j - i))]
-            columns = [batch.column(0).slice(i, j - i), pa.array(sets, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "set"])
+def _full(marks):
+    """Sets of the texts that pass the marks, filtered and made in one step so that a core runs one Python worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(marks.value(batch.column(0)))
+            for i, j in words.runs(some.column(1)):
+                sets = [s.view(np.int64) for s in _sets(some.column(1).slice(i, j - i))]
+                columns = [some.column(0).slice(i, j - i), pa.array(sets, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "set"])
+
+    return run
 
 
 @cache
@@ -263,7 +269,7 @@ class Duplicates:
         marks = ids.sparkSession.sparkContext.broadcast(Marks(ids))
         some = self.classes.select(F.col("rep").alias("doc_id"), "n", "sig").where("sig is not null")
         self.reps = materialise(some.mapInArrow(_marked(marks), some.schema).join(ids, "doc_id", "left_semi"))
-        found = self.docs.mapInArrow(_marked(marks), self.docs.schema).mapInArrow(_full, "doc_id long, set array<long>")
+        found = self.docs.mapInArrow(_full(marks), "doc_id long, set array<long>")
         self.sets = materialise(found.join(ids, "doc_id", "left_semi"))
         return buckets
 

@@ -16,8 +16,8 @@ from pyspark.sql import SparkSession
 
 #: Text bytes that are worked on at once; a document is never split.
 CHUNK_BYTES = 1_500_000
-#: Bytes whose hash terms are held at once.
-HASH_BYTES = 2_000_000
+#: Bytes whose hash terms (some 40 bytes each) are held at once.
+HASH_BYTES = 256_000
 
 _MASK = (1 << 64) - 1
 _FACTOR = 0x9E3779B97F4A7C15
@@ -36,13 +36,18 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
+#: Most bytes of an Arrow batch; a single row may be larger.
+BATCH_BYTES = 8_000_000
+
+
 def batches(spark: SparkSession, rows: int = 1_000) -> None:
-    """Set the session's Arrow batches to ``rows`` rows.
+    """Set the session's Arrow batches to ``rows`` rows and ``BATCH_BYTES`` bytes, whichever is reached first.
 
-    Documents are some kilobytes each and a stage may chain two Python workers, so Spark's 10,000 rows to a batch
-    would hold much of an executor's memory several times over.
+    Documents are some kilobytes each, pairs of their sets far more, and a stage may chain two Python workers, so Spark's 10,000 rows to a
+    batch would hold much of an executor's memory several times over.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from barloom.functions import columns as c
 from barloom.functions import frames as fr
-from barloom.functions.fold import ordered_fold
 from barloom.operators import grid
+from barloom.operators.crossings import first_crossing, taken
+from barloom.session import materialise
 
 
 def nan_to_null(df: DataFrame, *cols: str) -> DataFrame:
@@ -52,39 +53,21 @@ def repair_crash_runs(
     are ignored.  Output: ``(by, ts, value, repaired)``.
     """
 
-    class Run:
-        def __init__(self):
-            self.good = None
-            self.bad: list[tuple] = []
-
-        def _flush(self, close=None):
-            n = len(self.bad) + 1
-            for i, (t, v) in enumerate(self.bad, 1):
-                yield (t, v, False) if close is None else (t, self.good + (close - self.good) * i / n, True)
-            self.bad = []
-
-        def row(self, r):
-            t, v = getattr(r, ts), getattr(r, value)
-            if self.good is not None:
-                move = v / self.good
-                if move < drop_threshold:
-                    self.bad.append((t, v))
-                    return
-                yield from self._flush(v if self.bad and abs(move - 1) < recover_band else None)
-            self.good = v
-            yield (t, v, False)
-
-        def end(self):
-            yield from self._flush()
-
-    t_type = df.schema[ts].dataType.simpleString()
-    return ordered_fold(
-        df.select(by, ts, value).where(F.col(value).isNotNull()),
-        [by],
-        [ts],
-        Run,
-        f"{ts} {t_type}, {value} DOUBLE, repaired BOOLEAN",
-    )
+    # whichever print is good, the next good one is the first that is not below its threshold: a chain of prints
+    rows = df.select(by, ts, value).where(F.col(value).isNotNull())
+    rows = rows.withColumn("idx", (F.row_number().over(fr.ordered(by, ts)) - 1).cast("long"))
+    rows = materialise(rows.withColumn("_least", F.col(value) * drop_threshold))
+    chain = materialise(first_crossing(rows, rows, [by], "_least", value, True, hit="_next"))
+    good = taken(chain, [by], "idx", "_next")
+    good = good.withColumn("_close", F.lead(value).over(fr.ordered(by, "idx")))
+    last = F.struct(F.col("idx").alias("at"), F.col(value).alias("value"), F.col("_next").alias("next"), F.col("_close").alias("close"))
+    marked = rows.join(good.select(by, "idx", last.alias("_good")), [by, "idx"], "left")
+    marked = marked.withColumn("_run", fr.running(F.last("_good", ignorenulls=True), by, "idx"))
+    g = lambda name: F.col(f"_run.{name}")
+    reverts = c.holds(F.abs(g("close") / g("value") - 1) < recover_band)
+    line = g("value") + (g("close") - g("value")) * (F.col("idx") - g("at")) / (g("next") - g("at"))
+    repaired = F.col("_good").isNull() & reverts
+    return marked.select(by, ts, F.when(repaired, line).otherwise(F.col(value)).alias(value), repaired.alias("repaired"))
 
 
 def adjust_open(df: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.fold import ordered_fold
 from barloom.functions import frames as fr
+from barloom.operators.crossings import first_crossing, taken
+from barloom.session import materialise
 
 
 def leverage_tranches(
@@ -31,60 +32,37 @@ def leverage_tranches(
     """
     if hold_mode not in ("fixed_months", "ath_recovery"):
         raise ValueError("hold_mode must be 'fixed_months' or 'ath_recovery'")
-    recovery = hold_mode == "ath_recovery"
-
-    class Tranches:
-        """Emits a tranche when its end is known; the series end closes the rest."""
-
-        def __init__(self):
-            self.n = 0
-            self.nav = self.high = None
-            self.cycles: list[int] = []  # rows of leg-1 triggers that can still open a leg 2
-            self.open: list[list] = []  # leg, trigger row, return, end row or None, recovery target
-            self.waiting: list[list] = []  # opened on the last row, start on the next one if there is one
-
-        def _busy(self, leg, row):
-            return any(t[0] == leg and (t[3] is None or t[3] >= row) for t in self.open)
-
-        def _begin(self, leg, i, r):
-            end = None if recovery else i + hold
-            self.waiting.append([leg, i, r, end, self.high * (1 + recovery_pct / 100.0)])
-
-        def row(self, x):
-            i, r = self.n, x.ret
-            self.n += 1
-            self.nav = (1.0 if self.nav is None else self.nav) * (1 + r)
-            self.high = self.nav if self.high is None else max(self.high, self.nav)
-            self.open += self.waiting
-            self.waiting = []
-            for t in self.open:
-                if t[3] is None and self.nav >= t[4]:
-                    t[3] = i
-            due = [j for j in self.cycles if i <= j + 2]
-            self.cycles = due
-            if due and r <= -trigger2_pct / 100.0:
-                # every waiting cycle is used up, one of them may open the tranche
-                self.cycles = []
-                if not self._busy(2, i + 1):
-                    self._begin(2, i, r)
-            if r <= -trigger1_pct / 100.0 and not self._busy(1, i + 1):
-                self._begin(1, i, r)
-                self.cycles.append(i)
-            done = [t for t in self.open if t[3] is not None and t[3] <= i]
-            self.open = [t for t in self.open if t[3] is None or t[3] > i]
-            for leg, j, ret, end, _ in done:
-                yield (leg, j, ret, j + 1, end, leg1_pct if leg == 1 else leg2_pct)
-
-        def end(self):
-            for leg, j, ret, _, _ in self.open:
-                yield (leg, j, ret, j + 1, self.n - 1, leg1_pct if leg == 1 else leg2_pct)
-
-    return ordered_fold(
-        rets.select(by, "period_no", "ret"),
-        [by],
-        ["period_no"],
-        Tranches,
-        "leg INT, trigger_no INT, period_return DOUBLE, start_no INT, end_no INT, leg_pct DOUBLE",
+    w = fr.ordered(by, "period_no")
+    last = F.count("*").over(Window.partitionBy(by)) - 1
+    rows = rets.select(by, "period_no", "ret").withColumns({"idx": (F.row_number().over(w) - 1).cast("long"), "_last": last.cast("long")})
+    if hold_mode == "ath_recovery":
+        rows = rows.withColumn("_nav", fr.running(F.product(1.0 + F.col("ret")), by, "period_no"))
+        high = fr.running(F.max("_nav"), by, "period_no")
+        rows = materialise(rows.withColumn("_target", high * (1 + recovery_pct / 100.0)))
+    falls = rows.where((F.col("ret") <= -min(trigger1_pct, trigger2_pct) / 100.0) & (F.col("idx") < F.col("_last")))
+    if hold_mode == "ath_recovery":
+        falls = first_crossing(falls, rows, [by], "_target", "_nav", True, hit="_end")
+    else:
+        falls = falls.withColumn("_end", F.col("idx") + hold)
+    falls = materialise(falls.select(by, "idx", "ret", "_last", "_end"))
+    # what a leg does is known for every trigger; which ones it takes is a chain that does not overlap
+    first = taken(falls.where(F.col("ret") <= -trigger1_pct / 100.0), [by], "idx", "_end")
+    first = materialise(first.withColumn("leg", F.lit(1)))
+    near = F.explode(F.array(F.col("idx") + 1, F.col("idx") + 2)).alias("idx")
+    again = falls.where(F.col("ret") <= -trigger2_pct / 100.0)
+    # each cycle is used up by the first fall after it
+    used = first.select(by, F.col("idx").alias("_cycle"), near).join(again.select(by, "idx"), [by, "idx"])
+    used = used.groupBy(by, "_cycle").agg(F.min("idx").alias("idx")).select(by, "idx").distinct()
+    second = taken(materialise(again.join(used, [by, "idx"], "left_semi")), [by], "idx", "_end").withColumn("leg", F.lit(2))
+    end = F.least(F.coalesce("_end", "_last"), F.col("_last"))
+    return first.unionByName(second).select(
+        by,
+        "leg",
+        F.col("idx").cast("int").alias("trigger_no"),
+        F.col("ret").alias("period_return"),
+        (F.col("idx") + 1).cast("int").alias("start_no"),
+        end.cast("int").alias("end_no"),
+        F.when(F.col("leg") == 1, float(leg1_pct)).otherwise(float(leg2_pct)).alias("leg_pct"),
     )
 
 

@@ -41,20 +41,35 @@ def rank_universe(
     membership: DataFrame | None = None,
     universes: DataFrame | None = None,
     daily: DataFrame | None = None,
-    split: int | None = None,
 ) -> DataFrame:
     """Eligible instruments per (strategy, period), best first.
 
+    For the first ranks of each cross-section: a bound on ``rank`` prunes every task before the shuffle.  All ranks of very large
+    cross-sections are numbered by :func:`rank_whole`, from :func:`score_universe`.
+    """
+    scored = score_universe(panel, strategies, membership, universes, daily)
+    w = Window.partitionBy("strategy_id", "period_no").orderBy(F.desc(F.round("score", SCORE_DIGITS)), "symbol")
+    return scored.withColumn("rank", F.row_number().over(w))
+
+
+def score_universe(
+    panel: DataFrame,
+    strategies: Sequence[RankParams],
+    membership: DataFrame | None = None,
+    universes: DataFrame | None = None,
+    daily: DataFrame | None = None,
+) -> DataFrame:
+    """Eligible instruments per (strategy, period) with their scores.
+
     ``panel(symbol, period_end, period_no, price)``; ``membership(symbol, start, end)`` with both ends
     inclusive and a NULL end open; ``universes(universe_id, symbol)``; ``daily(symbol, ts, close)`` for
     the trailing-high filter.  Eligible means: positive price at both window ends, last price at least
     ``min_price``, plus the strategy's filters.  Output ``(strategy_id, period_end, period_no, symbol,
-    price, mom, volatility, score, rank)``; equal (rounded) scores rank by symbol.
+    price, mom, volatility, score)``; equal (rounded) scores rank by symbol.
 
     All look-backs are range frames of one window over (symbol, period_no): the panel is shuffled once
     for any number of strategies.  A strategy's rows are then expanded in place and filtered before
-    the second and last shuffle, on (strategy, period).  A cross-section is as large as the number of
-    instruments; ``split`` ranks a very large one in that many score ranges (:func:`rank_in_ranges`).
+    they are ranked.
     """
     strategies = list(strategies)
     need_vol = any(s.max_volatility_pct is not None or s.use_risk_adjusted for s in strategies)
@@ -90,32 +105,25 @@ def rank_universe(
         base = base.drop("_universes").join(sets, "symbol", "left")
 
     per_strategy = F.array(*[_eligible(s, need_vol, need_high) for s in strategies])
-    scored = base.select(
+    return base.select(
         "symbol", "period_end", "period_no", "price", F.explode(F.array_compact(per_strategy)).alias("_s")
     ).select("_s.strategy_id", "period_end", "period_no", "symbol", "price", "_s.mom", "_s.volatility", "_s.score")
-    if split:
-        return rank_in_ranges(scored, split)
-    w = Window.partitionBy("strategy_id", "period_no").orderBy(F.desc(F.round("score", SCORE_DIGITS)), "symbol")
-    return scored.withColumn("rank", F.row_number().over(w))
 
 
-def rank_in_ranges(scored: DataFrame, split: int) -> DataFrame:
-    """The same exact rank, with a cross-section spread over ``split`` tasks.
+def rank_whole(scored: DataFrame) -> DataFrame:
+    """``scored`` with the exact ``rank`` of every row, a cross-section spread over as many tasks as its size asks for.
 
-    Approximate percentiles (combined map-side) cut each cross-section into score ranges; a row ranks
-    inside its range and the sizes of the ranges above are added.  Equal scores share a range, so
-    only the ranges' sizes, never the result, depend on the approximation.
+    Rows are dealt out in ranges of (strategy, period, score, symbol), so equal scores are divided by symbol; a row ranks among those of its
+    cross-section in its range, and the sizes of the ranges before are added.
     """
     by = ["strategy_id", "period_no"]
-    rows = materialise(scored.withColumn("_key", F.round("score", SCORE_DIGITS)))
-    shares = [i / split for i in range(1, split)]
-    cuts = rows.groupBy(*by).agg(F.percentile_approx("_key", shares, 100 * split).alias("_cuts"))
-    rows = rows.join(cuts, by).withColumn("_range", F.size(F.filter("_cuts", lambda x: x > F.col("_key"))))
-    rows = rows.drop("_cuts")
+    order = [F.desc("_key"), F.col("symbol")]
+    rows = scored.withColumn("_key", F.round("score", SCORE_DIGITS)).repartitionByRange(*by, *order)
+    rows = materialise(rows.withColumn("_range", F.spark_partition_id()))  # the ranges are kept from here on
     sizes = rows.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
     above = sizes.select(*by, "_range", F.coalesce(fr.before(F.sum("_n"), by, "_range"), F.lit(0)).alias("_above"))
-    w = Window.partitionBy(*by, "_range").orderBy(F.desc("_key"), "symbol")
-    placed = rows.withColumn("rank", F.row_number().over(w)).join(above, [*by, "_range"])
+    placed = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(*order)))
+    placed = placed.join(above, [*by, "_range"])
     return placed.withColumn("rank", (F.col("rank") + F.col("_above")).cast("int")).drop("_key", "_range", "_above")
 
 

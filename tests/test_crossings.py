@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions.scan import linear_scan
-from barloom.operators import crossings, indicators, signals
+from barloom.operators import clean, crossings, indicators, ranking, signals
 
 DAY = dt.date(2020, 1, 1)
 NEEDS = {
@@ -219,6 +219,45 @@ def test_two_states_and_chains(spark):
     assert sorted((r.k, r.idx) for r in picked.collect()) == sorted(want)
 
 
+def test_crash_runs_against_a_walk(spark):
+    rng, rows = random.Random(8), []
+    for k in "abc":
+        base = 100.0
+        for i in range(300):
+            base *= rng.uniform(0.97, 1.03)
+            value = base * (rng.choice([0.2, 0.5, 0.84, 0.86]) if rng.random() < 0.3 else 1.0)
+            rows.append((k, DAY + dt.timedelta(i), None if rng.random() < 0.05 else value))
+    want = {}
+    for k in "abc":
+        good, bad = None, []
+        for t, v in [(t, v) for s, t, v in rows if s == k and v is not None]:
+            want[k, t] = (v, False)
+            if good is not None and v < 0.85 * good:
+                bad.append((t, v))
+                continue
+            if good is not None and abs(v / good - 1) < 0.03:
+                for i, (b, _) in enumerate(bad, 1):
+                    want[k, b] = (good + (v - good) * i / (len(bad) + 1), True)
+            good, bad = v, []
+    got = clean.repair_crash_runs(spark.createDataFrame(rows, "series_id string, ts date, value double"))
+    assert "InPandas" not in got._jdf.queryExecution().toString()
+    found_ = {(r.series_id, r.ts): (r.value, r.repaired) for r in got.collect()}
+    assert set(found_) == set(want) and all(found_[x] == (pytest.approx(want[x][0]), want[x][1]) for x in want)
+    assert sum(r for _, r in want.values()) > 30
+
+
+def test_equal_scores_are_spread_over_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        scored = spark.range(4_000).select(F.lit("s").alias("strategy_id"), F.lit(5).alias("period_no"), F.format_string("x%05d", "id").alias("symbol"), (F.col("id") % 2 * 0.0).alias("score"))
+        got = ranking.rank_whole(scored)
+        ranges = got.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(ranges) >= 4 and max(r["count"] for r in ranges) < 2_500
+    assert all(r["rank"] == int(r.symbol[1:]) + 1 for r in got.collect())
+
+
 def test_rules_walk_no_bars_in_python(spark):
     plan = lambda df: df._jdf.queryExecution().toString()
     few = {k: frame(spark, draw_bars(random.Random(6), k, 1, 30), k) for k in NEEDS}

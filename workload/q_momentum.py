@@ -132,7 +132,7 @@ def rank_all(spark, sf):
 @query("ranking_in_ranges", with_ctes(f"SELECT period_end, symbol, {rnd('mom')} AS score, rank FROM ranking", "ranking"))
 def ranking_in_ranges(spark, sf):
     """W6 for very large cross-sections: ranked in score ranges."""
-    out = ranking.rank_universe(p.monthly_panel(spark, sf), [RankParams()], split=4)
+    out = ranking.rank_whole(ranking.score_universe(p.monthly_panel(spark, sf), [RankParams()]))
     return p.rounded(out.select("period_end", "symbol", "score", "rank"))
 
 

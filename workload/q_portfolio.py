@@ -9,7 +9,7 @@ from barloom.operators.ranking import RankParams
 from barloom.plans import backtest
 from barloom.session import materialise
 from workload import panels as p
-from workload.panels import define, rnd, with_ctes
+from workload.panels import CTES, define, rnd, with_ctes
 from workload.q_momentum import N, _regime_test, _test
 from workload.registry import query
 
@@ -246,9 +246,29 @@ def leverage_summary(spark, sf):
     return p.rounded(leverage.leverage_summary(leverage.leverage_overlay(rets, t, by="series_id"), t, by="series_id"), 2)
 
 
-@query("leverage_ath_recovery")
+define(
+    "upto",
+    """SELECT r.*, coalesce((SELECT min(j.i) FROM path j WHERE j.series_id = r.series_id AND j.i > r.i AND j.nav >= r.high * 1.02e0), n - 1) AS e FROM path r""",
+    "path",
+)
+define(
+    "path",
+    """SELECT *, max(nav) OVER (PARTITION BY series_id ORDER BY i) AS high FROM (SELECT *, product(1 + ret) OVER (PARTITION BY series_id ORDER BY i) AS nav FROM srows)""",
+    "srows",
+)
+define(
+    "tranches_up",
+    CTES["tranches"].replace("{'i': i, 'n': n, 'r': ret}", "{'i': i, 'n': n, 'r': ret, 'e': CAST(e AS INTEGER)}").replace("least(x.i + 4, x.n - 1)", "x.e").replace("FROM srows GROUP", "FROM upto GROUP"),
+    "upto",
+)
+
+
+@query(
+    "leverage_ath_recovery",
+    with_ctes(f"SELECT series_id, leg, i AS trigger_no, {rnd('r')} AS period_return, b AS start_no, e AS end_no, CASE leg WHEN 1 THEN 50e0 ELSE 40e0 END AS leg_pct FROM tranches_up", "tranches_up"),
+)
 def leverage_ath_recovery(spark, sf):
-    """H12 with tranches held until recovery; checked against brute force in the tests."""
+    """H12 with tranches held until recovery."""
     rets = _series_returns(spark, sf)
     out = leverage.leverage_tranches(rets, 5.0, 50.0, 3.0, 40.0, "ath_recovery", recovery_pct=2.0, by="series_id")
     return p.rounded(out)
@@ -540,13 +560,50 @@ def _after_tax(spark, sf):
     return tax.after_tax_nav(t.returns, panel, t.holdings, t.schedule, n=N)
 
 
-@query("after_tax_nav")
+_OWED_ST, _OWED_LT = "(b.st + least(greatest(b.lt, 0e0), greatest(-b.st, 0e0)))", "(b.lt - least(greatest(b.lt, 0e0), greatest(-b.st, 0e0)))"
+define(
+    "account",
+    f"""WITH r AS (SELECT period_no, ret, coalesce(drag, 0e0) AS drag, row_number() OVER (ORDER BY period_no) AS pos, {_LABEL.format('period_no')} AS d, lead(period_no) OVER (ORDER BY period_no) IS NULL AS final
+         FROM base_ret LEFT JOIN turn USING (period_no)),
+       sold AS (SELECT xn AS period_no, list({{'pos': e.pos, 'g': exit_price / entry_price - 1, 'long': exit_date - entry_date >= 365}}) AS lots,
+         CAST(count(*) FILTER (exit_date - entry_date < 365) AS INTEGER) AS ns, CAST(count(*) FILTER (exit_date - entry_date >= 365) AS INTEGER) AS nl
+         FROM tlog JOIN r e ON e.period_no = en WHERE exit_date IS NOT NULL GROUP BY 1),
+       f AS (SELECT list_reduce(list({{'pos': pos, 'r': ret, 'drag': drag, 'assess': final OR month(d) = 3, 'lots': coalesce(lots, []::STRUCT(pos BIGINT, g DOUBLE, "long" BOOLEAN)[])}} ORDER BY pos),
+         lambda s, x: list_transform([{{'hist': list_append(s.hist, s.nav * (1 + x.r) * (1 - x.drag)), 'post': s.nav * (1 + x.r) * (1 - x.drag), 'cost': s.nav * (1 + x.r) * x.drag * 1000000}}],
+         lambda a: list_transform([{{'st': s.st + coalesce(list_sum(list_transform(x.lots, lambda l: CASE WHEN l.long THEN 0e0 ELSE a.hist[l.pos] / {N} * 1000000 * l.g END)), 0e0),
+                                    'lt': s.lt + coalesce(list_sum(list_transform(x.lots, lambda l: CASE WHEN l.long THEN a.hist[l.pos] / {N} * 1000000 * l.g ELSE 0e0 END)), 0e0)}}],
+         lambda b: list_transform([{{'owed': CASE WHEN x.assess AND a.post > 0 THEN (greatest({_OWED_ST}, 0e0) * 0.2e0 + greatest({_OWED_LT} - 125000, 0e0) * 0.125e0) * 1.04e0 ELSE 0e0 END}}],
+         lambda c: {{'nav': a.post * (1 - CASE WHEN c.owed > 0 THEN least(c.owed / (a.post * 1000000), 1e0) ELSE 0e0 END), 'hist': a.hist,
+                     'st': CASE WHEN x.assess THEN least({_OWED_ST}, 0e0) ELSE b.st END, 'lt': CASE WHEN x.assess THEN least({_OWED_LT}, 0e0) ELSE b.lt END,
+                     'out': list_append(s.out, {{'pos': x.pos, 'net': a.post * (1 - CASE WHEN c.owed > 0 THEN least(c.owed / (a.post * 1000000), 1e0) ELSE 0e0 END), 'cost': a.cost, 'tax': c.owed}})}})[1])[1])[1],
+         {{'nav': 1e0, 'hist': []::DOUBLE[], 'st': 0e0, 'lt': 0e0, 'out': []::STRUCT(pos BIGINT, net DOUBLE, cost DOUBLE, tax DOUBLE)[]}}) AS s FROM r LEFT JOIN sold USING (period_no))
+       SELECT r.period_no, r.d AS period_end, product((1 + ret) * (1 - drag)) OVER (ORDER BY r.period_no) AS post, o.net, o.cost, o.tax, coalesce(ns, 0) AS ns, coalesce(nl, 0) AS nl
+       FROM (SELECT unnest(s.out) AS o FROM f) JOIN r ON r.pos = o.pos LEFT JOIN sold USING (period_no)""",
+    "base_ret",
+    "turn",
+    "tlog",
+)
+
+
+@query(
+    "after_tax_nav",
+    with_ctes(
+        f"SELECT period_no, period_end, {rnd('post', 4)} AS nav_post_cost, {rnd('net', 4)} AS nav_net, {rnd('cost', 4)} AS cost_paid, {rnd('tax', 4)} AS tax_paid, ns AS n_stcg, nl AS n_ltcg FROM account",
+        "account",
+    ),
+)
 def after_tax_nav(spark, sf):
-    """Value after costs and tax; lots are sized by the after-tax value, checked by brute force in the tests."""
+    """Value after costs and tax; lots are sized by the after-tax value."""
     return p.rounded(_after_tax(spark, sf).drop("strategy_id"), 4)
 
 
-@query("tax_totals")
+@query(
+    "tax_totals",
+    with_ctes(
+        f"SELECT 'default' AS strategy_id, {rnd('sum(cost)', 2)} AS total_cost, {rnd('sum(tax)', 2)} AS total_tax, sum(ns) AS n_stcg_trades, sum(nl) AS n_ltcg_trades FROM account",
+        "account",
+    ),
+)
 def tax_totals(spark, sf):
     """Totals of the after-tax path."""
     return p.rounded(tax.tax_totals(_after_tax(spark, sf)), 2)

@@ -10,7 +10,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.sources import stored
+from barloom.sources import cache, stored
+from barloom.sources import files as readers
 from barloom.streaming import bars as sb
 
 ROWS = "symbol string, ts date, v int"
@@ -86,3 +87,34 @@ def test_late_rows_join_their_bar_and_no_state_is_kept(spark, tmp_path):
         ("a", at(9, 9, 0)): (2.0, 2.0, 2.0, 2.0, 1),
         ("b", at(9, 9, 0)): (4.0, 4.0, 4.0, 4.0, 1),
     }
+
+
+def test_cache_rebuilds_only_what_changed(spark, tmp_path):
+    source, copy = tmp_path / "source", str(tmp_path / "copy")
+    source.mkdir()
+    for k in range(30):
+        (source / f"S{k}.csv").write_text(f"Date,Close\n2024-01-01,{k}\n")
+    asked = []
+
+    def read(paths):
+        asked.append(len(paths))
+        return readers.read_bars(spark, paths, fields=["close"])
+
+    refresh = lambda: cache.refresh(spark, str(source), copy, read, buckets=16)
+    rows = lambda: sorted((r.symbol, r.close) for r in cache.read_cache(spark, copy).collect())
+    want = {f"S{k}": float(k) for k in range(30)}
+    first = refresh()
+    assert asked == [30] and rows() == sorted(want.items())
+    assert refresh() == [] and asked == [30]
+    (source / "S3.csv").write_text("Date,Close\n2024-01-01,333\n")
+    (source / "NEW.csv").write_text("Date,Close\n2024-01-01,7\n")
+    want |= {"S3": 333.0, "NEW": 7.0}
+    parts = refresh()
+    assert 1 <= len(parts) <= 2 and asked[-1] < 15 and rows() == sorted(want.items())
+    mine = {r.bucket for r in cache.manifest(spark, str(source), buckets=16).where("path LIKE '%S5.csv'").collect()}
+    gone = [r.path for r in cache.manifest(spark, str(source), buckets=16).collect() if r.bucket in mine]
+    for f in gone:
+        name = f.rsplit("/", 1)[1]
+        os.remove(source / name)
+        want.pop(name.removesuffix(".csv"))
+    assert refresh() == sorted(mine) and rows() == sorted(want.items()) and len(first) > 1

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from barloom.functions import columns as c
 from barloom.operators import grid, indicators, perf, ranking, resample, signals, trades
 from barloom.operators.ranking import RankParams
-from barloom.plans.swing import universe_bars
+from barloom.plans.swing import levered_equity, universe_bars
 from barloom.session import materialise
 from workload import panels as p
-from workload.panels import define, rnd, with_ctes
+from workload.panels import CTES, define, rnd, with_ctes
+from workload.q_portfolio import _LEV
 from workload.registry import query
 
 # -- indicators -------------------------------------------------------------------------------
@@ -480,6 +481,46 @@ def trade_stats(spark, sf):
     return p.rounded(p.rounded(out, 6, "end_equity"), 2, *[x for x in out.columns if x != "end_equity"])
 
 
+define(
+    "erows",
+    """SELECT 'default' AS series_id, period_no, ret, CAST(row_number() OVER (ORDER BY period_no) - 1 AS INTEGER) AS i, CAST(count(*) OVER () AS INTEGER) AS n FROM (
+       SELECT period_no, equity / lag(equity) OVER (ORDER BY period_no) - 1 AS ret FROM emonths) WHERE ret IS NOT NULL""",
+    "emonths",
+)
+define("emonths", "SELECT CAST(year(ts) * 12 + month(ts) - 1 AS INTEGER) AS period_no, arg_max(equity, ts) AS equity FROM curve GROUP BY 1", "curve")
+define("etranches", CTES["tranches"].replace("FROM srows", "FROM erows"), "erows")
+define(
+    "elev",
+    """SELECT *, 1000000e0 * product(1 + CASE WHEN eq > 0 THEN raw ELSE 0 END) OVER (ORDER BY i) AS lev_equity, eq * lev * (0.1e0 / 12) AS interest FROM (
+       SELECT *, coalesce(product(1 + raw) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS eq FROM (
+       SELECT *, ret * (1 + lev) - lev * (0.1e0 / 12) AS raw FROM (SELECT s.i, s.ret, coalesce(sum(CASE t.leg WHEN 1 THEN 0.5e0 WHEN 2 THEN 0.4e0 END), 0e0) AS lev
+       FROM erows s LEFT JOIN etranches t ON s.i BETWEEN t.b AND t.e GROUP BY 1, 2)))""",
+    "erows",
+    "etranches",
+)
+
+
+@query(
+    "levered_trading_rule",
+    with_ctes(
+        f"""SELECT {rnd('p.last', 2)} AS end_equity, {rnd('CASE WHEN p.last > 0 THEN pow(p.last / 1000000, 1 / y) - 1 END')} AS cagr, {rnd('p.dd')} AS max_drawdown, {rnd('l.last', 2)} AS levered_equity,
+        {rnd('CASE WHEN l.last > 0 THEN pow(l.last / 1000000, 1 / y) - 1 END')} AS levered_cagr, {rnd('l.dd')} AS levered_drawdown, {rnd('l.interest', 2)} AS total_interest, (SELECT count(*) FROM etranches) AS n_tranches
+        FROM (SELECT arg_max(equity, period_no) AS last, min(equity / peak - 1) AS dd, (last_day(make_date(max(period_no) // 12, max(period_no) % 12 + 1, 1)) - last_day(make_date(min(period_no) // 12, min(period_no) % 12 + 1, 1))) / 365.25e0 AS y
+          FROM (SELECT *, max(equity) OVER (ORDER BY period_no) AS peak FROM emonths)) p,
+        (SELECT arg_max(lev_equity, i) AS last, min(lev_equity / peak - 1) AS dd, sum(interest) * 1000000 AS interest FROM (SELECT *, max(lev_equity) OVER (ORDER BY i) AS peak FROM elev)) l""",
+        "emonths",
+        "elev",
+        "etranches",
+    ),
+)
+def levered_trading_rule(spark, sf):
+    """Leverage on the monthly equity of the breakout rule."""
+    equity = trades.equity_curve(_sized(spark, sf), p.daily_bars(spark, sf))
+    out = levered_equity(equity, **_LEV).drop("strategy_id")
+    money = ["end_equity", "levered_equity", "total_interest"]
+    return p.rounded(p.rounded(out, 6, *money), 2, *[x for x in out.columns if x not in money])
+
+
 @query("exit_reasons", with_ctes("SELECT exit_reason, count(*) AS n FROM brk GROUP BY 1", "brk"))
 def exit_reasons(spark, sf):
     """Why trades ended."""

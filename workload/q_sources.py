@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from barloom import schemas
 from barloom.operators import clean
 from barloom.session import scratch_path
-from barloom.sources import files, payloads, registry, sinks
+from barloom.sources import cache, files, payloads, registry, sinks
 from workload import panels as p
 from workload.panels import with_ctes
 from workload.registry import query
@@ -121,6 +121,26 @@ def read_intraday_files(spark, sf):
     return bars.select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("at"), "open", "close")
 
 
+@query(
+    "refreshed_cache",
+    with_ctes("SELECT 'B ' || k AS symbol, ts, close, volume FROM bars JOIN brands USING (symbol) WHERE ts < DATE '2000-07-01' OR k <= 5", "bars", "brands"),
+)
+def refreshed_cache(spark, sf):
+    """A consolidated copy built on the first miss, then refreshed for the instruments whose files changed."""
+    source, copy = scratch_path(spark, "vendor"), scratch_path(spark, "copy")
+    brand = F.replace("symbol", F.lit("Brand#"), F.lit("")).cast("int")
+    bars = p.daily_bars(spark, sf).select(
+        F.concat(F.lit("B "), brand).alias("symbol"), F.date_format("ts", "yyyy-MM-dd").alias("Date"), F.col("close").alias("Close"), F.col("volume").alias("Volume")
+    )
+    arrive = lambda some: some.write.mode("append").partitionBy("symbol").option("header", "true").csv(source)
+    refresh = lambda: cache.refresh(spark, source, copy, lambda paths: files.read_bars(spark, paths, fields=["close", "volume"], label="folder"), "folder")
+    arrive(bars.where("Date < '2000-07-01'"))
+    refresh()
+    arrive(bars.where((F.col("Date") >= "2000-07-01") & (F.substring("symbol", 3, 9).cast("int") <= 5)))
+    refresh()
+    return cache.read_cache(spark, copy).select("symbol", "ts", "close", "volume")
+
+
 @query("bar_table_roundtrip", with_ctes("SELECT symbol, ts, close, volume FROM bars WHERE year(ts) >= 1997", "bars"))
 def bar_table_roundtrip(spark, sf):
     """Consolidated columnar table; the year filter prunes partitions."""

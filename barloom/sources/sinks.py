@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import urllib.parse
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -47,9 +49,17 @@ def replace_keys(df: DataFrame, path: str, key: str = "strategy_id", keys: DataF
         .parquet(path)
     )
     if keys is not None:
-        spark = df.sparkSession
-        files = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-        folder = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
-        empty = keys.select(key).distinct().join(df.select(key), key, "left_anti")
-        for row in empty.toLocalIterator():
-            files.delete(spark._jvm.org.apache.hadoop.fs.Path(path, folder(key, row[0])), True)
+        _drop_folders(df.sparkSession, path, key, keys.select(key).distinct().join(df.select(key), key, "left_anti"))
+
+
+def _drop_folders(spark: SparkSession, path: str, key: str, emptied: DataFrame) -> None:
+    """Remove the partitions of ``emptied(key)``: one listing of the table's folders, met by the keys in Spark."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(at):
+        return
+    names = [f.getPath().getName() for f in files.listStatus(at) if f.getPath().getName().startswith(f"{key}=")]
+    folders = spark.createDataFrame([(n, urllib.parse.unquote(n.split("=", 1)[1])) for n in names], f"_folder string, `{key}` string")
+    gone = folders.join(emptied.select(F.col(key).cast("string").alias(key)), key).select("_folder").collect()
+    for row in gone:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(at, row[0]), True)

@@ -95,3 +95,12 @@ def test_replace_keys_keeps_others(spark, tmp_path):
     sinks.replace_keys(spark.createDataFrame([("a", 7)], "strategy_id string, v int"), path)
     sinks.replace_keys(spark.createDataFrame([("a", 7)], "strategy_id string, v int"), path)
     assert sorted((r.strategy_id, r.v) for r in spark.read.parquet(path).collect()) == [("a", 7), ("b", 2)]
+
+
+def test_emptied_keys_lose_their_rows(spark, tmp_path):
+    path, ddl = str(tmp_path / "t"), "strategy_id string, v int"
+    sinks.replace_keys(spark.createDataFrame([("a b", 1), ("c/d%e", 2), ("f=g", 3), ("h", 4)], ddl), path)
+    keys = spark.createDataFrame([("a b",), ("c/d%e",), ("h",), ("never",)], "strategy_id string")
+    sinks.replace_keys(spark.createDataFrame([("a b", 9)], ddl), path, keys=keys)
+    assert sorted((r.strategy_id, r.v) for r in spark.read.parquet(path).collect()) == [("a b", 9), ("f=g", 3)]
+    sinks.replace_keys(spark.createDataFrame([], ddl), str(tmp_path / "none"), keys=keys)

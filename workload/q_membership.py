@@ -40,22 +40,30 @@ def snapshot_diff(spark, sf):
     return m.snapshot_diff(p.snapshots(spark, sf)).drop("source")
 
 
+define(
+    "yearly",
+    "SELECT CAST(DATE '1995-07-01' + to_years(CAST(year(o_orderdate) - 1995 AS INTEGER)) AS DATE) AS as_of, o_custkey AS symbol FROM orders WHERE month(o_orderdate) >= 7 GROUP BY ALL",
+)
+
+
 @query(
     "snapshot_reconciliation",
     with_ctes(
-        """SELECT DATE '1998-01-01' - 1 AS date, symbol, 'OUT' AS action FROM (SELECT symbol, sum(CASE action WHEN 'IN' THEN 1 ELSE -1 END) AS b FROM mevents
-        WHERE date < DATE '1998-01-01' GROUP BY 1) WHERE b > 0 AND (CASE WHEN symbol % 5 = 0 THEN symbol + 1 ELSE symbol END) NOT IN
-        (SELECT CASE WHEN symbol % 5 = 0 THEN symbol + 1 ELSE symbol END FROM snaps WHERE as_of = DATE '1998-01-01')""".replace("DATE '1998-01-01' - 1", "CAST(DATE '1998-01-01' - 1 AS DATE)"),
+        """SELECT (SELECT CAST(min(as_of) - 1 AS DATE) FROM yearly) AS date, symbol, 'OUT' AS action FROM (SELECT symbol, sum(CASE action WHEN 'IN' THEN 1 ELSE -1 END) AS b FROM mevents
+        WHERE date < (SELECT min(as_of) FROM yearly) GROUP BY 1) WHERE b > 0 AND (CASE WHEN symbol % 5 = 0 THEN symbol + 1 ELSE symbol END) NOT IN
+        (SELECT CASE WHEN symbol % 5 = 0 THEN symbol + 1 ELSE symbol END FROM yearly WHERE as_of = (SELECT min(as_of) FROM yearly))""",
         "mevents",
-        "snaps",
+        "yearly",
     ),
 )
 def snapshot_reconciliation(spark, sf):
-    """Intervals the earliest snapshot disproves."""
-    snaps = p.snapshots(spark, sf).where("as_of >= DATE '1998-01-01'")
-    canon = snaps.select("symbol").distinct().unionByName(p.membership_events(spark, sf).select("symbol")).distinct()
+    """Intervals the earliest of all snapshots disproves; a snapshot of July holds who orders in the rest of its year."""
+    orders = p.table(spark, sf, "orders").where(F.month("o_orderdate") >= 7)
+    snaps = orders.select(F.make_date(F.year("o_orderdate"), F.lit(7), F.lit(1)).alias("as_of"), F.col("o_custkey").alias("symbol")).distinct()
+    events = p.membership_events(spark, sf)
+    canon = snaps.select("symbol").unionByName(events.select("symbol")).distinct()
     canon = canon.where("symbol % 5 = 0").select("symbol", (F.col("symbol") + 1).alias("canonical"))
-    return m.reconcile_with_snapshot(p.membership_events(spark, sf), snaps, canon).drop("source")
+    return m.reconcile_with_snapshot(events, snaps, canon).drop("source")
 
 
 def _masters(spark, sf):

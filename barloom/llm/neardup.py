@@ -12,15 +12,15 @@ A document's set is its distinct 5-word shingles.  Documents with equal sets for
 A band bucket of at most ``SMALL`` documents yields its pairs, a number per document that does not grow.  In a larger
 bucket every document is paired with two: the least one and the hub, which has most company in all its bands (among edited
 copies the original).  That leaves out links only between documents that do not end up together.  Buckets whose documents
-are then still in several components are looked at again, in blocks of bounded size: documents outside the bucket's largest
-component are compared with all its documents of other components, sequentially and exactly as above, each pair in the first band
-it shares.  Of the links between a document and a component one is kept, so nothing that is connected is lost and no group
-yields its pairs as rows.
+are then still in several components are looked at again: such buckets that share documents form a cluster, whose documents, each once, are sorted by
+size and cut into chunks of bounded size.  Each chunk meets itself and every other chunk of its cluster within reach of its sizes, sequentially and exactly as above, and
+gives the links that join components.  Nothing that is connected is lost and no group yields its pairs as rows.
 
 Scale: the only thing broadcast is a filter of ids of at most 8 MB, and no group is collected beyond ``SMALL`` ids.  A key with a third of all rows (copies,
 a common band) is reduced by aggregation with map-side combine or is a join side that adaptive execution splits.  Of the
 candidate pairs first one per document is verified, then only pairs whose ends are not yet connected, so the number of set
-comparisons follows the number of documents, not the square of a group.  Intermediate tables are written to the shared folder.
+comparisons follows the number of documents, not the square of a group.  A cluster of ``c`` chunks meets in ``c * (c + 1) / 2`` pairs of chunks, in
+which documents of one component are not compared.  Intermediate tables are written to the shared folder.
 
 Defined results: null or empty texts and texts without words have no set and no links; fewer words than five are one
 shingle; rows that share an id count as one document with several texts; a null id is never linked; an empty table
@@ -35,7 +35,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,8 +53,8 @@ STEP = 16
 MISS = 1e-6
 #: Buckets up to this size yield all their pairs.
 SMALL = 12
-#: Documents, and shingles, in a block of a larger bucket.
-BLOCK, BLOCK_SHINGLES = 1_000, 1_000_000
+#: Documents, and shingles, in a chunk of a cluster of larger buckets.
+BLOCK, BLOCK_SHINGLES = 256, 100_000
 #: Most bits (8 MB) of the filter that passes the documents of shared bands.
 MARK_BITS = 1 << 26
 
@@ -192,36 +192,93 @@ def _linked(percent: int):
     return run
 
 
-def _within(need: np.ndarray, percent: int):
+class Chunk:
+    """Documents of one cluster, side by side: ids, components, signatures and full sets."""
+
+    def __init__(self, row: dict):
+        self.ids, self.components = row["ids"], row["components"]
+        self.sigs = np.frombuffer(row["sigs"], np.uint32).reshape(-1, _SIZE)
+        self.sizes = np.array(row["sizes"], np.int64)
+        self.sets = np.split(np.frombuffer(row["sets"], np.int64), np.cumsum(self.sizes)[:-1])
+
+
+def _confirmed(x: Chunk, y: Chunk, need: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of two chunks (or of one with itself) as far as their documents are linked.
+
+    Every document meets the other chunk's signatures ``STEP`` values at a time; what is left is confirmed on full sets, the
+    likeliest first, unless a link found before has joined the two components.
+    """
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.get(c, c) != c:
+            parent[c] = parent.get(parent[c], parent[c])
+            c = parent[c]
+        return c
+
+    found, comps = [], np.array(y.components)
+    for i in range(len(x.ids)):
+        later = i + 1 if x is y else 0
+        fits = 100 * np.minimum(x.sizes[i], y.sizes) >= percent * np.maximum(x.sizes[i], y.sizes)
+        fits[:later] = False
+        alive = np.flatnonzero(fits & (comps != x.components[i]))
+        equal = np.zeros(len(y.ids), np.int64)
+        for k, least in enumerate(need):
+            part = slice(k * STEP, (k + 1) * STEP)
+            equal[alive] += (y.sigs[alive, part] == x.sigs[i, part]).sum(axis=1)
+            alive = alive[equal[alive] >= least]
+        for j in alive[np.argsort(-equal[alive], kind="stable")].tolist():
+            a, b = root(x.components[i]), root(y.components[j])
+            if a != b:
+                both = int(x.sizes[i] + y.sizes[j]) - len(np.union1d(x.sets[i], y.sets[j]))
+                if 100 * both >= percent * (x.sizes[i] + y.sizes[j] - both):
+                    parent[max(a, b)] = min(a, b)
+                    found.append((min(x.ids[i], y.ids[j]), max(x.ids[i], y.ids[j])))
+    return found
+
+
+_CHUNK_FIELDS = pa.schema(
+    [
+        ("cluster", pa.int64()), ("chunk", pa.int64()), ("ids", pa.list_(pa.int64())), ("components", pa.list_(pa.int64())),
+        ("sizes", pa.list_(pa.int64())), ("sigs", pa.binary()), ("sets", pa.binary()), ("links", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))),
+    ]
+)
+_CHUNKS = "cluster long, chunk long, ids array<long>, components array<long>, sizes array<long>, sigs binary, sets binary, links array<struct<a: long, b: long>>"
+
+
+def _chunk_rows(need: np.ndarray, percent: int):
+    """Cut rows ``(cluster, doc_id, component, sig, set)``, sorted by cluster and size, into chunks, each with its own links."""
+
+    def close(rows: list[tuple], chunk: int) -> pa.RecordBatch:
+        cluster, ids, components, sigs, sets = zip(*rows, strict=True)
+        row = {
+            "cluster": cluster[0], "chunk": chunk, "ids": list(ids), "components": list(components), "sizes": [len(s) for s in sets],
+            "sigs": b"".join(sigs), "sets": b"".join(s.tobytes() for s in sets),
+        }
+        one = Chunk(row)
+        return pa.RecordBatch.from_pylist([row | {"links": [{"a": a, "b": b} for a, b in _confirmed(one, one, need, percent)]}], _CHUNK_FIELDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, rows, held = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(4)]
+            for cluster, doc_id, component, sig, tokens in zip(*columns, batch.column(4), strict=True):
+                s = tokens.values.to_numpy()
+                if rows and (len(rows) == BLOCK or held + len(s) > BLOCK_SHINGLES or rows[0][0] != cluster):
+                    yield close(rows, chunk)
+                    chunk, rows, held = chunk + 1, [], 0
+                rows.append((cluster, doc_id, component, sig, s.copy()))
+                held += len(s)
+        if rows:
+            yield close(rows, chunk)
+
+    return run
+
+
+def _chunk_pair(need: np.ndarray, percent: int):
     def run(table: pa.Table) -> pa.Table:
-        key = table.column("key")[0].as_py()
-        sides = []
-        for asks in (True, False):
-            part = table.filter(pc.equal(table.column("asks"), asks)).combine_chunks()
-            sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint32).reshape(-1, _SIZE)
-            sets = [x.values.to_numpy() for x in part.column("set")]
-            sides.append((part.column("doc_id").to_numpy(), part.column("component").to_numpy(), sig, sets, np.array([len(x) for x in sets])))
-        (ids, comps, sigs, sets, sizes), (ids2, comps2, sigs2, sets2, sizes2) = sides
-        found: list[tuple[int, int]] = []
-        for i in range(len(ids)):
-            fits = 100 * np.minimum(sizes[i], sizes2) >= percent * np.maximum(sizes[i], sizes2)
-            alive = np.flatnonzero((comps2 != comps[i]) & fits)
-            equal = np.zeros(len(ids2), np.int64)
-            for k, least in enumerate(need):
-                part = slice(k * STEP, (k + 1) * STEP)
-                equal[alive] += (sigs2[alive, part] == sigs[i, part]).sum(axis=1)
-                alive = alive[equal[alive] >= least]
-            band = np.flatnonzero(_bands(sigs[i]) == key)[0]
-            shared = (sigs2[alive].reshape(-1, BANDS, ROWS) == sigs[i].reshape(BANDS, ROWS)).all(axis=2)
-            alive = alive[shared.argmax(axis=1) == band]
-            joined: set[int] = set()
-            for j in alive[np.argsort(-equal[alive], kind="stable")]:
-                if comps2[j] not in joined:
-                    both = sizes[i] + sizes2[j] - len(np.union1d(sets[i], sets2[j]))
-                    if 100 * both >= percent * (sizes[i] + sizes2[j] - both):
-                        joined.add(comps2[j])
-                        found.append((min(ids[i], ids2[j]), max(ids[i], ids2[j])))
-        pairs = np.array(found, np.int64).reshape(-1, 2)
+        x, y = (Chunk(row) for row in table.drop_columns(["cluster", "pair", "chunk"]).to_pylist())
+        pairs = np.array(_confirmed(x, y, need, percent), np.int64).reshape(-1, 2)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     return run
@@ -302,31 +359,40 @@ class Duplicates:
         return materialise(pairs.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"))
 
     def unresolved(self, buckets: DataFrame, links: DataFrame) -> DataFrame:
-        """``(key, doc_id, component, outside)`` of large buckets that hold several components."""
+        """``(doc_id, component, cluster)`` of the documents in large buckets that hold several components.
+
+        Buckets that share documents form a cluster, whichever bands they are of, so a document is looked at once and not in every band.
+        """
         of = materialise(connected_components(links))
         large = buckets.where(F.col("n") > SMALL).select("key", "doc_id").join(of.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        large = large.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        parts = large.groupBy("key", "component").agg(F.count("*").alias("n"))
-        main = parts.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count("*").alias("parts"))
-        open_ = large.join(main.where("parts > 1"), "key")
-        return materialise(open_.select("key", "doc_id", "component", (F.col("component") != F.col("main")).alias("outside")))
+        large = materialise(large.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")))
+        parts = large.groupBy("key").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.min("doc_id").alias("low"))
+        open_ = materialise(large.join(parts.where("_a <> _b").select("key", "low"), "key").select("doc_id", "component", "low"))
+        if open_.isEmpty():
+            return open_.select("doc_id", "component", F.col("low").alias("cluster"))
+        edges = open_.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
+        cluster = connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+        return materialise(open_.select("doc_id", "component").distinct().join(cluster, "doc_id"))
 
     def inside(self, left: DataFrame) -> DataFrame:
-        """A link of each document outside its bucket's largest component with each other component it is linked to."""
-        rows = left.join(self.reps.select("doc_id", "n"), "doc_id")
-        blocks = lambda of: F.greatest(
-            F.ceil(F.sum(F.when(of, 1)) / BLOCK), F.ceil(F.sum(F.when(of, F.col("n"))) / BLOCK_SHINGLES)
-        ).cast("int")
-        size = rows.groupBy("key").agg(blocks(F.lit(True)).alias("all_blocks"), blocks(F.col("outside")).alias("out_blocks"))
-        rows = rows.join(size, "key")
-        mine = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
-        every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        partner = rows.select("key", "doc_id", "component", F.lit(False).alias("asks"), mine(F.col("all_blocks")).alias("x"), every(F.col("out_blocks")).alias("y"))
-        asking = rows.where("outside").select("key", "doc_id", "component", F.lit(True).alias("asks"), every(F.col("all_blocks")).alias("x"), mine(F.col("out_blocks")).alias("y"))
-        known = self.reps.select("doc_id", "sig").join(left.select("doc_id").distinct(), "doc_id", "left_semi").join(self.sets, "doc_id")
-        full = partner.unionByName(asking).join(known, "doc_id")
-        met = full.groupBy("key", "x", "y").applyInArrow(_within(least_equal(self.percent), self.percent), "a long, b long")
-        return materialise(met.distinct())
+        """Links between the components of each cluster, in chunks of bounded size: each with itself, then each pair of them."""
+        need = least_equal(self.percent)
+        rows = left.join(self.reps.select("doc_id", "n", "sig"), "doc_id").join(self.sets, "doc_id")
+        rows = materialise(rows.select("cluster", "doc_id", "component", "sig", "set", "n"))
+        order = ["cluster", "n", "doc_id"]
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("cluster", "doc_id", "component", "sig", "set")
+        chunks = materialise(rows.mapInArrow(_chunk_rows(need, self.percent), _CHUNKS))
+        links = chunks.select(F.explode("links").alias("l")).select("l.a", "l.b")
+        ends = chunks.select("cluster", "chunk", F.array_min("sizes").alias("low"), F.array_max("sizes").alias("high"))
+        x, y = ends.alias("x"), ends.alias("y")
+        near = (F.col("x.low") * self.percent <= F.col("y.high") * 100) & (F.col("y.low") * self.percent <= F.col("x.high") * 100)
+        met = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.chunk") < F.col("y.chunk")) & near)
+        pairs = materialise(met.select("x.cluster", F.struct("x.chunk", F.col("y.chunk").alias("other")).alias("pair")))
+        if pairs.isEmpty():
+            return links
+        both = pairs.select("cluster", "pair", F.explode(F.array("pair.chunk", "pair.other")).alias("chunk"))
+        full = both.join(chunks.drop("links"), ["cluster", "chunk"])
+        return links.union(materialise(full.groupBy("cluster", "pair").applyInArrow(_chunk_pair(need, self.percent), "a long, b long")))
 
     def all_links(self) -> DataFrame:
         """Links that connect every class with the classes it is linked to, directly or through others."""

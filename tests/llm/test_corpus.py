@@ -454,9 +454,19 @@ def _families(seed: int) -> dict[int, str]:
     return {i: " ".join(w) for i, w in enumerate(out)}
 
 
-@pytest.mark.parametrize("small", [neardup.SMALL, 2])
-def test_large_groups_lose_no_link(spark, monkeypatch, small):
+@pytest.mark.parametrize(("small", "block"), [(neardup.SMALL, neardup.BLOCK), (2, neardup.BLOCK), (2, 7)])
+def test_large_groups_lose_no_link(spark, monkeypatch, small, block):
     monkeypatch.setattr(neardup, "SMALL", small)
+    run = neardup._chunk_rows
+
+    def rows(need, percent):
+        def inner(batches):
+            neardup.BLOCK = block
+            yield from run(need, percent)(batches)
+
+        return inner
+
+    monkeypatch.setattr(neardup, "_chunk_rows", rows)
     texts = _families(11)
     _same(neardup.find(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect(), texts)
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.session import materialise
+
 #: Slots in a block, and blocks in a group.
 BLOCK = 256
 
@@ -39,6 +41,8 @@ def linear_scan(df: DataFrame, by: str, idx: str, steps: dict[str, tuple[Column,
     rows = rows.withColumns({f"_b_{n}": F.coalesce(since[n], F.lit(0.0)) for n in names})
     local = {f"_y_{n}": F.col(f"_m_{n}") * (F.col(f"_s_{n}") - F.col(f"_b_{n}")) for n in names}
     rows = rows.withColumns(local | {f"_c_{n}": F.when(F.col(f"_z_{n}"), 0.0).otherwise(F.col(f"_m_{n}")) for n in names})
+    # written once: the blocks' totals and the rows themselves both come from here
+    rows = materialise(rows.select(*[c for c in columns if c not in names], "_block", *[f"_{k}_{n}" for n in names for k in "cy"]))
 
     last = F.max_by(F.struct(*[F.col(f"_{k}_{n}") for n in names for k in "cy"]), idx).alias("_last")
     totals = rows.groupBy(by, "_block").agg(last)

@@ -200,30 +200,37 @@ def _candidates(wanted: DataFrame, known: DataFrame, cutoff: float, name: str) -
         edge = lambda i: F.floor(i * F.col("_of") / (F.col("_tau") + 1)).cast("int")
         return cut.withColumns({"_from": edge(F.col("_i")), "_len": edge(F.col("_i") + 1) - edge(F.col("_i"))})
 
-    k = segments(known.where(F.length(name) > 0).select(F.col(name).alias("_known"), F.length(name).alias("_of")))
-    k = k.select("_known", "_of", "_i", F.substring("_known", F.col("_from") + 1, F.col("_len")).alias("_seg"))
+    def key(of, seg):
+        # names that meet by chance are told apart by the edit distance
+        return F.xxhash64(of, "_i", seg).alias("_key")
 
-    w = wanted.where(F.length(name) > 0).withColumn("_own", F.length(name))
+    numbered = lambda df, id_: materialise(df.where(F.length(name) > 0).select(name, F.monotonically_increasing_id().alias(id_)))
+    names, others = numbered(wanted, "_w"), numbered(known, "_k")
+    k = segments(others.withColumn("_of", F.length(name)))
+    k = k.select("_k", key("_of", F.substring(name, F.col("_from") + 1, F.col("_len"))))
+
+    w = names.withColumn("_own", F.length(name))
     partner = F.sequence(
         F.greatest(F.ceil(F.col("_own") / reach - tiny).cast("int"), F.lit(1)), F.floor(F.col("_own") * reach + tiny).cast("int")
     )
-    w = segments(w.withColumn("_of", F.explode(partner)))
+    lengths = others.select(F.length(name).alias("_of")).distinct()
+    w = segments(w.withColumn("_of", F.explode(partner)).join(lengths, "_of", "left_semi"))
     # edits left and right of the segment add up, which halves the shift window
     gap = F.col("_own") - F.col("_of")
     low = F.greatest(F.col("_from") + F.ceil((gap - F.col("_tau")) / 2).cast("int"), F.lit(0))
     high = F.least(F.col("_from") + F.floor((gap + F.col("_tau")) / 2).cast("int"), F.col("_own") - F.col("_len"))
     w = w.withColumns({"_low": low, "_high": high}).where("_low <= _high")
     w = w.withColumn("_at", F.explode(F.sequence("_low", "_high")))
-    w = w.select(name, "_of", "_i", F.substring(name, F.col("_at") + 1, F.col("_len")).alias("_seg")).distinct()
+    w = w.select("_w", key("_of", F.substring(name, F.col("_at") + 1, F.col("_len")))).distinct()
 
-    # few bytes, many partners each: spread over the session's shuffle partitions before the join multiplies them
-    w = w.repartition(name, "_seg")
-    met = w.join(k, ["_of", "_i", "_seg"]).select(name, "_known")
+    # numbers meet, not names: what is shuffled is two longs a segment and two a pair
+    met = w.join(k, "_key").select("_w", "_k").distinct()
+    met = met.join(names, "_w").join(others.withColumnRenamed(name, "_known"), "_k").select(name, "_known")
     total = F.length(name) + F.length("_known")
     # letters outside a common subsequence are as odd or even in number as all letters
     even = lambda d: d + F.abs((total - d) % 2)
     allowed = F.floor((1 - cutoff) * total + tiny).cast("int")
-    near = met.distinct().withColumn("_edits", F.call_function("levenshtein", F.col(name), F.col("_known"), allowed)).where("_edits >= 0")
+    near = met.withColumn("_edits", F.call_function("levenshtein", F.col(name), F.col("_known"), allowed)).where("_edits >= 0")
     near = near.withColumn("_most", (total - even(F.col("_edits"))) / total)
     return near.where(F.col("_most") >= cutoff - tiny).select(name, "_known", "_most")
 

@@ -48,8 +48,10 @@ def read_parts(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 def touched_parts(fresh: DataFrame, ts: str, unit: str) -> list[str]:
     """Names of the partitions that ``fresh`` falls into: bounded by the calendar, whatever the number of rows."""
-    rows = fresh.select(part_of(ts, unit).alias(PART)).where(f"{PART} IS NOT NULL").groupBy(PART).count()
-    return sorted(r[PART] for r in rows.select(PART).collect())
+    found = [r[PART] for r in fresh.select(part_of(ts, unit).alias(PART)).distinct().collect()]
+    if None in found:
+        raise ValueError(f"rows without '{ts}' belong to no partition")
+    return sorted(found)
 
 
 def merge_into(
@@ -69,8 +71,6 @@ def merge_into(
     """
     spark = fresh.sparkSession
     fresh = materialise(fresh)
-    if not fresh.where(F.col(ts).isNull()).isEmpty():
-        raise ValueError(f"rows without '{ts}' belong to no partition")
     parts = touched_parts(fresh, ts, unit)
     if not parts:
         return []

@@ -103,8 +103,8 @@ def partial_bars(ticks: DataFrame, width: str = "1 hour", by: str = "symbol", pr
     ).select(by, F.col("_w.start").alias("ts"), *_PARTIAL)
 
 
-def combined(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """Parts of the same bar as one, in whatever order they came."""
+def combined(parts: DataFrame, keys: list[str], *latest: str) -> DataFrame:
+    """Parts of the same bar as one, in whatever order they came; of columns named in ``latest`` the greatest value stays."""
     return parts.groupBy(*keys).agg(
         F.min("first_ts").alias("first_ts"),
         F.min_by("open", F.struct("first_ts", "open")).alias("open"),
@@ -113,6 +113,7 @@ def combined(parts: DataFrame, keys: list[str]) -> DataFrame:
         F.max("high").alias("high"),
         F.min("low").alias("low"),
         F.sum("n").alias("n"),
+        *[F.max(x).alias(x) for x in latest],
     )
 
 
@@ -152,9 +153,7 @@ def settle(spark, path: str, store: str, since: int = -1, by: str = "symbol", un
     def add(stored: DataFrame, new: DataFrame) -> DataFrame:
         done = stored.select(by, "ts", F.col("upto").alias("_done"))
         new = new.join(done, [by, "ts"], "left").where("_done IS NULL OR upto > _done").drop("_done")
-        both = stored.unionByName(new)
-        upto = both.groupBy(by, "ts").agg(F.max("upto").alias("upto"))
-        return combined(both, [by, "ts"]).join(upto, [by, "ts"]).select(*stored.columns)
+        return combined(stored.unionByName(new), [by, "ts"], "upto").select(*stored.columns)
 
     merge_into(store, fresh, [by, "ts"], unit=unit, combine=add)
     return last

@@ -7,7 +7,7 @@ rejected by the quality rules.  Rows that share an id are copies: one of them st
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.llm import bpe, decontaminate, neardup, quality, secrets
@@ -32,7 +32,9 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     again = materialise(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"))
     if again.isEmpty():
         return rest
-    once = rest.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # the same row on every run, also after a lost executor
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text", "lang", "source", "n_chars")
+    once = rest.join(again, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth")
     return rest.join(again, "doc_id", "left_anti").unionByName(once)
 
 

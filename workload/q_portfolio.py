@@ -609,13 +609,50 @@ def tax_totals(spark, sf):
     return p.rounded(tax.tax_totals(_after_tax(spark, sf)), 2)
 
 
-@query("levered_backtest")
+define("stop_path_once", CTES["stop_path"].replace("s.used < 2", "s.used < 1"), "spell", "held", "panel", "mbars")
+define("stop_ret_once", CTES["stop_ret"].replace("stop_path", "stop_path_once"), "spell", "stop_path_once")
+define(
+    "mrows",
+    """SELECT 'default' AS series_id, b.period_no, coalesce(l.ret, s.ret, b.ret) AS ret, CAST(row_number() OVER (ORDER BY b.period_no) - 1 AS INTEGER) AS i, CAST(count(*) OVER () AS INTEGER) AS n
+       FROM base_ret b LEFT JOIN stop_ret_once s USING (period_no) LEFT JOIN lag_ret l USING (period_no)""",
+    "base_ret",
+    "stop_ret_once",
+    "lag_ret",
+)
+define(
+    "mtranches",
+    CTES["tranches"].replace("-0.05e0", "-0.07e0").replace("-0.03e0", "-0.05e0").replace("x.i + 4", "x.i + 6").replace("FROM srows", "FROM mrows"),
+    "mrows",
+)
+define(
+    "mlev",
+    """SELECT period_no, ret, product(1 + ret) OVER (ORDER BY period_no) AS cum FROM (SELECT period_no, CASE WHEN eq > 0 THEN raw ELSE 0 END AS ret FROM (
+       SELECT *, coalesce(product(1 + raw) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS eq FROM (
+       SELECT i, period_no, ret * (1 + lev) - lev * (0.1e0 / 12) AS raw FROM (SELECT r.i, r.period_no, r.ret, 0.5e0 * count(t.leg) AS lev FROM mrows r LEFT JOIN mtranches t ON r.i BETWEEN t.b AND t.e GROUP BY 1, 2, 3)))
+       JOIN bret b USING (period_no) WHERE b.ret IS NOT NULL)""",
+    "mrows",
+    "mtranches",
+    "bret",
+)
+
+
+@query(
+    "levered_backtest",
+    with_ctes(
+        f"""SELECT 'default' AS strategy_id, count(*) AS n_periods, {rnd('CASE WHEN product(1 + ret) > 0 THEN log10(pow(product(1 + ret), 12e0 / count(*))) END')} AS log_cagr, {rnd('stddev_samp(ret) * sqrt(12e0)', 4)} AS volatility,
+        {rnd('avg(ret) * 12 / (stddev_samp(ret) * sqrt(12e0))')} AS sharpe, {rnd('min(cum / peak - 1)')} AS max_drawdown, {rnd('log10(product(1 + ret))')} AS log_total_return FROM (SELECT *, max(cum) OVER (ORDER BY period_no) AS peak FROM mlev)""",
+        "mlev",
+    ),
+)
 def levered_backtest(spark, sf):
     """Backtest with both overlays, leverage applied after them, aligned to the benchmark last."""
     panel, t = _test(spark, sf)
     rets = materialise(backtest.with_overlays(t, panel, p.daily_bars(spark, sf), 10.0, 1, next_open=True))
     lev = backtest.levered(rets).drop("lev_frac", "interest")
-    return p.rounded(backtest.report(lev, _bench_returns(spark, sf))["stats"])
+    stats = backtest.report(lev, _bench_returns(spark, sf))["stats"]
+    # on the test prices money grows by many powers of ten, so growth is given as its logarithm
+    grown = {f"log_{x}": F.log10(1 + F.col(x)) for x in ("cagr", "total_return")}
+    return p.rounded(p.rounded(stats.withColumns(grown).drop("cagr", "total_return"), 4, "sharpe", "max_drawdown", *grown), 6, "volatility")
 
 
 # -- other grids and regimes ---------------------------------------------------------------------

@@ -461,8 +461,11 @@ def test_large_groups_lose_no_link(spark, monkeypatch, small, block):
 
     def rows(need, percent):
         def inner(batches):
-            neardup.BLOCK = block
-            yield from run(need, percent)(batches)
+            before, neardup.BLOCK = neardup.BLOCK, block
+            try:
+                yield from run(need, percent)(batches)
+            finally:  # workers are used again
+                neardup.BLOCK = before
 
         return inner
 

@@ -193,9 +193,11 @@ def test_divergence_with_many_spills(spark, monkeypatch):
     want = plain_divergence(rows)
 
     def small(batches):
-        d.HELD = d.FRESH = 30
-        d.PAIRS, d.SUMS = 7, 5
-        yield from d._in_mapper(batches)
+        before, d.HELD, d.FRESH = (d.HELD, d.FRESH), 30, 30
+        try:
+            yield from d._in_mapper(batches)
+        finally:  # workers are used again
+            d.HELD, d.FRESH = before
 
     partial = spark.createDataFrame(rows, "text string, lang string, source string").fillna("").repartition(5)
     rows5 = partial.mapInArrow(small, d._STRIPE_DDL).collect()
@@ -310,8 +312,11 @@ def test_join_of_groups_of_copies(spark, monkeypatch, chunk):
 
     def small(percent):
         def inner(batches):
-            sigtree.CHUNK = chunk
-            yield from run(percent)(batches)
+            before, sigtree.CHUNK = sigtree.CHUNK, chunk
+            try:
+                yield from run(percent)(batches)
+            finally:  # workers are used again
+                sigtree.CHUNK = before
 
         return inner
 

@@ -40,10 +40,9 @@ def write_parts(df: DataFrame, path: str, ts: str = "ts", unit: str = "month") -
     )
 
 
-def read_parts(spark: SparkSession, path: str, schema=None) -> DataFrame:
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
     """The whole table without its partition column."""
-    reader = spark.read.schema(schema.add(PART, "string")) if schema is not None else spark.read
-    return reader.option("recursiveFileLookup", "false").parquet(path).drop(PART)
+    return spark.read.parquet(path).drop(PART)
 
 
 def touched_parts(fresh: DataFrame, ts: str, unit: str) -> list[str]:

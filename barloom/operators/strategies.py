@@ -7,6 +7,7 @@ number of grids one below the other (months and weeks, adjusted and plain closes
 Every price a strategy asks for is an equi-join on (grid, symbol, period): the end of a window with its start, ``lookback`` periods
 before, then the ranked period with the window's end, ``skip`` periods before.  Windows are measured once for each distinct
 (lookback, skip), however many strategies share it.  The deviation of a window's returns is the difference of running sums at its ends.
+Strategies with the same parameters are of one kind (:func:`shared`), which is ranked and simulated once; its results go to all members.
 """
 
 from __future__ import annotations
@@ -43,6 +44,15 @@ COLUMNS = {
 }
 
 
+#: Parameters that the ranking depends on.
+RANKING = (
+    "grid", "lookback", "skip", "min_price", "max_volatility_pct", "use_risk_adjusted", "max_trailing_return_pct",
+    "max_drawdown_from_52w_high_pct", "use_membership", "universe",
+)
+#: Strategies whose rows one task ranks, and members to whom one task hands the rows of their kinds.
+_RANKED, _SPREAD = 250, 500
+
+
 def relation(strategies: DataFrame) -> DataFrame:
     """``strategies`` with all of :data:`COLUMNS`, missing columns and values filled in."""
     have = set(strategies.columns)
@@ -51,6 +61,32 @@ def relation(strategies: DataFrame) -> DataFrame:
     return strategies.select("strategy_id", *filled)
 
 
+def shared(strategies: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Strategies with equal values of ``by`` as one: a row of each kind, and ``(kind, *columns)``, the kind of every row.
+
+    A kind is named after its least strategy.  An id of several rows is a kind of its own with all of them; rows without an id are left out.
+    """
+    rows = strategies.where("strategy_id IS NOT NULL")
+    rows = rows.withColumn("_rows", F.count("*").over(Window.partitionBy("strategy_id")))
+    rows = rows.withColumn("_same", F.when(F.col("_rows") == 1, F.to_json(F.struct(*by))).otherwise(F.concat(F.lit("="), "strategy_id")))
+    rows = rows.join(rows.groupBy("_same").agg(F.min("strategy_id").alias("kind")), "_same")
+    rows = materialise(rows.select("kind", *strategies.columns))
+    return rows.where("strategy_id = kind").drop("kind"), rows
+
+
+def to_members(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """``rows`` of kinds (their ``strategy_id``) for every one of ``members(kind, strategy_id, ...)``.
+
+    The members of a kind are dealt out in bounded shares, so one that most strategies are of is spread over many tasks.
+    """
+    shares = members.groupBy("kind").agg(F.ceil(F.count("*") / _SPREAD).cast("int").alias("_shares"))
+    parts = members.count() // _SPREAD + 1
+    dealt = members.join(shares, "kind").withColumn("_share", F.pmod(F.xxhash64("strategy_id"), F.col("_shares")).cast("int"))
+    rows = rows.withColumnRenamed("strategy_id", "kind").join(shares, "kind")
+    rows = rows.withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1))).drop("_shares")
+    return rows.repartition(parts, "kind", "_share").join(dealt.drop("_shares"), ["kind", "_share"]).drop("kind", "_share")
+
+
 def one_panel(panels: dict[str, DataFrame]) -> DataFrame:
     """Panels by grid name -> one panel with a column ``grid``.
 
@@ -100,6 +136,7 @@ def _asked(strategies: DataFrame):
         F.max(F.col("max_drawdown_from_52w_high_pct").isNotNull()).alias("daily"),
         used("use_regime").alias("series"),
         F.max(band).cast("int").alias("reach"),
+        F.count("*").alias("rows"),
     ).first()
 
 
@@ -126,7 +163,10 @@ def rank_strategies(
     if asked["daily"]:
         base = base.join(trailing_high(daily, base.select("symbol", "period_end")), ["symbol", "period_end"], "left")
     base = base.withColumns({k: v for k, v in flags.items() if k not in base.columns})
-    rows = measure(base, strategies.select("grid", "lookback", "skip")).join(strategies, ["grid", "lookback", "skip"])
+    # a small panel, but a row of it becomes one for every strategy
+    measured = measure(base, strategies.select("grid", "lookback", "skip"))
+    measured = measured.repartition(asked["rows"] // _RANKED + 2, "grid", "symbol", "period_no")
+    rows = measured.join(strategies, ["grid", "lookback", "skip"])
     if asked["universes"]:
         inside = universes.select(F.col("universe_id").alias("universe"), "symbol", F.lit(True).alias("_inside")).distinct()
         rows = rows.join(inside, ["universe", "symbol"], "left")
@@ -150,6 +190,24 @@ def rank_strategies(
     return scored.withColumn("rank", F.row_number().over(w))
 
 
+def rank_best(
+    panel: DataFrame,
+    strategies: DataFrame,
+    membership: DataFrame | None = None,
+    universes: DataFrame | None = None,
+    daily: DataFrame | None = None,
+) -> DataFrame:
+    """The first ``n`` of each strategy's ranking, see :func:`rank_strategies`; strategies that rank alike are ranked once.
+
+    An id of several rows is ranked over all of them, and cut for each of them.
+    """
+    kinds, members = shared(strategies, [*RANKING, "n"])
+    ranking = rank_strategies(panel, kinds, membership, universes, daily)
+    most = kinds.groupBy("strategy_id").agg(F.max("n").alias("_most"))
+    best = ranking.join(most, "strategy_id").where(F.col("rank") <= F.col("_most")).drop("_most")
+    return to_members(best, members.select("kind", "strategy_id", "n")).where(F.col("rank") <= F.col("n")).drop("n")
+
+
 def gold_signals(series: DataFrame, strategies: DataFrame, equity_id: str = "equity", gold_id: str = "gold") -> DataFrame:
     """Regime signals of every distinct (``gold_entry``, ``gold_exit``): ``(gold_entry, gold_exit, period_no, to_gold, to_equity)``."""
     pairs = strategies.where("use_regime").select("gold_entry", "gold_exit").distinct()

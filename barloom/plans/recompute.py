@@ -89,12 +89,15 @@ def recompute_all(
     ``panels`` maps a period grid (``month``, ``week``), or a grid and a price (``("month", "Close")``), to its panel.
     Rows with unusable parameters or without a panel are diverted to ``rejected`` before the job, so one bad
     strategy cannot fail the others.  A registry without usable rows gives empty tables.  Strategies stay rows of a table throughout
-    (:mod:`barloom.operators.strategies`): the plan is the same for any number of them, and none passes through the driver.
+    (:mod:`barloom.operators.strategies`): the plan is the same for any number of them, and none passes through the driver.  Strategies with
+    the same parameters are simulated once, and each gets the events and positions.
     """
     found = _by_grid(panels)
     if not found:
         raise ValueError("recompute_all needs a panel")
-    strategies = materialise(strategy_table(registry).where(F.col("grid").isin(*found)))
+    usable = strategy_table(registry).where(F.col("grid").isin(*found))
+    strategies, members = st.shared(usable, list(st.COLUMNS))
+    members = members.select("kind", "strategy_id").distinct()
     panel = st.one_panel(found)
     # the counts combine before their shuffle, the ranks are pruned before theirs
     ranking = st.rank_strategies(panel, strategies, membership, universes, daily)
@@ -103,8 +106,8 @@ def recompute_all(
     cut = last.select("strategy_id", F.add_months(st.label("_last"), -event_months).alias("_since"))
     events = st.events(held, schedule).join(cut, "strategy_id").where("event_date >= _since")
     return Recomputed(
-        events.select("strategy_id", "symbol", "event_date", "action"),
-        st.positions(held, schedule).select("strategy_id", "symbol", "entry_date"),
+        st.to_members(events, members).select("strategy_id", "symbol", "event_date", "action"),
+        st.to_members(st.positions(held, schedule), members).select("strategy_id", "symbol", "entry_date"),
         rejected(registry, panels),
     )
 

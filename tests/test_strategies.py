@@ -112,3 +112,30 @@ def test_registry_of_bad_rows_and_missing_values(spark):
     assert {r.strategy_id for r in done.positions.collect()} == {"a", "b", "c"}
     none = recompute.recompute_all(registry.where("strategy_id = 'f'"), {"month": panels.monthly_panel(spark, SF)})
     assert none.events.collect() == [] and none.positions.collect() == []
+
+
+def test_equal_strategies_are_ranked_and_simulated_once(spark, monkeypatch):
+    """A kind of many members costs one ranking; an id of several rows keeps its ranking over all of them."""
+    panel = panels.monthly_panel(spark, SF)
+    base = {"skip_months": 0, "hold_months": 1, "min_price": 1.0, "universe": "all"}
+    rows = [(f"s{k:03d}", base | {"lookback_months": 3 + k % 2, "n_stocks": 2 + k % 2}) for k in range(40)]
+    rows += [("twice", base | {"lookback_months": 3, "n_stocks": n}) for n in (2, 3)] + [(None, base | {"lookback_months": 3, "n_stocks": 2})]
+    ddl = "strategy_id string, name string, parameters string"
+    registry = spark.createDataFrame([(i, i, json.dumps(p)) for i, p in rows], ddl)
+    saved, grid = materialise(recompute.strategy_table(registry)), strategies.one_panel({"month|Adj Close": panel})
+    best = lambda df: sorted((r.strategy_id, r.period_no, r["rank"], r.symbol) for r in df.collect())
+    every = strategies.rank_strategies(grid, saved)
+    want = best(every.join(saved.select("strategy_id", "n"), "strategy_id").where("rank <= n"))
+    alone = recompute.recompute_all(registry.where("strategy_id = 's000'"), {"month": panel})
+    one = {k: sorted(tuple(r)[1:] for r in getattr(alone, k).collect()) for k in ("events", "positions")}
+
+    ranked, rank = [], strategies.rank_strategies
+    monkeypatch.setattr(strategies, "rank_strategies", lambda panel, some, *a: ranked.append(some.count()) or rank(panel, some, *a))
+    monkeypatch.setattr(strategies, "_SPREAD", 7)
+    done = recompute.recompute_all(registry, {"month": panel})
+    for k, rows_of_one in one.items():
+        found = [tuple(r) for r in getattr(done, k).collect()]
+        assert {r[0] for r in found} >= {f"s{k:03d}" for k in range(40)}
+        assert rows_of_one and all(sorted(r[1:] for r in found if r[0] == f"s{j:03d}") == rows_of_one for j in (0, 2, 38))
+    assert best(strategies.rank_best(grid, saved)) == want and {r[0] for r in want} > {"s000", "twice"}
+    assert ranked == [4, 4]

@@ -260,8 +260,8 @@ def ranking_strategy_table(spark, sf):
     """A table of strategies on two grids ranked by one plan, whatever their number."""
     saved = recompute.strategy_table(_suppliers(spark, sf))
     panel = strategies.one_panel({"month|Adj Close": p.monthly_panel(spark, sf), "week|Adj Close": p.weekly_panel(spark, sf)})
-    ranked = strategies.rank_strategies(panel, saved, universes=p.universes(spark, sf))
-    return ranked.join(saved.select("strategy_id", "n"), "strategy_id").where("rank <= n").select("strategy_id", "period_end", "symbol", "rank")
+    ranked = strategies.rank_best(panel, saved, universes=p.universes(spark, sf))
+    return ranked.select("strategy_id", "period_end", "symbol", "rank")
 
 
 @query(

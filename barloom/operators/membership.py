@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -152,8 +152,8 @@ def _similarity(candidate: pd.Series, wanted: pd.Series) -> pd.Series:
 _similarity = _similarity.asNondeterministic()
 
 
-#: Pairs that one task scores.
-_SCORED = 5_000
+#: Pairs that one task scores, and names whose segments it looks up.
+_SCORED, _NAMED = 5_000, 5_000
 
 
 def fuzzy_resolve(wanted: DataFrame, known: DataFrame, cutoff: float = 0.88, name: str = "norm_name") -> DataFrame:
@@ -163,8 +163,8 @@ def fuzzy_resolve(wanted: DataFrame, known: DataFrame, cutoff: float = 0.88, nam
     bounds the edit distance by ``(1 - r) * (total length)``.  Cut a known name into one segment more than
     that many edits: one segment survives untouched and stands in the wanted name, shifted by no
     more than the edits allow (the segment filter of edit-distance joins).  Segments are therefore
-    equi-join keys that lose nothing; what they bring together is thinned by the built-in bounded
-    ``levenshtein``, which also gives each pair the best ratio it could have.  Only each name's most promising pairs are scored, then
+    equi-join keys that lose nothing; what they bring together is thinned by the letters the names do not share, before it is
+    shuffled, then by the built-in bounded ``levenshtein``, which also gives each pair the best ratio it could have.  Only each name's most promising pairs are scored, then
     those that could still reach what they gave.  Equal scores go to the alphabetically last name.
     """
     pairs = materialise(_candidates(wanted.select(name).distinct(), known.select(name).distinct(), cutoff, name))
@@ -186,6 +186,22 @@ def _scored(pairs: DataFrame, name: str) -> DataFrame:
     return materialise(spread.withColumn("score", _similarity("_known", name)))
 
 
+def _letters(name: str) -> Column:
+    """The letters of a name as 128 bits ``(a, b)``: the first ``x``, the second ``x`` and so on each set the bit their hash names.
+
+    A bit that only one of two names has stands for a letter of it that the other lacks.
+    """
+
+    def half(bits: Column, low: int) -> Column:
+        bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n - low)
+        return F.aggregate(bits, F.lit(0).cast("long"), lambda a, n: F.when((n >= low) & (n < low + 64), a.bitwiseOR(bit(n))).otherwise(a))
+
+    def hashed(letters: Column) -> Column:
+        return F.transform(letters, lambda x, i: F.pmod(F.xxhash64(x, i - F.array_position(letters, x)), F.lit(128)).cast("int"))
+
+    return c.let(F.sort_array(F.split(name, "")), lambda x: c.let(hashed(x), lambda n: F.struct(half(n, 0).alias("a"), half(n, 64).alias("b"))))
+
+
 def _candidates(wanted: DataFrame, known: DataFrame, cutoff: float, name: str) -> DataFrame:
     """Pairs ``(name, _known, _most)`` that can reach ``cutoff``, a superset of those that do, and the best ratio each can have."""
     reach = (2 - cutoff) / cutoff  # longest partner relative to a name's length
@@ -204,28 +220,42 @@ def _candidates(wanted: DataFrame, known: DataFrame, cutoff: float, name: str) -
         # names that meet by chance are told apart by the edit distance
         return F.xxhash64(of, "_i", seg).alias("_key")
 
-    numbered = lambda df, id_: materialise(df.where(F.length(name) > 0).select(name, F.monotonically_increasing_id().alias(id_)))
-    names, others = numbered(wanted, "_w"), numbered(known, "_k")
-    k = segments(others.withColumn("_of", F.length(name)))
-    k = k.select("_k", key("_of", F.substring(name, F.col("_from") + 1, F.col("_len"))))
+    def numbered(df, id_):
+        rows = df.where(F.length(name) > 0).select(name, F.monotonically_increasing_id().alias(id_))
+        return materialise(rows.withColumns({"_own": F.length(name), "_x": _letters(name)}).select(name, id_, "_own", F.col("_x.a").alias("_a"), F.col("_x.b").alias("_b")))
+
+    def lengths(df, as_):
+        return df.select(F.col("_own").alias(as_)).distinct()
 
-    w = names.withColumn("_own", F.length(name))
+    names, others = numbered(wanted, "_w"), numbered(known, "_k")
     partner = F.sequence(
         F.greatest(F.ceil(F.col("_own") / reach - tiny).cast("int"), F.lit(1)), F.floor(F.col("_own") * reach + tiny).cast("int")
     )
-    lengths = others.select(F.length(name).alias("_of")).distinct()
-    w = segments(w.withColumn("_of", F.explode(partner)).join(lengths, "_of", "left_semi"))
+    spans = lengths(names, "_own").withColumn("_of", F.explode(partner)).join(lengths(others, "_of"), "_of")
+    # written, so that the join below is planned by the size of what can meet at all
+    k = segments(others.withColumn("_of", F.col("_own")).join(spans.select("_of").distinct(), "_of", "left_semi"))
+    k = materialise(
+        k.select("_k", "_of", F.col("_a").alias("_ka"), F.col("_b").alias("_kb"), key("_of", F.substring(name, F.col("_from") + 1, F.col("_len"))))
+    )
+
+    # a name becomes hundreds of rows, so few names make a task
+    w = names.join(spans, "_own").repartition(names.count() // _NAMED + 1, "_w", "_of")
+    w = segments(w)
     # edits left and right of the segment add up, which halves the shift window
     gap = F.col("_own") - F.col("_of")
     low = F.greatest(F.col("_from") + F.ceil((gap - F.col("_tau")) / 2).cast("int"), F.lit(0))
     high = F.least(F.col("_from") + F.floor((gap + F.col("_tau")) / 2).cast("int"), F.col("_own") - F.col("_len"))
     w = w.withColumns({"_low": low, "_high": high}).where("_low <= _high")
     w = w.withColumn("_at", F.explode(F.sequence("_low", "_high")))
-    w = w.select("_w", key("_of", F.substring(name, F.col("_at") + 1, F.col("_len")))).distinct()
-
-    # numbers meet, not names: what is shuffled is two longs a segment and two a pair
-    met = w.join(k, "_key").select("_w", "_k").distinct()
-    met = met.join(names, "_w").join(others.withColumnRenamed(name, "_known"), "_k").select(name, "_known")
+    w = w.select("_w", "_own", "_a", "_b", key("_of", F.substring(name, F.col("_at") + 1, F.col("_len"))))
+
+    # numbers meet, not names; what either name has alone is not among the letters of a common subsequence
+    met = w.join(k, "_key")
+    shared = cutoff * (F.col("_own") + F.col("_of")) / 2 - tiny
+    alone = lambda x, y: F.bit_count(F.col(f"{x}a").bitwiseAND(F.bitwise_not(f"{y}a"))) + F.bit_count(F.col(f"{x}b").bitwiseAND(F.bitwise_not(f"{y}b")))
+    met = met.where((F.col("_own") - alone("_", "_k") >= shared) & (F.col("_of") - alone("_k", "_") >= shared))
+    met = met.select("_w", "_k").distinct()
+    met = met.join(names.select("_w", name), "_w").join(others.select("_k", F.col(name).alias("_known")), "_k").select(name, "_known")
     total = F.length(name) + F.length("_known")
     # letters outside a common subsequence are as odd or even in number as all letters
     even = lambda d: d + F.abs((total - d) % 2)

@@ -479,3 +479,23 @@ def test_long_series_interpolate_in_linear_time(spark):
     began = time.time()
     assert grid.interpolate_linear(df).where("abs(value - ts) > 1e-6 AND ts < 99950").count() == 0
     assert time.time() - began < 30
+
+
+def test_names_that_share_a_word_are_told_apart_before_they_are_shuffled(spark):
+    """Pairs are thinned by their letters where they meet, and the closest name is still that of a full comparison."""
+    from barloom.operators import membership
+
+    rng = random.Random(5)
+    known = sorted({f"{'😀é'[k % 2]}{rng.choice('ABBA CDC')}{k % 7} RING AAB BRAND {k} ECONOMY" for k in range(60)} | {f"P{k}" for k in range(50)})
+    wanted = {f"UNKNOWN FIRM {k} OF ECONOMY" for k in range(200)} | {"P7X", "😀"}
+    for x in known[::2]:
+        at = rng.randrange(len(x))
+        wanted |= {x[:at] + "x" + x[at + 1 :], x[:at] + x[at + 1 :] + "é", x[1:] + x[:1]}
+    w = spark.createDataFrame([(x,) for x in sorted(wanted)], "norm_name string")
+    k = spark.createDataFrame([(x,) for x in known], "norm_name string")
+    for cutoff in (0.88, 0.7):
+        got = {r.norm_name: r.match for r in membership.fuzzy_resolve(w, k, cutoff).collect()}
+        want = {x: difflib.get_close_matches(x, known, n=1, cutoff=cutoff) for x in wanted}
+        assert got == {x: m[0] for x, m in want.items() if m} and len(got) > 60
+    plan = membership._candidates(w, k, 0.88, "norm_name")._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_count" in plan

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,11 +18,15 @@ from barloom.operators import clean
 _LABELS = {"file": r"([^/]+?)(?:\.[^./]*)?$", "folder": r"(?:[^/=]*=)?([^/=]+)/[^/]+$"}
 #: Most columns of a file.
 WIDTH = 64
+#: Bytes of a file up to which one task reads it.
+WHOLE = 2**20
 
 
 def path_label(level: str = "file", path: str | Column = "_metadata.file_path") -> Column:
     """Label of the file a row comes from: its stem or its folder."""
-    plain = F.url_decode(F.replace(F.col(path) if isinstance(path, str) else path, F.lit("+"), F.lit("%2B")))
+    # the end of the path only: the search for a label grows with the square of what it looks at, row by row
+    last = F.substring_index(F.col(path) if isinstance(path, str) else path, "/", {"file": -1, "folder": -2}[level])
+    plain = F.url_decode(F.replace(last, F.lit("+"), F.lit("%2B")))
     return F.regexp_extract(plain, _LABELS[level], 1)
 
 
@@ -32,24 +36,68 @@ def read_cells(spark: SparkSession, path: str | list[str], key: str, wanted: lis
     Spark's own reader takes the files apart once, so quoted commas, line breaks and doubled quotes are part of a cell.  Every file has a header of
     its own, its first line: columns may stand in any order or be missing (NULL), names are compared without case, and a file whose
     header lacks ``key`` is left out, as is any later line that repeats the whole header.  Cells are trimmed, empty ones are NULL.
-    A file is read by one task, in order, so the header travels along with the rows; an instrument of very many rows comes as several
-    files of one folder (``label='folder'``).
+    A file of up to :data:`WHOLE` bytes is read by one task, in order, so the header travels along with the rows.  Larger ones are read in
+    pieces by as many tasks as their size asks for if each of their lines is a record by itself (:func:`_plain_files`); one with line breaks
+    or stray quotes in its cells stays with one task, so an instrument of very many such rows comes as several files of one folder
+    (``label='folder'``).
     """
+    out = ", ".join(["file STRING", *[f"c{k} STRING" for k in range(len(wanted))]])
+    key, wanted = key.lower(), [w.lower() for w in wanted]
+    heads = _plain_files(spark, path)
+    whole = _scan(spark, path, multi_line=True)
+    if not heads:
+        return whole.mapInArrow(_by_header(key, wanted), out)
+    plain = F.col("_metadata.file_path").isin(*heads)
+    pieces = _scan(spark, path, multi_line=False, only=plain)
+    whole = _scan(spark, path, multi_line=True, only=~plain)
+    return whole.mapInArrow(_by_header(key, wanted), out).unionByName(pieces.mapInArrow(_by_header(key, wanted, heads), out))
+
+
+def _reader(spark: SparkSession) -> DataFrameReader:
+    return spark.read.option("recursiveFileLookup", "true")
+
+
+def _scan(spark: SparkSession, path: str | list[str], multi_line: bool, only: Column | None = None) -> DataFrame:
+    """``(file, c0, c1, ...)`` of every line that is not empty, as it stands."""
     cells = [f"c{k}" for k in range(WIDTH)]
-    raw = (
-        spark.read.schema(", ".join(f"{x} STRING" for x in cells))
-        .option("header", "false")
-        .option("multiLine", "true")
-        .option("escape", '"')
-        .option("recursiveFileLookup", "true")
-        .csv(path)
+    # a column more than is read: lines then need not have as many cells as the schema, which costs an exception each
+    reader = _reader(spark).schema(", ".join(f"{x} STRING" for x in [*cells, *([] if multi_line else ["rest"])]))
+    raw = reader.option("header", "false").option("multiLine", multi_line).option("escape", '"').csv(path)
+    return (raw if only is None else raw.where(only)).select(F.col("_metadata.file_path").alias("file"), *cells)
+
+
+#: A line all of whose cells are either without quotes or quoted from end to end.
+_CELL = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
+_RECORD = f"^{_CELL}(?:,{_CELL})*+$"
+#: Characters up to which a line with quotes is looked at.
+_LINE = 10_000
+
+
+def _plain_files(spark: SparkSession, path: str | list[str]) -> dict[str, list[str | None]]:
+    """Files of more than :data:`WHOLE` bytes all of whose lines are records by themselves, and the cells of their first line.
+
+    Their lines mean the same read one by one as read in order: none has a stray quote, a carriage return within, or blanks only, and
+    all end alike.
+    """
+    text = _reader(spark).option("lineSep", "\n").text(path).where(F.col("_metadata.file_size") > WHOLE)
+    ends = F.endswith("value", F.lit("\r"))
+    line = F.when(ends, F.expr("left(value, length(value) - 1)")).otherwise(F.col("value"))
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    lines = text.select(F.col("_metadata.file_path").alias("file"), line.alias("line"), ends.alias("ends"), place.alias("place"))
+    alone = ~F.contains("line", F.lit('"')) | ((F.length("line") <= _LINE) & F.rlike("line", F.lit(_RECORD)))
+    alone &= ~F.contains("line", F.lit("\r")) & F.rlike("line", F.lit(r"[^\x00-\x20]"))
+    found = lines.where("line <> ''").groupBy("file").agg(
+        F.bool_and(alone).alias("alone"), F.min("ends").alias("least"), F.max("ends").alias("most"), F.min_by("line", "place").alias("head")
     )
-    rows = raw.select(F.col("_metadata.file_path").alias("file"), *cells)
-    out = ", ".join(["file STRING", *[f"c{k} STRING" for k in range(len(wanted))]])
-    return rows.mapInArrow(_by_header(key.lower(), [w.lower() for w in wanted]), out)
+    head = F.from_csv("head", ", ".join(f"c{k} STRING" for k in range(WIDTH)), {"escape": '"'})
+    return {r.file: list(r.head) for r in found.where("alone AND least = most").select("file", head.alias("head")).collect()}
+
 
+def _by_header(
+    key: str, wanted: list[str], heads: dict[str, list[str | None]] | None = None
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Picks the ``wanted`` columns by each file's header: its first row, or what ``heads`` has for it."""
 
-def _by_header(key: str, wanted: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def clean_cells(column: pa.Array) -> pa.Array:
         text = pc.utf8_trim_whitespace(pc.replace_substring(column, "\ufeff", ""))
         return pc.if_else(pc.equal(text, ""), pa.scalar(None, pa.string()), text)
@@ -65,12 +113,13 @@ def _by_header(key: str, wanted: list[str]) -> Callable[[Iterator[pa.RecordBatch
                 part = batch.slice(a, b - a)
                 if names[a] != file:
                     file = names[a]
-                    head = [clean_cells(c.slice(0, 1))[0].as_py() for c in part.columns[1:]]
+                    first = [pa.array([x], pa.string()) for x in heads[file]] if heads else [c.slice(0, 1) for c in part.columns[1:]]
+                    head = [clean_cells(c)[0].as_py() for c in first]
                     if head[-1] is not None:
                         raise ValueError(f"{file} has {WIDTH} columns or more")
                     lower = [h and h.lower() for h in head]
                     places = [lower.index(w) if w in lower else None for w in wanted] if key in lower else None
-                    part = part.slice(1)
+                    part = part if heads else part.slice(1)
                 if places is None or not part.num_rows:
                     continue
                 again = pa.array([True] * part.num_rows)

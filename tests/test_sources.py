@@ -104,3 +104,30 @@ def test_emptied_keys_lose_their_rows(spark, tmp_path):
     sinks.replace_keys(spark.createDataFrame([("a b", 9)], ddl), path, keys=keys)
     assert sorted((r.strategy_id, r.v) for r in spark.read.parquet(path).collect()) == [("a b", 9), ("f=g", 3)]
     sinks.replace_keys(spark.createDataFrame([], ddl), str(tmp_path / "none"), keys=keys)
+
+
+def test_large_files_are_read_in_pieces_like_small_ones(spark, tmp_path, monkeypatch):
+    """Files whose lines are records are split; those with line breaks or stray quotes stay whole; rows are the same."""
+    plain = "".join(f'"A ""{k}"", Ltd.",X, S{k} ,EQ,\r\n' for k in range(3000))
+    head = "Company Name,Industry,Symbol,Series,ISIN Code"
+    (tmp_path / "2020-01-01.csv").write_bytes(f"﻿{head}\r\n{plain}{head}\r\n\r\n,,,,\r\n".encode())
+    (tmp_path / "2021-01-01.csv").write_text("\n\nseries,SYMBOL\n" + "".join(f'EQ,"T{k}",more\n' for k in range(3000)) + "series,SYMBOL,more\nseries,SYMBOL")
+    (tmp_path / "2022-01-01.csv").write_text(head + "\n" + "".join(f'"Line\nBreak {k}",X,U{k},EQ,\n' for k in range(2000)))
+    (tmp_path / "2023-01-01.csv").write_text(head + "\n" + "".join(f'a "b" {k},X,V{k},"E"Q,\n' for k in range(2000)))
+    (tmp_path / "2024-01-01.csv").write_text("Name\n" + "no such column\n" * 3000)
+    (tmp_path / "2025-01-01.csv").write_text("Symbol\nW\n")
+    (tmp_path / "2026-01-01.csv").write_text("Symbol,Series\n" + "".join(f"Y{k},\n   \n" for k in range(2000)))
+    rows = lambda: sorted(str(r) for r in files.read_snapshots(spark, str(tmp_path)).collect())
+    monkeypatch.setattr(files, "WHOLE", 2**40)
+    want = rows()
+    assert len(want) == 3000 + 3001 + 2000 + 2000 + 1 + 2000
+    monkeypatch.setattr(files, "WHOLE", 10_000)
+    assert rows() == want
+    found = files._plain_files(spark, str(tmp_path))
+    assert {f.rsplit("/", 1)[1][:4] for f in found} == {"2020", "2021", "2024"}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        assert files.read_cells(spark, str(tmp_path / "2021-01-01.csv"), "Symbol", ["Symbol"]).rdd.getNumPartitions() > 2
+        assert rows() == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")

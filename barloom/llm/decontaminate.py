@@ -36,6 +36,9 @@ from barloom.session import materialise
 WINDOW = 10
 #: Phrases in a block.
 BLOCK = 50_000
+#: Spark reads the lists of a whole row group at once, and Parquet's writer looks at its size after 100 rows first, then as often as
+#: the rows so far suggest; segments are a megabyte or a few bytes.  So it looks after every row.
+ROW_GROUPS = {"parquet.block.size": 2_000_000, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 
 INDEX = (
     "segment long, doc_ids array<long>, first array<int>, n_words array<int>, "
@@ -81,7 +84,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Postings of every token of ``docs``, written to the shared folder, one segment per row."""
     words.batches(docs.sparkSession)
-    return materialise(docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(_segments, INDEX))
+    return materialise(docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(_segments, INDEX), **ROW_GROUPS)
 
 
 def phrases(items: DataFrame, id_col: str = "item_id", text_col: str = "text", n: int = WINDOW) -> DataFrame:
